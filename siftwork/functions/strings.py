@@ -42,9 +42,25 @@ def non_empty(arr: Column) -> Column:
     return F.filter(F.transform(F.coalesce(arr, empty_strings()), strip), lambda x: x != "")
 
 
+def starts_with_any_of(first_characters: set[str]) -> str:
+    """A look-ahead that lets the matcher skip positions no alternative can start at."""
+    return "(?=[" + "".join(re.escape(c) for c in sorted(first_characters)) + "])"
+
+
 def either(values: Sequence[str]) -> str:
     """One regular expression that finds any of the given literals."""
-    return "(?:" + "|".join(re.escape(v) for v in values) + ")"
+    return starts_with_any_of({v[0] for v in values}) + "(?:" + "|".join(re.escape(v) for v in values) + ")"
+
+
+def guarded(pattern: str) -> str:
+    """An alternation ``(a|b|c)`` of parts that start with plain letters, behind that look-ahead."""
+    depth, starts, fresh = 0, set(), True
+    for c in pattern[1:-1]:
+        if fresh and c.isalpha():
+            starts.add(c)
+        fresh = depth == 0 and c == "|"
+        depth += (c == "(") - (c == ")")
+    return starts_with_any_of(starts) + pattern
 
 
 def contains_any(c: Column, values: Sequence[str]) -> Column:

@@ -12,6 +12,7 @@ from siftwork.functions.strings import (
     empty_strings,
     filled,
     first_of,
+    guarded,
     strip,
     text_of,
     title_case,
@@ -125,7 +126,7 @@ def paragraph_priority(paragraph: Column) -> Column:
     text = F.lower(paragraph)
     chain = None
     for i, pattern in enumerate(vocab.PARAGRAPH_PATTERNS):
-        hit = text.rlike(pattern)
+        hit = text.rlike(guarded(pattern))
         chain = F.when(hit, i) if chain is None else chain.when(hit, i)
     return chain.otherwise(len(vocab.PARAGRAPH_PATTERNS))
 
