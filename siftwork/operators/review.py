@@ -156,9 +156,10 @@ def min_display(scores: DataFrame, minimum: int | Column = vocab.DEFAULT_MIN_DIS
     return scores.where(F.col("fit_score") >= minimum)
 
 
-def with_rejected(clean: DataFrame, rejected: DataFrame, show: bool) -> DataFrame:
-    """The queue, with the scrape-rejected postings added when asked for."""
-    return clean.unionByName(rejected) if show else clean
+def queue_pool(rows: DataFrame, show_rejected: bool) -> DataFrame:
+    """The queue, joined by the scrape-rejected postings when asked for; one pass over the rows."""
+    clean = ~F.col("disqualified") & F.col("scrape_qualified")
+    return rows.where(clean | ~F.col("scrape_qualified")) if show_rejected else rows.where(clean)
 
 
 def review_projection(rows: DataFrame, optional: Sequence[str] = vocab.REVIEW_OPTIONAL_COLUMNS) -> DataFrame:
