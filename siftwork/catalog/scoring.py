@@ -239,7 +239,7 @@ def _responses(t: Inputs) -> DataFrame:
     wrapped = F.to_json(
         F.struct(
             F.struct(F.col("disqualified").alias("value")).alias("disqualified"),
-            F.struct(F.when(F.col("disqualified"), F.col("disqualify_reason")).alias("value")).alias("disqualify_reason"),
+            F.struct(F.when(F.col("disqualified"), F.col("disqualify_reason")).otherwise("").alias("value")).alias("disqualify_reason"),
             *[F.struct(F.struct(c.alias("value")).alias("value")).alias(n) for c, n in zip([over, *fields[1:]], vocab.DIMENSIONS)],
             F.struct(string_array(["a", "b", "c", "d", "e"]).alias("value")).alias("reasons"),
             F.struct(string_array(["check"]).alias("value")).alias("flags"),

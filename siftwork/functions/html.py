@@ -7,12 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.functions.strings import strip
+from siftwork.functions.strings import let, strip
 from siftwork.vocab import HTML_ENTITIES
 
 
 def _decode_numeric(c: Column) -> Column:
-    """``&#8217;`` and ``&#x2019;``, each distinct reference once."""
+    """``&#8217;`` and ``&#x2019;``, each distinct reference once; ``c`` is a bound value."""
     references = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
 
     def character(ref: Column) -> Column:
@@ -31,10 +31,13 @@ def _decode_numeric(c: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Decode entities once. Named ones come from the fixed table, ``&amp;`` last."""
-    named = _decode_numeric(c)
-    for name, char in HTML_ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    return F.when(F.contains(c, F.lit("&")), named).otherwise(c)
+    def decode(text: Column) -> Column:
+        named = _decode_numeric(text)
+        for name, char in HTML_ENTITIES.items():
+            named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
+        return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+
+    return let(c, decode)
 
 
 def collapse_phrases(c: Column) -> Column:

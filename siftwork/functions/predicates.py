@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.functions.strings import UNICODE, contains_any, either, first_of, strip, text_of
+from siftwork.functions.strings import UNICODE, contains_any, either, first_of, let, strip, text_of
 from siftwork.functions.text import extract_yoe
 
 
@@ -18,8 +18,7 @@ def title_words(titles: Column) -> Column:
 
 def title_matches(title: Column, words: Column) -> Column:
     """Does any preferred-title word occur in the title? ``words`` comes from ``title_words``."""
-    lowered = F.lower(text_of(title))
-    return F.exists(words, lambda w: F.contains(lowered, w))
+    return let(F.lower(text_of(title)), lambda low: F.exists(words, lambda w: F.contains(low, w)))
 
 
 def contains_hard_no(text: Column, pattern: Column) -> Column:
@@ -37,23 +36,30 @@ def blocked_term(text: Column, any_pattern: Column, terms: Column, patterns: Col
 
     One alternation decides first, so the per-term scan runs only for hits.
     """
-    lowered = F.lower(text)
-    hits = F.filter(
-        F.arrays_zip(terms.alias("term"), patterns.alias("pattern")), lambda z: F.rlike(lowered, z["pattern"])
-    )
-    return F.when(F.rlike(lowered, any_pattern), F.lower(first_of(hits)["term"]))
+
+    def first_hit(low: Column) -> Column:
+        hits = F.filter(
+            F.arrays_zip(terms.alias("term"), patterns.alias("pattern")), lambda z: F.rlike(low, z["pattern"])
+        )
+        return F.when(F.rlike(low, any_pattern), F.lower(first_of(hits)["term"]))
+
+    return let(F.lower(text), first_hit)
 
 
 def yoe_reason(years: Column, min_yoe: Column, max_yoe: Column) -> Column:
     """``yoe_max: a > b`` or ``yoe_min: a < b`` for figures out of range; null when in range or absent."""
-    high, low = F.array_max(years), F.array_min(years)
-    return F.when(
-        high > max_yoe,
-        F.concat(F.lit("yoe_max: "), high.cast("string"), F.lit(" > "), max_yoe.cast("string")),
-    ).when(
-        low < min_yoe,
-        F.concat(F.lit("yoe_min: "), low.cast("string"), F.lit(" < "), min_yoe.cast("string")),
-    )
+
+    def out_of_range(found: Column) -> Column:
+        high, low = F.array_max(found), F.array_min(found)
+        return F.when(
+            high > max_yoe,
+            F.concat(F.lit("yoe_max: "), high.cast("string"), F.lit(" > "), max_yoe.cast("string")),
+        ).when(
+            low < min_yoe,
+            F.concat(F.lit("yoe_min: "), low.cast("string"), F.lit(" < "), min_yoe.cast("string")),
+        )
+
+    return let(years, out_of_range)
 
 
 def _words(c: Column) -> Column:
@@ -62,23 +68,34 @@ def _words(c: Column) -> Column:
 
 def hiring_intent(text: Column, keywords: Column) -> Column:
     """Is a title or skill mentioned within 50 words of the first occurrence of a hiring phrase?"""
-    lowered = F.lower(text)
-    words = _words(lowered)
+    return let(F.lower(text), lambda low: _hiring_intent(low, keywords))
+
+
+def _hiring_intent(lowered: Column, keywords: Column) -> Column:
     half = vocab.HIRING_WINDOW_WORDS
 
-    def near(signal: str) -> Column:
+    def near(signal: str, words: Column) -> Column:
         at = F.locate(signal, lowered)
-        # Only the word count before the phrase matters, not the words.
-        before = F.regexp_count(F.substring(lowered, F.lit(1), at - 1), F.lit(r"\S+"))
-        begin = F.greatest(F.lit(0), before - half)
-        end = F.least(F.size(words), before + half)
-        window = F.array_join(F.slice(words, begin + 1, F.greatest(F.lit(0), end - begin)), " ")
-        return F.when(at > 0, F.exists(keywords, lambda k: F.contains(window, F.lower(k)))).otherwise(False)
+        # Only the number of words before the phrase matters, not the words.
+        count = F.regexp_count(F.substring(lowered, F.lit(1), at - 1), F.lit(r"\S+"))
+
+        def window_has_keyword(before: Column) -> Column:
+            begin = F.greatest(F.lit(0), before - half)
+            end = F.least(F.size(words), before + half)
+            window = F.array_join(F.slice(words, begin + 1, F.greatest(F.lit(0), end - begin)), " ")
+            return let(window, lambda w: F.exists(keywords, lambda k: F.contains(w, F.lower(k))))
 
-    found = F.lit(False)
-    for signal in vocab.HIRING_SIGNALS:
-        found = found | near(signal)
-    return F.coalesce(found, F.lit(False))
+        return F.when(at > 0, let(count, window_has_keyword)).otherwise(False)
+
+    def any_signal(words: Column) -> Column:
+        found = F.lit(False)
+        for signal in vocab.HIRING_SIGNALS:
+            found = found | near(signal, words)
+        return found
+
+    # Most texts hold no signal at all and are not split into words.
+    searched = F.when(contains_any(lowered, vocab.HIRING_SIGNALS), let(_words(lowered), any_signal))
+    return F.coalesce(searched, F.lit(False))
 
 
 def requires_advanced_degree(text: Column) -> Column:
@@ -106,21 +123,27 @@ def _us_signal(text: Column, lowered: Column) -> Column:
 
 def is_us_location(location: Column) -> Column:
     """Is a location field in the US, remote, or unspecified? Foreign places win over "remote"."""
-    loc = strip(text_of(location))
-    lowered = F.lower(loc)
-    return (
-        F.when(lowered.isin(vocab.LOCATION_PLACEHOLDERS), True)
-        .when(contains_any(lowered, vocab.NON_US_PLACES), False)
-        .when(F.contains(lowered, F.lit("remote")), True)
-        .otherwise(_us_signal(loc, lowered))
-    )
+
+    def judged(loc: Column) -> Column:
+        return let(
+            F.lower(loc),
+            lambda low: F.when(low.isin(vocab.LOCATION_PLACEHOLDERS), True)
+            .when(contains_any(low, vocab.NON_US_PLACES), False)
+            .when(F.contains(low, F.lit("remote")), True)
+            .otherwise(_us_signal(loc, low)),
+        )
+
+    return let(strip(text_of(location)), judged)
 
 
 def us_or_remote_text(text: Column) -> Column:
     """The same question for free text: remote without a foreign place, or any US signal."""
-    lowered = F.lower(text)
-    remote_only = F.contains(lowered, F.lit("remote")) & ~contains_any(lowered, vocab.NON_US_PLACES_IN_TEXT)
-    return remote_only | _us_signal(text, lowered)
+    return let(F.lower(text), lambda low: _us_or_remote(text, low))
+
+
+def _us_or_remote(text: Column, low: Column) -> Column:
+    remote_only = F.contains(low, F.lit("remote")) & ~contains_any(low, vocab.NON_US_PLACES_IN_TEXT)
+    return remote_only | _us_signal(text, low)
 
 
 def effective_location(location: Column, workplace_type: Column) -> Column:

@@ -6,22 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.functions.strings import UNICODE, empty_strings, string_array, strip, text_of
+from siftwork.functions.strings import UNICODE, empty_strings, let, string_array, strip, text_of
 from siftwork.functions.text import normalize_title
 
 
 def keyword_prescore(title: Column, raw_text: Column, titles: Column, skills: Column) -> Column:
     """1.0 for a preferred title, else the share of skills the text mentions, 0.0 without skills."""
-    lowered, normalized = F.lower(title), normalize_title(title)
-    wanted = F.exists(
-        titles,
-        lambda t: (lowered == F.lower(t))
-        | ((normalize_title(t) != "") & F.contains(normalized, normalize_title(t))),
-    )
-    text = F.lower(raw_text)
-    found = F.size(F.filter(skills, lambda s: F.contains(text, F.lower(s))))
+
+    def is_wanted(normalized: Column) -> Column:
+        return F.exists(
+            titles,
+            lambda t: (F.lower(title) == F.lower(t))
+            | let(normalize_title(t), lambda n: (n != "") & F.contains(normalized, n)),
+        )
+
+    found = let(F.lower(raw_text), lambda text: F.size(F.filter(skills, lambda s: F.contains(text, F.lower(s)))))
     return (
-        F.when(wanted, F.lit(1.0))
+        F.when(let(normalize_title(title), is_wanted), F.lit(1.0))
         .when(F.size(skills) > 0, found.cast("double") / F.size(skills))
         .otherwise(F.lit(0.0))
     )
@@ -46,22 +47,37 @@ def fit_score(dims: dict[str, Column], weights: dict[str, Column], disqualified:
 
 def ats_score(raw_text: Column, resume: Column, skills: Column) -> tuple[Column, Column]:
     """(score, missing skills): how far the resume covers the words and skills of a posting."""
-    text, cv = F.lower(raw_text), F.lower(text_of(resume))
-    words = F.array_except(
-        F.array_distinct(
-            F.regexp_extract_all(text, F.lit(UNICODE + r"\b[a-z][a-z0-9+#.\-]{2,}\b"), F.lit(0))
-        ),
-        string_array(vocab.ATS_STOPWORDS),
-    )
-    lowered = F.transform(F.coalesce(skills, empty_strings()), F.lower)
-    n_words, n_skills = F.size(words), F.size(lowered)
-    covered = F.size(F.filter(words, lambda w: F.contains(cv, w))).cast("double")
-    both = F.size(F.filter(lowered, lambda s: F.contains(text, s) & F.contains(cv, s))).cast("double")
-    base = F.when(n_words > 0, covered / n_words).otherwise(0.0)
-    bonus = F.when(n_skills > 0, both / n_skills).otherwise(0.0)
-    score = F.least(F.lit(100), F.floor((base * 0.6 + bonus * 0.4) * 100).cast("int"))
-    misses = F.filter(lowered, lambda s: F.contains(text, s) & ~F.contains(cv, s))
-    return score, F.slice(misses, 1, 5)
+    wanted = F.transform(F.coalesce(skills, empty_strings()), F.lower)
+
+    def word_share(text: Column, cv: Column) -> Column:
+        words = F.array_except(
+            F.array_distinct(
+                F.regexp_extract_all(text, F.lit(UNICODE + r"\b[a-z][a-z0-9+#.\-]{2,}\b"), F.lit(0))
+            ),
+            string_array(vocab.ATS_STOPWORDS),
+        )
+        return let(
+            words,
+            lambda ws: F.when(
+                F.size(ws) > 0, F.size(F.filter(ws, lambda w: F.contains(cv, w))).cast("double") / F.size(ws)
+            ).otherwise(0.0),
+        )
+
+    def skill_share(text: Column, cv: Column) -> Column:
+        both = F.size(F.filter(wanted, lambda s: F.contains(text, s) & F.contains(cv, s))).cast("double")
+        return F.when(F.size(wanted) > 0, both / F.size(wanted)).otherwise(0.0)
+
+    def score(text: Column, cv: Column) -> Column:
+        share = word_share(text, cv) * 0.6 + skill_share(text, cv) * 0.4
+        return F.least(F.lit(100), F.floor(share * 100).cast("int"))
+
+    def misses(text: Column, cv: Column) -> Column:
+        return F.slice(F.filter(wanted, lambda s: F.contains(text, s) & ~F.contains(cv, s)), 1, 5)
+
+    def lowered(body) -> Column:
+        return let(F.lower(raw_text), lambda text: let(F.lower(text_of(resume)), lambda cv: body(text, cv)))
+
+    return lowered(score), lowered(misses)
 
 
 # ---- responses -----------------------------------------------------------------------------
@@ -78,15 +94,16 @@ def strip_fences(raw: Column) -> Column:
     return strip(F.regexp_replace(opened, r"(?m)\s*```$", ""))
 
 
-def _is_wrapper(json: Column) -> Column:
+def _unwrap_once(json: Column) -> Column:
     keys = F.json_object_keys(json)
-    return (F.size(keys) == 1) & (F.get(keys, F.lit(0)) == "value")
+    is_wrapper = let(keys, lambda k: (F.size(k) == 1) & (F.get(k, F.lit(0)) == "value"))
+    return F.when(is_wrapper, F.get_json_object(json, "$.value")).otherwise(json)
 
 
 def unwrap_value(json: Column, depth: int = 4) -> Column:
     """Content of nested one-key ``{"value": x}`` objects, up to ``depth`` levels."""
     for _ in range(depth):
-        json = F.when(_is_wrapper(json), F.get_json_object(json, "$.value")).otherwise(json)
+        json = let(json, _unwrap_once)
     return json
 
 
@@ -95,19 +112,20 @@ def _field(json: Column, name: str) -> Column:
 
 
 def clamp_dimension(text: Column) -> Column:
-    """0..10; numbers are cut towards zero, true is 1, text that is no whole number counts 0."""
+    """0..10; text that is no whole number counts 0."""
     number = F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), strip(text)).try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(10), number.cast("int"))), F.lit(0))
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)).cast("int"), F.lit(0))
 
 
 def _dimension(json: Column, name: str) -> Column:
-    value = _field(json, name)
-    # A JSON number may have decimals; quoted text may not.
+    """A JSON number is cut towards zero and true is 1; quoted text must be a whole number."""
     quoted = json.rlike(rf'"{name}"\s*:\s*(?:\{{\s*"value"\s*:\s*)*"')
-    bare = F.when(~quoted, value.try_cast("double"))
-    cut = F.when(bare.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(11.0), bare)).cast("int").cast("string"))
-    logical = F.when(~quoted & (value == "true"), F.lit("1"))
-    return clamp_dimension(F.coalesce(cut, logical, value))
+
+    def bare(value: Column) -> Column:
+        number = F.greatest(F.lit(0.0), F.least(F.lit(10.0), value.try_cast("double"))).cast("int")
+        return F.coalesce(number, (value == "true").cast("int"), F.lit(0))
+
+    return let(_field(json, name), lambda value: F.when(quoted, clamp_dimension(value)).otherwise(bare(value)))
 
 
 def _strings(json: Column) -> Column:
@@ -120,22 +138,26 @@ def parse_response(raw: Column) -> Column:
 
     Dimensions are clamped to 0..10 and zero when disqualified; at most four reasons are kept.
     """
-    json = unwrap_value(strip_fences(raw))
-    valid = F.json_object_keys(json).isNotNull()
+    return let(unwrap_value(strip_fences(raw)), _parsed)
+
+
+def _parsed(json: Column) -> Column:
     out = F.coalesce(F.lower(_field(json, "disqualified")).isin("true", "1", "yes"), F.lit(False))
-    reason = F.coalesce(
-        _field(json, "disqualify_reason"), F.when(out, "unknown disqualifier").otherwise("")
-    )
-    dims = [F.when(out, 0).otherwise(_dimension(json, d)).alias(d) for d in vocab.DIMENSIONS]
-    parsed = F.struct(
-        out.alias("disqualified"),
-        reason.alias("disqualify_reason"),
-        *dims,
-        F.slice(_strings(_field(json, "reasons")), 1, 4).alias("reasons"),
-        _strings(_field(json, "flags")).alias("flags"),
-        text_of(_field(json, "one_liner")).alias("one_liner"),
-    )
-    return F.when(valid, parsed)
+
+    def fields(is_out: Column) -> Column:
+        reason = F.coalesce(
+            _field(json, "disqualify_reason"), F.when(is_out, "unknown disqualifier").otherwise("")
+        )
+        return F.struct(
+            is_out.alias("disqualified"),
+            reason.alias("disqualify_reason"),
+            *[F.when(is_out, 0).otherwise(_dimension(json, d)).alias(d) for d in vocab.DIMENSIONS],
+            F.slice(_strings(_field(json, "reasons")), 1, 4).alias("reasons"),
+            _strings(_field(json, "flags")).alias("flags"),
+            text_of(_field(json, "one_liner")).alias("one_liner"),
+        )
+
+    return F.when(F.json_object_keys(json).isNotNull(), let(out, fields))
 
 
 def _as_json(raw: Column) -> Column:
@@ -157,17 +179,31 @@ def recover_generation(payload: Column) -> Column:
 
     Null when there is nothing to recover.
     """
-    json = _as_json(payload)
+    return let(_as_json(payload), _recovered)
+
+
+def _recovered(json: Column) -> Column:
     is_list = F.json_array_length(json).isNotNull()
     head = F.when(is_list, F.get_json_object(json, "$[0]")).otherwise(json)
-    fields = F.from_json(head, "map<string,string>")
-    params = F.from_json(F.get_json_object(head, "$.parameters"), "map<string,string>")
-    inline = F.when(is_list, F.map_filter(fields, lambda k, v: k != "name")).otherwise(fields)
-    has_params = F.coalesce(F.size(params), F.lit(0)) > 0
-    in_dict = ~is_list & F.map_contains_key(fields, F.lit("parameters"))
-    picked = F.when(has_params | in_dict, params).otherwise(inline)
-    unwrapped = F.transform_values(picked, lambda k, v: unwrap_value(v))
-    return F.when(F.size(unwrapped) > 0, unwrapped)
+
+    def picked(fields: Column, params: Column) -> Column:
+        inline = F.when(is_list, F.map_filter(fields, lambda k, v: k != "name")).otherwise(fields)
+        has_params = F.coalesce(F.size(params), F.lit(0)) > 0
+        in_dict = ~is_list & F.map_contains_key(fields, F.lit("parameters"))
+        return F.when(has_params | in_dict, params).otherwise(inline)
+
+    chosen = let(
+        head,
+        lambda h: let(
+            F.from_json(h, "map<string,string>"),
+            lambda fields: let(
+                F.from_json(F.get_json_object(h, "$.parameters"), "map<string,string>"),
+                lambda params: picked(fields, params),
+            ),
+        ),
+    )
+    unwrapped = F.transform_values(chosen, lambda k, v: unwrap_value(v))
+    return let(unwrapped, lambda m: F.when(F.size(m) > 0, m))
 
 
 def cost_estimate(provider: Column, n: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.functions.strings import contains_any, count_of, first_of, strip
+from siftwork.functions.strings import contains_any, count_of, first_of, let, strip
 
 _HEADER = r"^(?:[-*]\s+)?([A-Za-z][A-Za-z0-9 &/'()-]{1,80}):?\s*$"
 
@@ -22,30 +22,31 @@ def first_line(block: Column) -> Column:
 
 def looks_like_header(line: Column) -> Column:
     """One to six words, nothing but header characters, an optional colon."""
-    stripped = strip(line)
-    words = F.size(F.split(F.trim(F.regexp_extract(stripped, _HEADER, 1)), " +"))
-    return stripped.rlike(_HEADER) & words.between(1, 6)
+    matched = F.regexp_extract(strip(line), _HEADER, 1)
+    return let(F.trim(matched), lambda m: (m != "") & F.size(F.split(m, " +")).between(1, 6))
+
+
+def _by_header(line: Column, answers: dict[str, str]) -> Column:
+    """Answer of the first label, in table order, one of whose phrases the header contains."""
+
+    def first_label(header: Column) -> Column:
+        chain = None
+        for label, phrases in vocab.HEADER_PHRASES.items():
+            hit = contains_any(header, phrases)
+            chain = F.when(hit, answers[label]) if chain is None else chain.when(hit, answers[label])
+        return chain
+
+    return let(F.lower(F.rtrim(strip(line), F.lit(":"))), first_label)
 
 
 def header_label(line: Column) -> Column:
-    """First label, in table order, one of whose phrases the header contains; null when none."""
-    header = F.lower(F.rtrim(strip(line), F.lit(":")))
-    chain = None
-    for label, phrases in vocab.HEADER_PHRASES.items():
-        hit = contains_any(header, phrases)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain
+    """Label a header stands for, null when none."""
+    return _by_header(line, {label: label for label in vocab.HEADER_PHRASES})
 
 
 def classify_header(line: Column) -> Column:
     """Section a header announces, null when none."""
-    header = F.lower(F.rtrim(strip(line), F.lit(":")))
-    chain = None
-    for label, phrases in vocab.HEADER_PHRASES.items():
-        hit = contains_any(header, phrases)
-        section = vocab.LABEL_SECTION[label]
-        chain = F.when(hit, section) if chain is None else chain.when(hit, section)
-    return chain
+    return _by_header(line, vocab.LABEL_SECTION)
 
 
 def section_phrases(section: str) -> list[str]:
@@ -58,22 +59,26 @@ def section_phrases(section: str) -> list[str]:
 
 def assign_section(block: Column, is_first: Column) -> Column:
     """The section with most phrase hits (a matching header counts three), earliest section on ties."""
-    lowered = F.lower(block)
-    line = first_line(block)
-    announced = F.when(looks_like_header(line), classify_header(line))
-    votes = F.array(
-        *[
-            F.struct(
-                (count_of(lowered, section_phrases(s)) + F.when(announced == s, 3).otherwise(0)).alias("votes"),
-                F.lit(-i).alias("rank"),
-                F.lit(s).alias("section"),
-            )
-            for i, s in enumerate(vocab.SECTIONS)
-        ]
-    )
-    best = F.array_max(votes)
-    return F.when(best["votes"] > 0, best["section"]).otherwise(
-        F.when(is_first, F.lit("summary")).otherwise(F.lit("requirements"))
+    announced = let(first_line(block), lambda line: F.when(looks_like_header(line), classify_header(line)))
+
+    def votes(lowered: Column, header_section: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    (count_of(lowered, section_phrases(s)) + F.when(header_section == s, 3).otherwise(0)).alias("votes"),
+                    F.lit(-i).alias("rank"),
+                    F.lit(s).alias("section"),
+                )
+                for i, s in enumerate(vocab.SECTIONS)
+            ]
+        )
+
+    best = let(announced, lambda a: let(F.lower(block), lambda low: F.array_max(votes(low, a))))
+    return let(
+        best,
+        lambda b: F.when(b["votes"] > 0, b["section"]).otherwise(
+            F.when(is_first, F.lit("summary")).otherwise(F.lit("requirements"))
+        ),
     )
 
 

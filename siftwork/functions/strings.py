@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,14 @@ from siftwork.vocab import WHITESPACE
 UNICODE = "(?U)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once per row, however often the body uses it.
+
+    A Column is a tree: a part used ten times is ten parts, and nested uses multiply.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Both ends without white space of any kind (``trim`` removes blanks only)."""
     return F.btrim(c, F.lit(WHITESPACE))

@@ -13,6 +13,7 @@ from siftwork.functions.strings import (
     filled,
     first_of,
     guarded,
+    let,
     strip,
     text_of,
     title_case,
@@ -123,12 +124,14 @@ def build_raw_text(
 
 def paragraph_priority(paragraph: Column) -> Column:
     """Index of the first paragraph class whose pattern occurs, or one past the last class."""
-    text = F.lower(paragraph)
-    chain = None
-    for i, pattern in enumerate(vocab.PARAGRAPH_PATTERNS):
-        hit = text.rlike(guarded(pattern))
-        chain = F.when(hit, i) if chain is None else chain.when(hit, i)
-    return chain.otherwise(len(vocab.PARAGRAPH_PATTERNS))
+    def first_class(text: Column) -> Column:
+        chain = None
+        for i, pattern in enumerate(vocab.PARAGRAPH_PATTERNS):
+            hit = text.rlike(guarded(pattern))
+            chain = F.when(hit, i) if chain is None else chain.when(hit, i)
+        return chain.otherwise(len(vocab.PARAGRAPH_PATTERNS))
+
+    return let(F.lower(paragraph), first_class)
 
 
 def extract_job_context(c: Column, max_chars: int = vocab.RAW_TEXT_CHARS) -> Column:
@@ -137,7 +140,11 @@ def extract_job_context(c: Column, max_chars: int = vocab.RAW_TEXT_CHARS) -> Col
     Paragraphs are taken by class, then position, while they fit. One of the first three
     classes that does not fit is cut to the remaining room and ends the selection.
     """
-    text = F.replace(text_of(c), F.lit("\r\n"), F.lit("\n"))
+    unix = F.replace(text_of(c), F.lit("\r\n"), F.lit("\n"))
+    return let(unix, lambda text: _reduced(text, max_chars))
+
+
+def _reduced(text: Column, max_chars: int) -> Column:
     paragraphs = F.filter(F.transform(F.split(text, r"\n{2,}"), strip), lambda p: p != "")
     ranked = F.array_sort(
         F.transform(
@@ -214,35 +221,62 @@ def flat_lines(c: Column) -> Column:
 
 def snippet(chunk_text: Column, terms: Column, max_chars: int = 160, lead: int = 45) -> Column:
     """A window around the first term that occurs, or the head of the text."""
-    flat = flat_lines(chunk_text)
-    size = F.length(flat)
-    present = F.filter(terms, lambda t: F.contains(F.lower(flat), F.lower(t)))
-    zero_based = F.position(F.lower(first_of(present)), F.lower(flat)) - 1
-    begin = F.greatest(F.lit(0), zero_based - lead)
-    end = F.least(size, zero_based + (max_chars - lead))
-    window = strip(F.substring(flat, begin + 1, end - begin))
-    around = F.when((begin > 0) | (end < size), F.concat(F.lit("..."), window, F.lit("..."))).otherwise(window)
-    head = strip(F.substring(flat, 1, max_chars))
-    return F.when(F.size(present) > 0, around).otherwise(
-        F.when(size > max_chars, F.concat(head, F.lit("..."))).otherwise(head)
+    found = let(
+        flat_lines(chunk_text),
+        lambda flat: F.struct(
+            flat.alias("flat"),
+            F.length(flat).alias("size"),
+            let(
+                F.lower(flat),
+                lambda low: let(
+                    first_of(F.filter(terms, lambda t: F.contains(low, F.lower(t)))),
+                    lambda term: F.position(F.lower(term), low) - 1,
+                ),
+            ).alias("at"),
+        ),
     )
 
+    def cut(f: Column) -> Column:
+        flat, size = f["flat"], f["size"]
+        begin = F.greatest(F.lit(0), f["at"] - lead)
+        end = F.least(size, f["at"] + (max_chars - lead))
+        window = strip(F.substring(flat, begin + 1, end - begin))
+        around = F.when((begin > 0) | (end < size), F.concat(F.lit("..."), window, F.lit("..."))).otherwise(window)
+        head = strip(F.substring(flat, 1, max_chars))
+        return F.when(f["at"].isNotNull(), around).otherwise(
+            F.when(size > max_chars, F.concat(head, F.lit("..."))).otherwise(head)
+        )
+
+    return let(found, cut)
+
 
 def prepare_chunk_text(c: Column, max_chars: int = vocab.RERANK_CHUNK_CHARS) -> Column:
     """Header lines kept, the rest flattened and cut at a word end, for a length-limited scorer."""
-    text = strip(text_of(c))
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), strip), lambda s: s != "")
-    headers = F.filter(F.slice(lines, 1, 4), lambda s: F.contains(s, F.lit(":")))
-    body = F.array_join(F.filter(lines, lambda s: ~F.array_contains(headers, s)), " ")
-    prefix = F.array_join(headers, "\n")
-
     def to_word_end(s: Column) -> Column:
         return strip(F.regexp_replace(s, r" [^ ]*$", ""))
 
-    room = F.lit(max_chars - 1) - F.least(F.length(prefix), F.lit(max_chars // 3))
-    with_prefix = strip(F.concat(prefix, F.lit("\n"), to_word_end(F.substring(body, F.lit(1), room))))
-    without = to_word_end(F.substring(body, 1, max_chars))
-    return F.when(F.length(text) <= max_chars, text).when(prefix != "", with_prefix).otherwise(without)
+    def assembled(headers: Column, lines: Column) -> Column:
+        body = F.array_join(F.filter(lines, lambda s: ~F.array_contains(headers, s)), " ")
+
+        def with_prefix(prefix: Column) -> Column:
+            room = F.lit(max_chars - 1) - F.least(F.length(prefix), F.lit(max_chars // 3))
+            return F.when(
+                prefix != "", strip(F.concat(prefix, F.lit("\n"), to_word_end(F.substring(body, F.lit(1), room))))
+            ).otherwise(to_word_end(F.substring(body, 1, max_chars)))
+
+        return let(F.array_join(headers, "\n"), with_prefix)
+
+    def shortened(text: Column) -> Column:
+        lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), strip), lambda s: s != "")
+        headers = let(
+            lines,
+            lambda ls: let(
+                F.filter(F.slice(ls, 1, 4), lambda s: F.contains(s, F.lit(":"))), lambda hs: assembled(hs, ls)
+            ),
+        )
+        return F.when(F.length(text) <= max_chars, text).otherwise(headers)
+
+    return let(strip(text_of(c)), shortened)
 
 
 def dedupe_preserve_order(arr: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwork import vocab
 from siftwork.functions.strings import (
-    contains_any, count_of, dedupe_exact, dedupe_ignoring_case, empty_strings, filled, non_empty, string_array, strip,
+    contains_any, count_of, dedupe_exact, dedupe_ignoring_case, empty_strings, filled, let, non_empty, string_array,
+    strip,
     text_of,
 )
 
@@ -29,24 +30,30 @@ def role_family() -> Column:
         F.lower(text_of(F.col("bio"))),
         F.substring(F.lower(text_of(F.col("resume"))), 1, 600),
     )
-    votes = F.array(
-        *[
-            F.struct(
-                (count_of(combined, titles) * 2 + count_of(combined, vocab.FAMILY_SKILLS[family])).alias("votes"),
-                F.lit(-i).alias("rank"),
-                F.lit(family).alias("family"),
-            )
-            for i, (family, titles) in enumerate(vocab.FAMILY_TITLES.items())
-        ]
-    )
-    best = F.array_max(votes)
+
+    def votes(text: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    (count_of(text, titles) * 2 + count_of(text, vocab.FAMILY_SKILLS[family])).alias("votes"),
+                    F.lit(-i).alias("rank"),
+                    F.lit(family).alias("family"),
+                )
+                for i, (family, titles) in enumerate(vocab.FAMILY_TITLES.items())
+            ]
+        )
+
     internship = F.lower(text_of(F.col("job_type"))) == "internship"
-    return (
-        F.when(stated.isin(vocab.ROLE_FAMILIES), stated)
-        .when(best["votes"] == 0, F.when(internship, "internship").otherwise("general"))
-        .when((F.col("job_type") == "internship") & (best["votes"] <= 2), "internship")
-        .otherwise(best["family"])
-    )
+
+    def decided(best: Column) -> Column:
+        return (
+            F.when(best["votes"] == 0, F.when(internship, "internship").otherwise("general"))
+            .when((F.col("job_type") == "internship") & (best["votes"] <= 2), "internship")
+            .otherwise(best["family"])
+        )
+
+    inferred = let(let(combined, lambda text: F.array_max(votes(text))), decided)
+    return F.when(stated.isin(vocab.ROLE_FAMILIES), stated).otherwise(inferred)
 
 
 def seniority() -> Column:
@@ -81,11 +88,15 @@ def split_skills_tools(skills: Column, whole_word: bool = False) -> tuple[Column
 def credentials(family: Column) -> Column:
     """Credentials of the family that resume or bio mention, upper case."""
     text = F.lower(F.concat_ws(" ", text_of(F.col("resume")), text_of(F.col("bio"))))
-    chain = None
-    for name, phrases in vocab.FAMILY_CREDENTIALS.items():
-        known = string_array(phrases)
-        chain = F.when(family == name, known) if chain is None else chain.when(family == name, known)
-    found = F.filter(chain.otherwise(empty_strings()), lambda p: F.contains(text, p))
+
+    def known(name_of_family: Column) -> Column:
+        chain = None
+        for name, phrases in vocab.FAMILY_CREDENTIALS.items():
+            hit = name_of_family == name
+            chain = F.when(hit, string_array(phrases)) if chain is None else chain.when(hit, string_array(phrases))
+        return chain.otherwise(empty_strings())
+
+    found = let(text, lambda low: F.filter(let(family, known), lambda p: F.contains(low, p)))
     return F.transform(found, F.upper)
 
 
@@ -179,7 +190,7 @@ def _join_first(arr: Column, n: int) -> Column:
 
 
 def _sentence(prefix: str, body: Column) -> Column:
-    return F.when(body != "", F.concat(F.lit(prefix), body, F.lit(".")))
+    return let(body, lambda b: F.when(b != "", F.concat(F.lit(prefix), b, F.lit("."))))
 
 
 def match_query(user_text: Column | None = None, profile_context: bool = True, query_context: bool = True) -> Column:

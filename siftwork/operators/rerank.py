@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from siftwork import vocab
 from siftwork.functions import text as X
 from siftwork.functions.strings import (
-    contains_any, dedupe_ignoring_case, empty_strings, first_of, round4, strip,
+    contains_any, dedupe_ignoring_case, empty_strings, first_of, let, round4, strip,
 )
 from siftwork.functions.vectors import clamp_k
 from siftwork.operators.retrieval import mean_of_first
@@ -72,7 +72,7 @@ def pick_chunks(hits: Column, match_query: Column, n: int | None = None) -> Colu
         )
 
     allowed = F.filter(
-        best_per_section(hits),
+        let(hits, best_per_section),
         lambda h: (h["chunk_key"] != "benefits") | perks | (h["similarity"] >= 0.55),
     )
     return F.slice(F.array_sort(F.transform(allowed, with_order)), 1, n)
@@ -111,11 +111,13 @@ def section_weight(section: Column, match_query: Column, family: Column) -> Colu
 
 def lexical_score(query: Column, text: Column) -> Column:
     """A raw score without a model: share of distinct query terms in the text, on -4..4."""
+
+    def share(terms: Column, low: Column) -> Column:
+        found = F.size(F.filter(terms, lambda t: F.contains(low, t))).cast("double")
+        return F.when(F.size(terms) > 0, found / F.size(terms)).otherwise(F.lit(0.0))
+
     terms = F.array_distinct(F.transform(X.query_terms(query), F.lower))
-    lowered = F.lower(text)
-    found = F.size(F.filter(terms, lambda t: F.contains(lowered, t))).cast("double")
-    share = F.when(F.size(terms) > 0, found / F.size(terms)).otherwise(F.lit(0.0))
-    return share * 8.0 - 4.0
+    return let(terms, lambda ts: let(F.lower(text), lambda low: share(ts, low))) * 8.0 - 4.0
 
 
 def model_scorer(make_model: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
@@ -159,8 +161,10 @@ def rerank_chunks(
 
 def evidence_terms(match_query: Column, texts: Column) -> Column:
     """Up to five distinct query terms found in the first three chunk texts."""
-    combined = F.lower(F.array_join(F.slice(texts, 1, 3), " "))
-    present = F.filter(X.query_terms(match_query), lambda t: F.contains(combined, F.lower(t)))
+    present = let(
+        F.lower(F.array_join(F.slice(texts, 1, 3), " ")),
+        lambda low: F.filter(X.query_terms(match_query), lambda t: F.contains(low, F.lower(t))),
+    )
     return F.slice(dedupe_ignoring_case(present), 1, 5)
 
 
@@ -174,9 +178,13 @@ def _has_credential(label: str) -> Column:
 
 def match_evidence(title: Column, texts: Column, terms: Column) -> Column:
     """Deterministic signals for and against a posting, from the columns of an intent row."""
-    combined = F.lower(F.array_join(texts, " "))
-    job_title = F.lower(title)
+    return let(
+        F.lower(F.array_join(texts, " ")),
+        lambda combined: let(F.lower(title), lambda job_title: _signals(job_title, combined, terms)),
+    )
+
 
+def _signals(job_title: Column, combined: Column, terms: Column) -> Column:
     def said(term: Column) -> Column:
         return F.contains(combined, F.lower(term))
 

@@ -35,7 +35,7 @@ def _distances(chunks: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarr
             out = 1.0 - dots / norms
     else:
         out = (chunks**2).sum(axis=1)[:, None] + (queries**2).sum(axis=1)[None, :] - 2.0 * dots
-    return np.round(np.nan_to_num(out, nan=1.0), V.DISTANCE_DECIMALS)
+    return np.round(np.nan_to_num(out, nan=1.0), V.DISTANCE_DECIMALS) + 0.0
 
 
 class _TopK:

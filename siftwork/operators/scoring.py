@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork import vocab
@@ -19,15 +19,19 @@ SCORE_COLUMNS = [
 ]
 
 
-def _weights_column():
-    return F.struct(
-        *[F.coalesce(F.col(f"weights.{d}"), F.lit(w)).alias(d) for d, w in vocab.DIMENSION_WEIGHTS.items()]
-    ).alias("weights")
+def weight_columns(profiles: DataFrame) -> dict[str, Column]:
+    """A profile's dimension weights, the defaults where it has none."""
+    own = "weights" in profiles.columns
+    return {
+        d: F.coalesce(F.col(f"weights.{d}"), F.lit(w)) if own else F.lit(w)
+        for d, w in vocab.DIMENSION_WEIGHTS.items()
+    }
 
 
 def _scoring_profile(profiles: DataFrame) -> DataFrame:
     lists = [F.coalesce(F.col(c), empty_strings()).alias(f"p_{c}") for c in ("titles", "desired_skills")]
-    return profiles.select("profile", *lists, F.col("resume").alias("p_resume"), _weights_column())
+    weights = F.struct(*[c.alias(d) for d, c in weight_columns(profiles).items()]).alias("weights")
+    return profiles.select("profile", *lists, F.col("resume").alias("p_resume"), weights)
 
 
 def gate(postings: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -107,10 +111,7 @@ def failed_responses(postings: DataFrame, profiles: DataFrame, responses: DataFr
 
 def validate_weights(profiles: DataFrame) -> DataFrame:
     """(profile, weight_sum, valid): the six weights must add up to 1 within 0.01."""
-    total = None
-    for d, w in vocab.DIMENSION_WEIGHTS.items():
-        part = F.coalesce(F.col(f"weights.{d}"), F.lit(w))
-        total = part if total is None else total + part
+    total = sum(weight_columns(profiles).values(), F.lit(0.0))
     return profiles.select("profile", total.alias("weight_sum")).withColumn(
         "valid", F.col("weight_sum").between(0.99, 1.01)
     )
