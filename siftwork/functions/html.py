@@ -7,10 +7,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.functions.strings import let, strip
+from siftwork.functions.strings import let, sql_literal, strip
 from siftwork.vocab import HTML_ENTITIES
 
 
+_ENTITY_TABLE = "array(" + ", ".join(
+    f"named_struct('name', '&{name};', 'text', {sql_literal(char)})" for name, char in HTML_ENTITIES.items()
+) + ")"
+
+
 def _decode_numeric(c: Column) -> Column:
     """``&#8217;`` and ``&#x2019;``, each distinct reference once; ``c`` is a bound value."""
     references = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
@@ -32,9 +37,9 @@ def _decode_numeric(c: Column) -> Column:
 def unescape(c: Column) -> Column:
     """Decode entities once. Named ones come from the fixed table, ``&amp;`` last."""
     def decode(text: Column) -> Column:
-        named = _decode_numeric(text)
-        for name, char in HTML_ENTITIES.items():
-            named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
+        named = F.aggregate(
+            F.expr(_ENTITY_TABLE), _decode_numeric(text), lambda acc, e: F.replace(acc, e["name"], e["text"])
+        )
         return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
 
     return let(c, decode)

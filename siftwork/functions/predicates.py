@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.functions.strings import UNICODE, contains_any, either, first_of, let, strip, text_of
+from siftwork.functions.strings import UNICODE, contains_any, either, first_of, is_one_of, let, strip, text_of
 from siftwork.functions.text import extract_yoe
 
 
 def title_words(titles: Column) -> Column:
     """Distinct words of the preferred titles that say something about a role."""
     words = F.flatten(F.transform(titles, lambda t: F.split(F.lower(t), r"\s+")))
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(vocab.TITLE_STOPWORDS)))
+    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~is_one_of(w, vocab.TITLE_STOPWORDS)))
 
 
 def title_matches(title: Column, words: Column) -> Column:
@@ -127,7 +127,7 @@ def is_us_location(location: Column) -> Column:
     def judged(loc: Column) -> Column:
         return let(
             F.lower(loc),
-            lambda low: F.when(low.isin(vocab.LOCATION_PLACEHOLDERS), True)
+            lambda low: F.when(is_one_of(low, vocab.LOCATION_PLACEHOLDERS), True)
             .when(contains_any(low, vocab.NON_US_PLACES), False)
             .when(F.contains(low, F.lit("remote")), True)
             .otherwise(_us_signal(loc, low)),
@@ -158,7 +158,7 @@ def filter_reason(
     min_yoe: Column, max_yoe: Column, intent_keywords: Column, degree_filter: Column,
 ) -> Column:
     """The first rule a posting breaks, as text; empty when it passes all of them."""
-    structured = source.isin(vocab.STRUCTURED_SOURCES)
+    structured = is_one_of(source, vocab.STRUCTURED_SOURCES)
     is_thread = source == "hackernews"
     searched = F.when(structured, title).otherwise(F.concat(title, F.lit(" "), text))
     blocked = blocked_term(searched, block_any, block_terms, block_patterns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.functions.strings import contains_any, count_of, first_of, let, strip
+from siftwork.functions.strings import count_of, first_of, let, string_array, strip, term_table
 
 _HEADER = r"^(?:[-*]\s+)?([A-Za-z][A-Za-z0-9 &/'()-]{1,80}):?\s*$"
 
@@ -28,13 +28,11 @@ def looks_like_header(line: Column) -> Column:
 
 def _by_header(line: Column, answers: dict[str, str]) -> Column:
     """Answer of the first label, in table order, one of whose phrases the header contains."""
+    table = term_table(vocab.HEADER_PHRASES, {label: [answer] for label, answer in answers.items()})
 
     def first_label(header: Column) -> Column:
-        chain = None
-        for label, phrases in vocab.HEADER_PHRASES.items():
-            hit = contains_any(header, phrases)
-            chain = F.when(hit, answers[label]) if chain is None else chain.when(hit, answers[label])
-        return chain
+        hit = first_of(F.filter(table, lambda row: F.exists(row["terms"], lambda p: F.contains(header, p))))
+        return first_of(hit["extra"])
 
     return let(F.lower(F.rtrim(strip(line), F.lit(":"))), first_label)
 
@@ -61,16 +59,16 @@ def assign_section(block: Column, is_first: Column) -> Column:
     """The section with most phrase hits (a matching header counts three), earliest section on ties."""
     announced = let(first_line(block), lambda line: F.when(looks_like_header(line), classify_header(line)))
 
+    table = term_table({s: section_phrases(s) for s in vocab.SECTIONS})
+
     def votes(lowered: Column, header_section: Column) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    (count_of(lowered, section_phrases(s)) + F.when(header_section == s, 3).otherwise(0)).alias("votes"),
-                    F.lit(-i).alias("rank"),
-                    F.lit(s).alias("section"),
-                )
-                for i, s in enumerate(vocab.SECTIONS)
-            ]
+        return F.transform(
+            table,
+            lambda row: F.struct(
+                (count_of(lowered, row["terms"]) + F.when(header_section == row["key"], 3).otherwise(0)).alias("votes"),
+                row["rank"].alias("rank"),
+                row["key"].alias("section"),
+            ),
         )
 
     best = let(announced, lambda a: let(F.lower(block), lambda low: F.array_max(votes(low, a))))
@@ -88,4 +86,4 @@ def normalize_block(block: Column) -> Column:
 
 
 def section_order(section: Column) -> Column:
-    return (F.array_position(F.array(*[F.lit(s) for s in vocab.SECTIONS]), section) - 1).cast("int")
+    return (F.array_position(string_array(vocab.SECTIONS), section) - 1).cast("int")

@@ -41,8 +41,43 @@ def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+# Fixed lists and tables enter a plan as one parsed literal. Built value by value they would
+# cost a driver round trip each, and long chains of conditions instead of one lookup.
+
+
+def sql_literal(value: str | float | int | bool) -> str:
+    if isinstance(value, bool) or not isinstance(value, (str, float)):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def string_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else empty_strings()
+    return F.expr("array(" + ", ".join(map(sql_literal, values)) + ")") if values else empty_strings()
+
+
+def lookup(table: dict[str, str | float | int | bool], key: Column) -> Column:
+    """Value of a fixed table, null for other keys."""
+    pairs = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
+def term_table(rows: dict[str, Sequence[str]], extra: dict[str, Sequence[str]] | None = None) -> Column:
+    """Fixed rows as an array of (key, rank, terms, extra); rank is 0 for the first row, then -1 ..."""
+
+    def arr(values: Sequence[str]) -> str:
+        return "array(" + ", ".join(map(sql_literal, values)) + ")"
+
+    structs = [
+        f"named_struct('key', {sql_literal(k)}, 'rank', {-i}, 'terms', {arr(terms)}, 'extra', {arr((extra or {}).get(k, ['']))})"
+        for i, (k, terms) in enumerate(rows.items())
+    ]
+    return F.expr("array(" + ", ".join(structs) + ")")
+
+
+def is_one_of(c: Column, values: Sequence[str]) -> Column:
+    return F.array_contains(string_array(values), c)
 
 
 def non_empty(arr: Column) -> Column:
@@ -81,12 +116,9 @@ def contains_any_of(c: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: F.contains(c, t))
 
 
-def count_of(c: Column, values: Sequence[str]) -> Column:
-    """How many of these fixed terms occur as substrings."""
-    total = F.lit(0)
-    for v in values:
-        total = total + F.contains(c, F.lit(v)).cast("int")
-    return total
+def count_of(c: Column, terms: Column) -> Column:
+    """How many of these terms occur as substrings."""
+    return F.size(F.filter(terms, lambda t: F.contains(c, t)))
 
 
 def quote_terms(terms: Column) -> Column:

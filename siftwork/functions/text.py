@@ -13,7 +13,9 @@ from siftwork.functions.strings import (
     filled,
     first_of,
     guarded,
+    is_one_of,
     let,
+    lookup,
     strip,
     text_of,
     title_case,
@@ -109,17 +111,20 @@ def parse_money(c: Column) -> Column:
 # ---- posting text --------------------------------------------------------------------------
 
 
+def raw_text_header(title: Column, company: Column, location: Column, url: Column) -> Column:
+    return F.concat(
+        F.lit("Title: "), text_of(title), F.lit("\nCompany: "), text_of(company), F.lit("\nLocation: "),
+        text_of(location), F.lit("\nURL: "), text_of(url), F.lit("\n\nDescription:\n"),
+    )
+
+
 def build_raw_text(
     title: Column, company: Column, location: Column, url: Column, description: Column,
     max_chars: int = vocab.RAW_TEXT_CHARS,
 ) -> Column:
     """Labelled header lines plus description, reduced to the relevant paragraphs."""
-    full = F.concat(
-        F.lit("Title: "), text_of(title), F.lit("\nCompany: "), text_of(company),
-        F.lit("\nLocation: "), text_of(location), F.lit("\nURL: "), text_of(url),
-        F.lit("\n\nDescription:\n"), text_of(description),
-    )
-    return extract_job_context(strip(full), max_chars)
+    header = raw_text_header(title, company, location, url)
+    return extract_job_context(strip(F.concat(header, text_of(description))), max_chars)
 
 
 def paragraph_priority(paragraph: Column) -> Column:
@@ -212,7 +217,7 @@ def description_body(raw_text: Column) -> Column:
 
 def query_terms(c: Column) -> Column:
     found = F.regexp_extract_all(text_of(c), F.lit(r"[A-Za-z][A-Za-z0-9+#./-]{2,}"), F.lit(0))
-    return F.filter(found, lambda t: ~F.lower(t).isin(vocab.QUERY_STOPWORDS))
+    return F.filter(found, lambda t: ~is_one_of(F.lower(t), vocab.QUERY_STOPWORDS))
 
 
 def flat_lines(c: Column) -> Column:
@@ -310,10 +315,8 @@ def score_state(fit: Column, attempts: Column, error: Column) -> Column:
 
 
 def source_label(source: Column) -> Column:
-    chain = None
-    for key, label in vocab.SOURCE_LABELS.items():
-        chain = F.when(source == key, label) if chain is None else chain.when(source == key, label)
-    return chain.otherwise(title_case(F.replace(source, F.lit("_"), F.lit(" "))))
+    own = title_case(F.replace(source, F.lit("_"), F.lit(" ")))
+    return F.coalesce(lookup(vocab.SOURCE_LABELS, source), own)
 
 
 def status_label(status: Column) -> Column:

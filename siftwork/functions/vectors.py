@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.functions.strings import contains_any, first_of
+from siftwork.functions.strings import contains_any, first_of, lookup
 
 METRICS = ("cosine", "l2sq")
 # Distances are compared at this many decimals: stored vectors are single precision, and
@@ -35,12 +35,8 @@ def similarity(dist: Column) -> Column:
 def retrieval_weight(chunk_key: Column, query_text: Column) -> Column:
     """Section weight in retrieval; pay words in the query lift compensation and benefits."""
     about_pay = contains_any(F.lower(F.coalesce(query_text, F.lit(""))), vocab.PAY_QUERY_TERMS)
-    chain = F.when((chunk_key == "compensation") & about_pay, F.lit(1.05)).when(
-        (chunk_key == "benefits") & about_pay, F.lit(1.00)
-    )
-    for section, weight in vocab.RETRIEVAL_WEIGHTS.items():
-        chain = chain.when(chunk_key == section, F.lit(weight))
-    return chain.otherwise(F.lit(1.0))
+    lifted = F.when(about_pay, lookup({"compensation": 1.05, "benefits": 1.00}, chunk_key))
+    return F.coalesce(lifted, lookup(vocab.RETRIEVAL_WEIGHTS, chunk_key), F.lit(1.0))
 
 
 def retrieval_reason(sections: Column) -> Column:

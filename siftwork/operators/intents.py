@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from siftwork import vocab
 from siftwork.functions.strings import (
-    contains_any, count_of, dedupe_exact, dedupe_ignoring_case, empty_strings, filled, let, non_empty, string_array,
-    strip,
+    contains_any, count_of, dedupe_exact, dedupe_ignoring_case, empty_strings, filled, is_one_of, let, non_empty, strip,
+    term_table,
     text_of,
 )
 
@@ -32,15 +32,13 @@ def role_family() -> Column:
     )
 
     def votes(text: Column) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    (count_of(text, titles) * 2 + count_of(text, vocab.FAMILY_SKILLS[family])).alias("votes"),
-                    F.lit(-i).alias("rank"),
-                    F.lit(family).alias("family"),
-                )
-                for i, (family, titles) in enumerate(vocab.FAMILY_TITLES.items())
-            ]
+        return F.transform(
+            term_table(vocab.FAMILY_TITLES, vocab.FAMILY_SKILLS),
+            lambda row: F.struct(
+                (count_of(text, row["terms"]) * 2 + count_of(text, row["extra"])).alias("votes"),
+                row["rank"].alias("rank"),
+                row["key"].alias("family"),
+            ),
         )
 
     internship = F.lower(text_of(F.col("job_type"))) == "internship"
@@ -53,7 +51,7 @@ def role_family() -> Column:
         )
 
     inferred = let(let(combined, lambda text: F.array_max(votes(text))), decided)
-    return F.when(stated.isin(vocab.ROLE_FAMILIES), stated).otherwise(inferred)
+    return F.when(is_one_of(stated, vocab.ROLE_FAMILIES), stated).otherwise(inferred)
 
 
 def seniority() -> Column:
@@ -89,21 +87,16 @@ def credentials(family: Column) -> Column:
     """Credentials of the family that resume or bio mention, upper case."""
     text = F.lower(F.concat_ws(" ", text_of(F.col("resume")), text_of(F.col("bio"))))
 
-    def known(name_of_family: Column) -> Column:
-        chain = None
-        for name, phrases in vocab.FAMILY_CREDENTIALS.items():
-            hit = name_of_family == name
-            chain = F.when(hit, string_array(phrases)) if chain is None else chain.when(hit, string_array(phrases))
-        return chain.otherwise(empty_strings())
-
-    found = let(text, lambda low: F.filter(let(family, known), lambda p: F.contains(low, p)))
+    table = term_table(vocab.FAMILY_CREDENTIALS)
+    known = let(family, lambda name: F.flatten(F.filter(table, lambda row: row["key"] == name)["terms"]))
+    found = let(text, lambda low: F.filter(known, lambda p: F.contains(low, p)))
     return F.transform(found, F.upper)
 
 
 def pay_preference() -> Column:
     stated = strip(F.lower(text_of(F.col("intern_pay_preference"))))
     return (
-        F.when(stated.isin(vocab.INTERN_PAY_PREFERENCES), stated)
+        F.when(is_one_of(stated, vocab.INTERN_PAY_PREFERENCES), stated)
         .when(F.coalesce(F.col("monthly_stipend"), F.lit(0)) != 0, "paid_only")
         .otherwise("no_preference")
     )

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from siftwork import vocab
 from siftwork.functions import text as X
 from siftwork.functions.strings import (
-    contains_any, dedupe_ignoring_case, empty_strings, first_of, let, round4, strip,
+    contains_any, contains_any_of, dedupe_ignoring_case, empty_strings, first_of, let, lookup, round4, string_array, strip,
+    term_table,
 )
 from siftwork.functions.vectors import clamp_k
 from siftwork.operators.retrieval import mean_of_first
@@ -28,13 +29,6 @@ def wants_benefits(query: Column) -> Column:
     return contains_any(F.lower(query), vocab.BENEFITS_TERMS)
 
 
-def _by_section(section: Column, values: dict[str, float | int], default: float | int) -> Column:
-    chain = None
-    for key, value in values.items():
-        chain = F.when(section == key, F.lit(value)) if chain is None else chain.when(section == key, F.lit(value))
-    return chain.otherwise(F.lit(default))
-
-
 # ---- selection -----------------------------------------------------------------------------
 
 
@@ -53,18 +47,22 @@ def pick_chunks(hits: Column, match_query: Column, n: int | None = None) -> Colu
     out unless asked for.
     """
     n = clamp_k(n, vocab.RERANK_CHUNKS_PER_JOB, vocab.RERANK_CHUNKS_PER_JOB_MAX)
-    pay, perks = wants_compensation(match_query), wants_benefits(match_query)
+    return let(
+        F.struct(wants_compensation(match_query).alias("pay"), wants_benefits(match_query).alias("perks")),
+        lambda wish: _picked(hits, wish["pay"], wish["perks"], n),
+    )
+
 
+def _picked(hits: Column, pay: Column, perks: Column, n: int) -> Column:
     def with_order(h: Column) -> Column:
         key = h["chunk_key"]
-        turn = (
-            F.when(key == "requirements", 1).when(key == "responsibilities", 2).when(key == "summary", 3)
-            .when((key == "compensation") & pay, 4).when((key == "benefits") & perks, 5).otherwise(10)
-        )
-        priority = (
-            F.when((key == "compensation") & pay, 3).when((key == "benefits") & perks, 3)
-            .otherwise(_by_section(key, vocab.SECTION_PRIORITY, 0))
+        asked = ((key == "compensation") & pay) | ((key == "benefits") & perks)
+        turn = F.coalesce(
+            lookup({"requirements": 1, "responsibilities": 2, "summary": 3}, key),
+            F.when(asked, lookup({"compensation": 4, "benefits": 5}, key)),
+            F.lit(10),
         )
+        priority = F.when(asked, 3).otherwise(F.coalesce(lookup(vocab.SECTION_PRIORITY, key), F.lit(0)))
         return F.struct(
             turn.alias("turn"), (-priority).alias("priority"), (-h["similarity"]).alias("dissimilarity"),
             h["chunk_order"].alias("chunk_order"), key.alias("chunk_key"), h["similarity"].alias("similarity"),
@@ -99,14 +97,21 @@ def select_chunks(jobs: DataFrame, queries: DataFrame, n: int | None = None) ->
 def section_weight(section: Column, match_query: Column, family: Column) -> Column:
     """Section weight in reranking: pay and perks of the query first, then the family table."""
     pay, perks = wants_compensation(match_query), wants_benefits(match_query)
-    chain = F.when((section == "compensation") & pay, F.lit(1.05)).when(
-        (section == "benefits") & (pay | perks), F.lit(1.00)
+    asked = F.when(section == "compensation", F.when(pay, F.lit(1.05))).when(
+        section == "benefits", F.when(pay | perks, F.lit(1.00))
     )
-    general = vocab.FAMILY_SECTION_WEIGHTS["general"]
-    for name, weights in vocab.FAMILY_SECTION_WEIGHTS.items():
-        if name != "general":
-            chain = chain.when(family == name, _by_section(section, dict(zip(vocab.SECTIONS, weights)), 1.0))
-    return chain.otherwise(_by_section(section, dict(zip(vocab.SECTIONS, general)), 1.0))
+
+    def of_family(name: Column) -> Column:
+        return lookup(_FAMILY_WEIGHTS, F.concat(name, F.lit("/"), section))
+
+    return F.coalesce(asked, of_family(family), of_family(F.lit("general")), F.lit(1.0))
+
+
+_FAMILY_WEIGHTS = {
+    f"{family}/{section}": weight
+    for family, weights in vocab.FAMILY_SECTION_WEIGHTS.items()
+    for section, weight in zip(vocab.SECTIONS, weights)
+}
 
 
 def lexical_score(query: Column, text: Column) -> Column:
@@ -172,10 +177,6 @@ def _prefixed(label: str, value: Column) -> Column:
     return F.concat(F.lit(label), value)
 
 
-def _has_credential(label: str) -> Column:
-    return F.exists("credentials", lambda c: F.contains(F.lower(c), F.lit(label.lower())))
-
-
 def match_evidence(title: Column, texts: Column, terms: Column) -> Column:
     """Deterministic signals for and against a posting, from the columns of an intent row."""
     return let(
@@ -199,21 +200,23 @@ def _signals(job_title: Column, combined: Column, terms: Column) -> Column:
     remote = F.col("remote_ok") & F.contains(combined, F.lit("remote"))
     place = first_of(F.filter(F.slice("locations", 1, 2), said))
     industry = first_of(F.filter(F.slice("industries", 1, 2), said))
-    positive = F.array(
-        F.when(F.size(roles) > 0, _prefixed("Title match: ", first_of(roles))),
-        F.when(F.size(found) > 0, _prefixed("Skills present: ", F.array_join(found, ", "))),
-        F.when(remote, F.lit("Remote-friendly posting")).when(place.isNotNull(), _prefixed("Location match: ", place)),
-        F.when(industry.isNotNull(), _prefixed("Industry match: ", industry)),
-    )
 
-    senior = first_of(
-        F.filter(F.array(*[F.lit(s) for s in vocab.SENIOR_TITLE_SIGNALS]), lambda s: F.contains(job_title, s))
-    )
+    # A null part leaves the whole text null, so an absent signal is an absent entry.
+    def positive(keywords: Column) -> Column:
+        return F.array(
+            _prefixed("Title match: ", first_of(roles)),
+            F.when(F.size(keywords) > 0, _prefixed("Skills present: ", F.array_join(keywords, ", "))),
+            F.when(remote, F.lit("Remote-friendly posting")).otherwise(_prefixed("Location match: ", place)),
+            _prefixed("Industry match: ", industry),
+        )
+
+    senior = first_of(F.filter(string_array(vocab.SENIOR_TITLE_SIGNALS), lambda s: F.contains(job_title, s)))
     junior = F.col("seniority").isin("entry", "mid", "intern")
-    asked = {
-        label: contains_any(combined, phrases) & ~_has_credential(label)
-        for label, phrases in vocab.CREDENTIAL_PHRASES.items()
-    }
+    asked = F.filter(
+        term_table(vocab.CREDENTIAL_PHRASES),
+        lambda row: contains_any_of(combined, row["terms"])
+        & ~F.exists("credentials", lambda c: F.contains(F.lower(c), F.lower(row["key"]))),
+    )["key"]
     elsewhere = (
         ~F.col("remote_ok") & (F.size("locations") > 0) & contains_any(combined, vocab.ONSITE_PHRASES)
         & ~F.exists("locations", said)
@@ -223,24 +226,29 @@ def _signals(job_title: Column, combined: Column, terms: Column) -> Column:
         & (F.col("compensation.intern_pay_preference") == "paid_only")
         & F.contains(combined, F.lit("unpaid"))
     )
-    concerns = F.array(
+    first_concerns = F.array(
         F.when(
             junior & senior.isNotNull(),
             F.concat(F.lit("Seniority concern: posting appears "), strip(senior), F.lit("-level")),
         ),
         F.when(contains_any(combined, vocab.CLEARANCE_PHRASES), F.lit("Clearance requirement detected")),
         F.when(contains_any(combined, vocab.NO_SPONSOR_PHRASES), F.lit("Work authorization requirement detected")),
-        *[F.when(hit, F.lit(f"Credential may be required: {label}")) for label, hit in asked.items()],
+    )
+    last_concerns = F.array(
         F.when(unpaid, F.lit("Posting may be unpaid (profile requires paid internship)")),
         F.when(elsewhere, F.lit("Location may not match profile preferences")),
     )
-    missing = F.array(*[F.when(hit, F.lit(label)) for label, hit in asked.items()])
-    return F.struct(
-        F.slice(F.array_compact(positive), 1, 5).alias("positive"),
-        F.slice(F.array_compact(concerns), 1, 5).alias("concerns"),
-        F.slice(dedupe_ignoring_case(F.concat(F.slice(terms, 1, 8), found)), 1, 8).alias("matched_keywords"),
-        F.slice(F.array_compact(missing), 1, 4).alias("missing_or_unclear"),
-    )
+
+    def evidence(missing: Column, keywords: Column) -> Column:
+        required = F.transform(missing, lambda label: _prefixed("Credential may be required: ", label))
+        return F.struct(
+            F.slice(F.array_compact(positive(keywords)), 1, 5).alias("positive"),
+            F.slice(F.array_compact(F.concat(first_concerns, required, last_concerns)), 1, 5).alias("concerns"),
+            F.slice(dedupe_ignoring_case(F.concat(F.slice(terms, 1, 8), keywords)), 1, 8).alias("matched_keywords"),
+            F.slice(missing, 1, 4).alias("missing_or_unclear"),
+        )
+
+    return let(asked, lambda missing: let(found, lambda keywords: evidence(missing, keywords)))
 
 
 def match_reason(section_scores: Column, terms: Column) -> Column:

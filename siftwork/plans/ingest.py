@@ -37,8 +37,8 @@ def judge(normalized: DataFrame, profiles: DataFrame, as_of: Column) -> DataFram
     return flagged.drop(*[c for c in RULE_COLUMNS if c != "profile"])
 
 
-def admitted(judged: DataFrame, created_at: Column) -> DataFrame:
-    """Postings to store. Unqualified ones are stored with their reason, so they are not judged again."""
+def admitted(judged: DataFrame) -> DataFrame:
+    """Postings to store, created when they were fetched. Unqualified ones are stored with their reason, so they are not judged again."""
     kept = judged.where(F.col("fresh") & F.col("title_match") & ~F.col("hard_no"))
     return kept.select(
         "id", "title", "company", "location", "url", "raw_text",
@@ -47,12 +47,12 @@ def admitted(judged: DataFrame, created_at: Column) -> DataFrame:
         F.lit("new").alias("status"),
         (F.col("scrape_filter_reason") == "").alias("scrape_qualified"),
         "scrape_filter_reason", "posted_at",
-        created_at.alias("created_at"),
+        F.col("fetched_at").alias("created_at"),
         "profile", "source",
     )
 
 
-def admit_early(normalized: DataFrame, profiles: DataFrame, as_of: Column, created_at: Column) -> DataFrame:
+def admit_early(normalized: DataFrame, profiles: DataFrame, as_of: Column) -> DataFrame:
     """The same rows as ``admitted(judge(...))``, with age and title as plain filters that the
     optimizer pushes below the HTML and context extraction of the normalizers."""
     ruled = with_rules(normalized, profiles)
@@ -61,7 +61,7 @@ def admit_early(normalized: DataFrame, profiles: DataFrame, as_of: Column, creat
     )
     clean = reached.where(~P.contains_hard_no(F.col("full_text"), F.col("hard_no_pattern")))
     flags = {"fresh": F.lit(True), "title_match": F.lit(True), "hard_no": F.lit(False)}
-    return admitted(clean.withColumns({**flags, "scrape_filter_reason": reason_column()}), created_at)
+    return admitted(clean.withColumns({**flags, "scrape_filter_reason": reason_column()}))
 
 
 def scrape_stats(judged: DataFrame, target: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def scrape_stats(judged: DataFrame, target: DataFrame) -> DataFrame:
     ).where(F.col("profile").isNotNull())
 
 
-def ingest(raw: DataFrame, profiles: DataFrame, as_of: Column, created_at: Column | None = None) -> DataFrame:
+def ingest(raw: DataFrame, profiles: DataFrame, as_of: Column) -> DataFrame:
     """Raw payload rows of all enabled sources to storable postings."""
     normalized = normalize_all(enabled_only(raw, profiles), as_of)
-    return admit_early(normalized, profiles, as_of, as_of if created_at is None else created_at)
+    return admit_early(normalized, profiles, as_of)

@@ -4,7 +4,7 @@ Raw rows are (profile, source, company, fetched_at, payload); each normalizer pa
 source's JSON with an explicit schema. A normalized row has
 
     profile, source, id, title, company, location, filter_location, url, description,
-    full_text, raw_text, posted_at
+    full_text, raw_text, posted_at, fetched_at
 
 where ``full_text`` and ``filter_location`` are what the qualification rules read.
 """
@@ -20,11 +20,11 @@ from siftwork import vocab
 from siftwork.functions.html import strip_html
 from siftwork.functions.predicates import effective_location
 from siftwork.functions.strings import filled, strip, text_of
-from siftwork.functions.text import build_raw_text, extract_job_context, make_id, parse_posted_at
+from siftwork.functions.text import extract_job_context, make_id, parse_posted_at, raw_text_header
 
 NORMALIZED = [
     "profile", "source", "id", "title", "company", "location", "filter_location", "url", "description", "full_text",
-    "raw_text", "posted_at",
+    "raw_text", "posted_at", "fetched_at",
 ]
 
 GREENHOUSE = (
@@ -58,77 +58,81 @@ HIMALAYAS = (
     "locationRestrictions:array<string>,applicationLink:string,url:string,description:string,pubDate:string>>>"
 )
 
-HTML_TO_TEXT = strip_html
-
-
+# What a source contributes before any text is built. A posting's text is either ``plain``, or
+# ``html`` to be stripped, followed by ``extras``; a null title is the first line of the text.
 def _exploded(raw: DataFrame, source: str, schema: str, items) -> DataFrame:
     """Raw rows of one source with one row per posting, in the struct column ``p``."""
     parsed = raw.where(F.col("source") == source).withColumn("j", F.from_json("payload", schema))
-    return parsed.select("profile", "company", F.explode(items(F.col("j"))).alias("p"))
+    return parsed.select("profile", F.col("company").alias("board"), "fetched_at", F.explode(items(F.col("j"))).alias("p"))
 
 
-def _finish(rows: DataFrame, source: str, source_id: Column, fields: dict[str, Column]) -> DataFrame:
-    """Common columns from the per-source ones.
+def _null() -> Column:
+    return F.lit(None).cast("string")
 
-    Text is built in a second projection; a filter on title or date runs before it.
-    """
-    base = rows.select(
-        "profile",
-        F.lit(source).alias("source"),
-        make_id(source, source_id).alias("id"),
-        *[fields[c].alias(c) for c in ("title", "company", "location", "filter_location", "url", "posted_at")],
-        fields["shown_company"].alias("_company"),
-        fields["shown_location"].alias("_location"),
-        fields["description"].alias("description"),
+
+def _base(
+    rows: DataFrame, source: str, *, source_id: Column, title: Column, company: Column, location: Column, url: Column,
+    posted_at: Column, html: Column, plain: Column | None = None, extras: Column | None = None,
+    shown_company: Column | None = None, shown_location: Column | None = None, filter_location: Column | None = None,
+) -> DataFrame:
+    header = raw_text_header(
+        title, F.upper("board") if shown_company is None else shown_company,
+        location if shown_location is None else shown_location, url,
     )
-    raw_text = build_raw_text(
-        F.col("title"), F.col("_company"), F.col("_location"), F.col("url"), F.col("description")
+    return rows.select(
+        "profile", F.lit(source).alias("source"), make_id(source, source_id).alias("id"), title.alias("title"),
+        company.alias("company"), location.alias("location"),
+        (location if filter_location is None else filter_location).alias("filter_location"),
+        url.alias("url"), posted_at.alias("posted_at"), "fetched_at", header.alias("header"), html.alias("html"),
+        (_null() if plain is None else plain).alias("plain"), (_null() if extras is None else extras).alias("extras"),
     )
-    full_text = F.concat(F.col("title"), F.lit(" "), F.col("description"))
-    return base.withColumn("raw_text", raw_text).withColumn("full_text", full_text).select(*NORMALIZED)
 
 
-def normalize_greenhouse(raw: DataFrame) -> DataFrame:
+def assemble(base: DataFrame) -> DataFrame:
+    """Texts from what the sources contributed; the same few projections for all of them.
+
+    The texts are built above the fields, so a later filter on title or date runs first and
+    the stripping is spared for postings that do not pass.
+    """
+    is_thread = F.col("source") == "hackernews"
+    stripped = F.coalesce(filled(F.col("plain")), strip_html(F.col("html")))
+    described = base.withColumn("description", F.concat_ws("\n", filled(stripped), F.col("extras")))
+    titled = described.withColumn("title", F.coalesce("title", strip(F.substring_index("description", "\n", 1))))
+    long_enough = ~is_thread | (F.length("description") >= vocab.MIN_COMMENT_CHARS)
+    full_text = F.when(is_thread, F.col("description")).otherwise(F.concat("title", F.lit(" "), "description"))
+    raw_text = extract_job_context(strip(F.concat("header", "description")))
+    return titled.where(long_enough).withColumns({"full_text": full_text, "raw_text": raw_text}).select(*NORMALIZED)
+
+
+def _greenhouse(raw: DataFrame) -> DataFrame:
     rows = _exploded(raw, "greenhouse", GREENHOUSE, lambda j: j["jobs"])
-    location = F.coalesce(F.col("p.location.name"), F.lit("Unknown"))
-    body = F.coalesce(filled(F.col("p.content")), F.col("p.description"))
-    return _finish(
-        rows, "greenhouse", F.col("p.id"),
-        {
-            "title": text_of(F.col("p.title")), "company": F.col("company"), "shown_company": F.upper("company"),
-            "location": location, "filter_location": location, "shown_location": location,
-            "url": text_of(F.col("p.absolute_url")), "posted_at": parse_posted_at(F.col("p.updated_at")),
-            "description": HTML_TO_TEXT(body),
-        },
+    return _base(
+        rows, "greenhouse", source_id=F.col("p.id"), title=text_of(F.col("p.title")), company=F.col("board"),
+        location=F.coalesce(F.col("p.location.name"), F.lit("Unknown")), url=text_of(F.col("p.absolute_url")),
+        posted_at=parse_posted_at(F.col("p.updated_at")),
+        html=F.coalesce(filled(F.col("p.content")), F.col("p.description")),
     )
 
 
-def normalize_lever(raw: DataFrame) -> DataFrame:
+def _lever(raw: DataFrame) -> DataFrame:
     rows = _exploded(raw, "lever", LEVER, lambda j: j)
     location = F.coalesce(F.col("p.categories.location"), F.lit("Unknown"))
     workplace = text_of(F.col("p.workplaceType"))
     lists = F.array_join(F.transform("p.lists", lambda x: text_of(x["content"])), " ")
-    body = F.concat(text_of(F.col("p.description")), F.lit(" "), text_of(lists))
     note = F.when(workplace != "", F.concat(F.lit("\nWorkplace: "), workplace)).otherwise("")
-    return _finish(
-        rows, "lever", F.col("p.id"),
-        {
-            "title": text_of(F.col("p.text")), "company": F.col("company"), "shown_company": F.upper("company"),
-            "location": location, "filter_location": effective_location(location, workplace),
-            "shown_location": F.concat(location, note),
-            "url": text_of(F.col("p.hostedUrl")), "posted_at": parse_posted_at(F.col("p.createdAt")),
-            "description": HTML_TO_TEXT(body),
-        },
+    return _base(
+        rows, "lever", source_id=F.col("p.id"), title=text_of(F.col("p.text")), company=F.col("board"),
+        location=location, filter_location=effective_location(location, workplace),
+        shown_location=F.concat(location, note), url=text_of(F.col("p.hostedUrl")),
+        posted_at=parse_posted_at(F.col("p.createdAt")),
+        html=F.concat(text_of(F.col("p.description")), F.lit(" "), text_of(lists)),
     )
 
 
-def normalize_thread(raw: DataFrame, as_of: Column) -> DataFrame:
-    """Comments of the newest hiring thread: the first hundred, without the very short ones.
-
-    Raw rows of this source hold a search result (``hits``), a thread (``id``, ``kids``) or a
-    comment (``id``, ``text``).
-    """
-    parsed = raw.where(F.col("source") == "hackernews").select("profile", F.from_json("payload", THREAD).alias("j"))
+def _thread(raw: DataFrame, as_of: Column) -> DataFrame:
+    parsed = raw.where(F.col("source") == "hackernews").select(
+        "profile", "fetched_at", F.from_json("payload", THREAD).alias("j")
+    )
     hits = parsed.where("j.hits IS NOT NULL").select("profile", F.explode("j.hits").alias("h"))
     oldest = F.unix_timestamp(as_of) - vocab.THREAD_MAX_AGE_DAYS * 86_400
     threads = (
@@ -142,29 +146,21 @@ def normalize_thread(raw: DataFrame, as_of: Column) -> DataFrame:
         threads.join(items, ["profile", "thread_id"])
         .select("profile", "thread_title", F.posexplode("kids").alias("pos", "comment_id"))
         .where(F.col("pos") < vocab.THREAD_COMMENT_CAP)
+        .drop("pos")
     )
     comments = parsed.where("j.text IS NOT NULL").select(
-        "profile", F.col("j.id").alias("comment_id"), HTML_TO_TEXT(strip(F.col("j.text"))).alias("text")
+        "profile", "fetched_at", F.col("j.id").alias("comment_id"), strip(F.col("j.text")).alias("html")
     )
-    rows = comments.join(kids, ["profile", "comment_id"]).where(F.length("text") >= vocab.MIN_COMMENT_CHARS)
-    title = strip(F.substring_index("text", "\n", 1))
-    shown = F.concat(
-        F.lit("HN Job Posting\nComment ID: "), F.col("comment_id").cast("string"), F.lit("\nThread: "),
-        text_of(F.col("thread_title")), F.lit("\n\n"), F.col("text"),
+    number = F.col("comment_id").cast("string")
+    header = F.concat(
+        F.lit("HN Job Posting\nComment ID: "), number, F.lit("\nThread: "), text_of(F.col("thread_title")), F.lit("\n\n")
     )
-    return rows.select(
-        "profile",
-        F.lit("hackernews").alias("source"),
-        make_id("hackernews", F.col("comment_id")).alias("id"),
-        title.alias("title"),
-        F.lit("Unknown").alias("company"),
-        F.lit("Unknown").alias("location"),
-        F.lit("").alias("filter_location"),
-        F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("comment_id").cast("string")).alias("url"),
-        F.col("text").alias("description"),
-        F.col("text").alias("full_text"),
-        extract_job_context(strip(shown)).alias("raw_text"),
-        F.lit(None).cast("timestamp").alias("posted_at"),
+    return comments.join(kids, ["profile", "comment_id"]).select(
+        "profile", F.lit("hackernews").alias("source"), make_id("hackernews", number).alias("id"), _null().alias("title"),
+        F.lit("Unknown").alias("company"), F.lit("Unknown").alias("location"), F.lit("").alias("filter_location"),
+        F.concat(F.lit("https://news.ycombinator.com/item?id="), number).alias("url"),
+        F.lit(None).cast("timestamp").alias("posted_at"), "fetched_at", header.alias("header"), "html",
+        _null().alias("plain"), _null().alias("extras"),
     )
 
 
@@ -179,7 +175,7 @@ def ashby_location(location: Column, location_name: Column, secondary: Column) -
 
 
 def ashby_description(plain: Column, html: Column) -> Column:
-    return F.coalesce(filled(plain), HTML_TO_TEXT(html))
+    return F.coalesce(filled(plain), strip_html(html))
 
 
 def _place(city: Column, region: Column, country: Column) -> Column:
@@ -200,12 +196,14 @@ def workable_location(p: Column) -> Column:
     )
 
 
+def workable_extras(p: Column) -> Column:
+    """One ``Label: value`` line per extra field that is filled."""
+    lines = [F.concat(F.lit(f"{label}: "), filled(p[field])) for field, label in vocab.WORKABLE_EXTRA_FIELDS]
+    return filled(F.concat_ws("\n", *lines))
+
+
 def workable_description(p: Column) -> Column:
-    """Description, then one ``Label: value`` line per extra field that is filled."""
-    extras = [
-        F.concat(F.lit(f"{label}: "), filled(p[field])) for field, label in vocab.WORKABLE_EXTRA_FIELDS
-    ]
-    return F.concat_ws("\n", filled(HTML_TO_TEXT(p["description"])), *extras)
+    return F.concat_ws("\n", filled(strip_html(p["description"])), workable_extras(p))
 
 
 def himalayas_company(company_name: Column, company: Column) -> Column:
@@ -222,60 +220,80 @@ def himalayas_url(application_link: Column, url: Column, guid: Column) -> Column
     return F.coalesce(filled(application_link), filled(url), guid, F.lit(""))
 
 
-def normalize_ashby(raw: DataFrame) -> DataFrame:
+def _ashby(raw: DataFrame) -> DataFrame:
     rows = _exploded(raw, "ashby", ASHBY, lambda j: F.coalesce(j["jobs"], j["jobPostings"]))
     listed = rows.where(F.coalesce(F.col("p.isListed"), F.lit(True)))
-    location = ashby_location(F.col("p.location"), F.col("p.locationName"), F.col("p.secondaryLocations"))
     url = text_of(F.col("p.jobUrl"))
-    return _finish(
-        listed, "ashby", F.coalesce(filled(F.col("p.id")), url),
-        {
-            "title": text_of(F.col("p.title")), "company": F.col("company"), "shown_company": F.upper("company"),
-            "location": location, "filter_location": location, "shown_location": location, "url": url,
-            "posted_at": parse_posted_at(F.coalesce(filled(F.col("p.publishedAt")), F.col("p.publishedDate"))),
-            "description": ashby_description(F.col("p.descriptionPlain"), F.col("p.descriptionHtml")),
-        },
+    return _base(
+        listed, "ashby", source_id=F.coalesce(filled(F.col("p.id")), url), title=text_of(F.col("p.title")),
+        company=F.col("board"), url=url,
+        location=ashby_location(F.col("p.location"), F.col("p.locationName"), F.col("p.secondaryLocations")),
+        posted_at=parse_posted_at(F.coalesce(filled(F.col("p.publishedAt")), F.col("p.publishedDate"))),
+        html=F.col("p.descriptionHtml"), plain=F.col("p.descriptionPlain"),
     )
 
 
-def normalize_workable(raw: DataFrame) -> DataFrame:
+def _workable(raw: DataFrame) -> DataFrame:
     rows = _exploded(raw, "workable", WORKABLE, lambda j: F.coalesce(j["jobs"], j["results"]))
     p = F.col("p")
     location = workable_location(p)
     note = F.when(F.coalesce(p["telecommuting"], F.lit(False)), F.lit("\nWorkplace: Remote")).otherwise("")
-    key = F.coalesce(*[filled(p[c]) for c in ("id", "shortcode", "url", "shortlink")], F.lit(""))
-    return _finish(
-        rows, "workable", key,
-        {
-            "title": text_of(p["title"]), "company": F.col("company"), "shown_company": F.upper("company"),
-            "location": location, "filter_location": location, "shown_location": F.concat(location, note),
-            "url": F.coalesce(*[filled(p[c]) for c in ("url", "shortlink", "application_url")], F.lit("")),
-            "posted_at": parse_posted_at(F.coalesce(filled(p["published_on"]), p["created_at"])),
-            "description": workable_description(p),
-        },
+    return _base(
+        rows, "workable", company=F.col("board"), title=text_of(p["title"]), location=location,
+        source_id=F.coalesce(*[filled(p[c]) for c in ("id", "shortcode", "url", "shortlink")], F.lit("")),
+        shown_location=F.concat(location, note),
+        url=F.coalesce(*[filled(p[c]) for c in ("url", "shortlink", "application_url")], F.lit("")),
+        posted_at=parse_posted_at(F.coalesce(filled(p["published_on"]), p["created_at"])),
+        html=p["description"], extras=workable_extras(p),
     )
 
 
-def normalize_himalayas(raw: DataFrame) -> DataFrame:
+def _himalayas(raw: DataFrame) -> DataFrame:
     rows = _exploded(raw, "himalayas", HIMALAYAS, lambda j: j["jobs"])
     company = himalayas_company(F.col("p.companyName"), F.col("p.company"))
-    location = himalayas_location(F.col("p.location"), F.col("p.locationRestrictions"))
     url = himalayas_url(F.col("p.applicationLink"), F.col("p.url"), F.col("p.guid"))
-    return _finish(
-        rows, "himalayas", F.coalesce(F.col("p.id"), url),
-        {
-            "title": text_of(F.col("p.title")), "company": company, "shown_company": company,
-            "location": location, "filter_location": location, "shown_location": location, "url": url,
-            "posted_at": parse_posted_at(F.col("p.pubDate")), "description": HTML_TO_TEXT(F.col("p.description")),
-        },
+    return _base(
+        rows, "himalayas", source_id=F.coalesce(F.col("p.id"), url), title=text_of(F.col("p.title")), company=company,
+        shown_company=company, location=himalayas_location(F.col("p.location"), F.col("p.locationRestrictions")),
+        url=url, posted_at=parse_posted_at(F.col("p.pubDate")), html=F.col("p.description"),
     )
 
 
+def normalize_greenhouse(raw: DataFrame) -> DataFrame:
+    return assemble(_greenhouse(raw))
+
+
+def normalize_lever(raw: DataFrame) -> DataFrame:
+    return assemble(_lever(raw))
+
+
+def normalize_ashby(raw: DataFrame) -> DataFrame:
+    return assemble(_ashby(raw))
+
+
+def normalize_workable(raw: DataFrame) -> DataFrame:
+    return assemble(_workable(raw))
+
+
+def normalize_himalayas(raw: DataFrame) -> DataFrame:
+    return assemble(_himalayas(raw))
+
+
+def normalize_thread(raw: DataFrame, as_of: Column) -> DataFrame:
+    """Comments of the newest hiring thread: the first hundred, without the very short ones.
+
+    Raw rows of this source hold a search result (``hits``), a thread (``id``, ``kids``) or a
+    comment (``id``, ``text``).
+    """
+    return assemble(_thread(raw, as_of))
+
+
 def union_postings(parts: list[DataFrame]) -> DataFrame:
     """Sources with one schema under each other; columns match by name, missing ones are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def normalize_all(raw: DataFrame, as_of: Column) -> DataFrame:
-    boards = (normalize_greenhouse, normalize_lever, normalize_ashby, normalize_workable, normalize_himalayas)
-    return union_postings([board(raw) for board in boards] + [normalize_thread(raw, as_of)])
+    """All sources: fields per source, then one union, then the texts once for all rows."""
+    parts = [board(raw) for board in (_greenhouse, _lever, _ashby, _workable, _himalayas)]
+    return assemble(union_postings([*parts, _thread(raw, as_of)]))

@@ -24,8 +24,7 @@ def first_arrivals(new: DataFrame, keys: list[str], order: str = "arrival") -> D
     """One row per key, the first to arrive. Combined before the shuffle, so a key that holds
     most of a batch stays cheap; rows that arrive together are told apart by their content."""
     others = [c for c in new.columns if c not in keys]
-    tie = [F.xxhash64(*others)]
-    row = F.min_by(F.struct(*others), F.struct(F.col(order), *[t.alias(f"t{i}") for i, t in enumerate(tie)]))
+    row = F.min_by(F.struct(*others), F.struct(F.col(order).alias("order"), F.xxhash64(*others).alias("tie")))
     return new.groupBy(*keys).agg(row.alias("r")).select(*keys, "r.*").select(*new.columns)
 
 

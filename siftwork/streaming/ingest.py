@@ -29,9 +29,7 @@ def start_ingest(
     """
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        # Arrival is the landing time, so the earliest landed copy of an id is the one stored.
-        postings = ingest(batch, profiles, as_of).withColumn("arrival", F.col("created_at"))
-        append_new(postings, table, POSTINGS + ", arrival timestamp", POSTING_KEYS, POSTING_PARTITIONS)
+        append_new(ingest(batch, profiles, as_of), table, POSTINGS, POSTING_KEYS, POSTING_PARTITIONS, "created_at")
 
     return (
         landing.writeStream.foreachBatch(load)
