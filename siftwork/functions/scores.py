@@ -113,8 +113,12 @@ def _field(json: Column, name: str) -> Column:
 
 def clamp_dimension(text: Column) -> Column:
     """0..10; text that is no whole number counts 0."""
-    number = F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), strip(text)).try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)).cast("int"), F.lit(0))
+    return F.coalesce(_in_range(F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), strip(text)).try_cast("double")), F.lit(0))
+
+
+def _in_range(number: Column) -> Column:
+    """0..10 towards zero; null stays null, which ``greatest`` and ``least`` would skip."""
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)).cast("int"))
 
 
 def _dimension(json: Column, name: str) -> Column:
@@ -122,8 +126,7 @@ def _dimension(json: Column, name: str) -> Column:
     quoted = json.rlike(rf'"{name}"\s*:\s*(?:\{{\s*"value"\s*:\s*)*"')
 
     def bare(value: Column) -> Column:
-        number = F.greatest(F.lit(0.0), F.least(F.lit(10.0), value.try_cast("double"))).cast("int")
-        return F.coalesce(number, (value == "true").cast("int"), F.lit(0))
+        return F.coalesce(_in_range(value.try_cast("double")), (value == "true").cast("int"), F.lit(0))
 
     return let(_field(json, name), lambda value: F.when(quoted, clamp_dimension(value)).otherwise(bare(value)))
 
