@@ -14,11 +14,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
+# Tables whose rows are texts, on which per-row work dominates.
+TEXT_TABLES = {"documents", "pages"}
+
 AS_OF = "2025-01-31 00:00:00"
 AS_OF_SECONDS = 1738281600
 EPOCH_2024 = 1704067200
@@ -301,7 +306,8 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table) if name in TEXT_TABLES else table
         if name in VIEWS:
             sql = VIEWS[name](Spelling(spark=True)).replace("VARCHAR(20)", "STRING")
             used = {t: getattr(self, t) for t in re.findall(r"\{(\w+)\}", sql)}

@@ -148,7 +148,12 @@ def rerank_chunks(
     if "raw_score" not in selected.columns:
         max_chars = max(vocab.RERANK_CHUNK_CHARS_MIN, min(vocab.RERANK_CHUNK_CHARS_MAX, max_chars))
         prepared = X.prepare_chunk_text(F.col("chunk_text"), max_chars)
-        selected = selected.withColumn("raw_score", (scorer or lexical_score)(F.col("match_query"), prepared))
+        if scorer is None:
+            selected = selected.withColumn("raw_score", lexical_score(F.col("match_query"), prepared))
+        else:
+            # The one-element explode keeps the text work in its own step, below a Python scorer.
+            texts = selected.withColumn("_text", F.explode(F.array(prepared)))
+            selected = texts.withColumn("raw_score", scorer(F.col("match_query"), F.col("_text"))).drop("_text")
     logistic = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("raw_score")))
     weight = section_weight(F.col("chunk_key"), F.col("match_query"), F.col("role_family"))
     return selected.withColumns(

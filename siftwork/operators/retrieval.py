@@ -187,6 +187,7 @@ def _nearest(
         raise ValueError(f"metric must be one of {V.METRICS}")
     asked = queries.select("profile", F.col("query_id").cast("string").alias("query_id"), "query_vec")
     asked = asked.where(F.size("query_vec") > 0)
+    chunks = chunks.where(F.size("embedding") > 0)
     head = asked.limit(broadcast_queries + 1).collect()
     bound = len(head) * k if len(head) <= broadcast_queries else None
     if bound is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,6 +31,16 @@ def build_session(app: str = "siftwork", cores: int | str = "*", **overrides: st
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan over all cores.
+
+    Text work is paid per byte, and a file with one row group is one task however many cores
+    wait. A scan with two splits per core or more, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -192,8 +192,9 @@ def test_strong_posting_first_and_scores(spark, profile_rows):
     _, jobs = reranked(spark, profile_rows, "backend", rows, raws)
     final = {r["job_id"]: r for r in R.final_top_k(jobs).collect()}
     assert final["job-strong"]["final_rank"] == 1
-    # both chunks reach 1.0 after weighting; the bonus is added, not multiplied
-    assert final["job-strong"]["rerank_score"] == round(0.55 + 0.30 + 0.07, 4)
+    # the first chunk reaches 1.0 after weighting; the bonus is added, not multiplied
+    second = round(1.15 / (1 + math.exp(-1.8)), 4)
+    assert final["job-strong"]["rerank_score"] == round(0.55 + 0.30 * (1 + second) / 2 + 0.07, 4)
     assert final["job-strong"]["match_reason"].startswith("Strong match in requirements and responsibilities")
 
 

@@ -109,7 +109,7 @@ def test_rolling_usage_against_brute_force_under_skew(spark):
     import random
 
     rnd = random.Random(3)
-    rows = [("hot" if i % 3 else f"p{i % 7}", i, rnd.randint(0, 200_000) + rnd.choice([0, 0.5]), rnd.randint(1, 900)) for i in range(700)]
+    rows = [("hot" if i % 3 else f"p{i % 7}", i, rnd.randint(0, 200_000) + rnd.choice([0.0, 0.5]), rnd.randint(1, 900)) for i in range(700)]
     rows += [("hot", 1000 + i, 500.0, 10) for i in range(5)] + [("hot", 2000, 560.0, 1), ("hot", 2001, 500.0 + 86_400, 1)]
     df = spark.createDataFrame(rows, "provider string, request_id bigint, s double, tokens bigint")
     log = df.select("provider", "request_id", F.timestamp_micros((F.col("s") * 1_000_000).cast("bigint")).alias("ts"), "tokens")
