@@ -51,20 +51,20 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "nearest",
-    f"WITH {_hits_sql('v_chunks', 'v_requests', 7)} SELECT query_id, uid, rank, round(distance, 6) + 0e0 AS distance FROM k WHERE rank <= 7",
+    f"WITH {_hits_sql('v_chunks', 'v_requests', 7)} SELECT query_id, uid, rank, round(distance, 9) + 0e0 AS distance FROM k WHERE rank <= 7",
 )
 def _(t: Inputs) -> DataFrame:
     found = N.nearest(t.chunks, t.requests, 7)
-    return found.select("query_id", "uid", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+    return found.select("query_id", "uid", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 9).alias("distance"))
 
 
 @query(
     "nearest_by_shuffle",
-    f"WITH {_hits_sql('v_chunks', 'v_requests', 7)} SELECT query_id, uid, rank, round(distance, 6) + 0e0 AS distance FROM k WHERE rank <= 7",
+    f"WITH {_hits_sql('v_chunks', 'v_requests', 7)} SELECT query_id, uid, rank, round(distance, 9) + 0e0 AS distance FROM k WHERE rank <= 7",
 )
 def _(t: Inputs) -> DataFrame:
     found = N.nearest(t.chunks, t.requests, 7, broadcast_queries=0)
-    return found.select("query_id", "uid", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+    return found.select("query_id", "uid", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 9).alias("distance"))
 
 
 @query(
@@ -83,11 +83,11 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "similar_chunks",
-    f"WITH {_hits_sql('v_chunks', 'v_requests', 50)} SELECT query_id, uid, job_id, chunk_key, title, round(similarity, 6) AS similarity FROM hits",
+    f"WITH {_hits_sql('v_chunks', 'v_requests', 50)} SELECT query_id, uid, job_id, chunk_key, title, round(similarity, 9) AS similarity FROM hits",
 )
 def _(t: Inputs) -> DataFrame:
     hits = N.similar_chunks(t.chunks, t.requests)
-    return hits.select("query_id", "uid", "job_id", "chunk_key", "title", F.round("similarity", 6).alias("similarity"))
+    return hits.select("query_id", "uid", "job_id", "chunk_key", "title", F.round("similarity", 9).alias("similarity"))
 
 
 @query(
@@ -358,7 +358,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_sco
 )
 def _(t: Inputs) -> DataFrame:
     rows = _selected(t, t.grouped_chunks, t.grouped_requests, 80, 40, 4)
-    final = R.final_top_k(R.rerank_jobs(R.rerank_chunks(rows, _item_scorer)))
+    final = R.rerank_jobs(R.rerank_chunks(rows, _item_scorer), vocab.RERANK_FINAL)
     return final.select(
         "query_id", "job_id", "vector_score", "rerank_score", "final_score", F.array_join("matched_sections", "|").alias("sections"),
         F.col("match_reason").alias("reason"), F.col("final_rank").cast("bigint").alias("final_rank"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.functions.strings import UNICODE, empty_strings, let, string_array, strip, text_of
+from siftwork.functions.strings import UNICODE, empty_strings, is_one_of, let, string_array, strip, text_of
 from siftwork.functions.text import normalize_title
 
 
@@ -82,12 +82,6 @@ def ats_score(raw_text: Column, resume: Column, skills: Column) -> tuple[Column,
 
 # ---- responses -----------------------------------------------------------------------------
 
-RESPONSE_SCHEMA = (
-    "disqualified boolean, disqualify_reason string, role_fit int, stack_match int, seniority int, "
-    "location int, growth int, compensation int, reasons array<string>, flags array<string>, one_liner string"
-)
-
-
 def strip_fences(raw: Column) -> Column:
     """A response without the Markdown code fences around it."""
     opened = F.regexp_replace(strip(raw), r"(?m)^```(?:json)?\s*", "")
@@ -97,7 +91,9 @@ def strip_fences(raw: Column) -> Column:
 def _unwrap_once(json: Column) -> Column:
     keys = F.json_object_keys(json)
     is_wrapper = let(keys, lambda k: (F.size(k) == 1) & (F.get(k, F.lit(0)) == "value"))
-    return F.when(is_wrapper, F.get_json_object(json, "$.value")).otherwise(json)
+    # Most values are no objects and are not parsed at all.
+    may_wrap = F.startswith(json, F.lit("{"))
+    return F.when(may_wrap & is_wrapper, F.get_json_object(json, "$.value")).otherwise(json)
 
 
 def unwrap_value(json: Column, depth: int = 4) -> Column:
@@ -107,10 +103,6 @@ def unwrap_value(json: Column, depth: int = 4) -> Column:
     return json
 
 
-def _field(json: Column, name: str) -> Column:
-    return unwrap_value(F.get_json_object(json, f"$.{name}"))
-
-
 def clamp_dimension(text: Column) -> Column:
     """0..10; text that is no whole number counts 0."""
     return F.coalesce(_in_range(F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), strip(text)).try_cast("double")), F.lit(0))
@@ -121,14 +113,11 @@ def _in_range(number: Column) -> Column:
     return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), number)).cast("int"))
 
 
-def _dimension(json: Column, name: str) -> Column:
+def _dimension(json: Column, value: Column, name: str) -> Column:
     """A JSON number is cut towards zero and true is 1; quoted text must be a whole number."""
     quoted = json.rlike(rf'"{name}"\s*:\s*(?:\{{\s*"value"\s*:\s*)*"')
-
-    def bare(value: Column) -> Column:
-        return F.coalesce(_in_range(value.try_cast("double")), (value == "true").cast("int"), F.lit(0))
-
-    return let(_field(json, name), lambda value: F.when(quoted, clamp_dimension(value)).otherwise(bare(value)))
+    bare = F.coalesce(_in_range(value.try_cast("double")), (value == "true").cast("int"), F.lit(0))
+    return F.when(quoted, clamp_dimension(value)).otherwise(bare)
 
 
 def _strings(json: Column) -> Column:
@@ -145,22 +134,29 @@ def parse_response(raw: Column) -> Column:
 
 
 def _parsed(json: Column) -> Column:
-    out = F.coalesce(F.lower(_field(json, "disqualified")).isin("true", "1", "yes"), F.lit(False))
+    # One parse for all fields, then one pass that unwraps every value.
+    fields = F.transform_values(F.from_json(json, "map<string,string>"), lambda k, v: unwrap_value(v))
 
-    def fields(is_out: Column) -> Column:
-        reason = F.coalesce(
-            _field(json, "disqualify_reason"), F.when(is_out, "unknown disqualifier").otherwise("")
-        )
-        return F.struct(
-            is_out.alias("disqualified"),
-            reason.alias("disqualify_reason"),
-            *[F.when(is_out, 0).otherwise(_dimension(json, d)).alias(d) for d in vocab.DIMENSIONS],
-            F.slice(_strings(_field(json, "reasons")), 1, 4).alias("reasons"),
-            _strings(_field(json, "flags")).alias("flags"),
-            text_of(_field(json, "one_liner")).alias("one_liner"),
-        )
+    def result(values: Column) -> Column:
+        def at(name: str) -> Column:
+            return F.try_element_at(values, F.lit(name))
+
+        out = F.coalesce(is_one_of(F.lower(at("disqualified")), ["true", "1", "yes"]), F.lit(False))
+
+        def filled_in(is_out: Column) -> Column:
+            reason = F.coalesce(at("disqualify_reason"), F.when(is_out, "unknown disqualifier").otherwise(""))
+            return F.struct(
+                is_out.alias("disqualified"),
+                reason.alias("disqualify_reason"),
+                *[F.when(is_out, 0).otherwise(_dimension(json, at(d), d)).alias(d) for d in vocab.DIMENSIONS],
+                F.slice(_strings(at("reasons")), 1, 4).alias("reasons"),
+                _strings(at("flags")).alias("flags"),
+                text_of(at("one_liner")).alias("one_liner"),
+            )
+
+        return let(out, filled_in)
 
-    return F.when(F.json_object_keys(json).isNotNull(), let(out, fields))
+    return F.when(F.json_object_keys(json).isNotNull(), let(fields, result))
 
 
 def _as_json(raw: Column) -> Column:

@@ -277,25 +277,33 @@ def match_reason(section_scores: Column, terms: Column) -> Column:
 _NO_EVIDENCE = ("positive", "concerns", "matched_keywords", "missing_or_unclear")
 
 
-def vector_fallback(jobs: DataFrame) -> DataFrame:
-    """Retrieved postings in the shape of reranked ones."""
-    score = round4(F.col("aggregate_score"))
+def _fallback_fields() -> dict[str, Column]:
+    """What a reranked result shows for a posting that has only its vector result."""
     # A section may occur more than once; its last score wins, as in a dictionary.
     pairs = F.transform("chunk_scores", lambda c: F.struct(c["chunk_key"].alias("k"), c["weighted_similarity"].alias("v")))
     last = F.aggregate(
         pairs, F.array().cast("array<struct<k:string,v:double>>"),
         lambda acc, p: F.array_append(F.filter(acc, lambda a: a["k"] != p["k"]), p),
     )
-    return jobs.select(
-        "profile", "query_id", "job_id", "title", "company", "source", "url",
-        score.alias("vector_score"), score.alias("rerank_score"), score.alias("final_score"),
-        F.col("matched_chunks").alias("matched_sections"),
-        F.map_from_entries(last).alias("section_scores"),
-        F.coalesce(first_of(F.col("matched_chunks")), F.lit("")).alias("best_chunk_key"),
-        F.col("retrieval_reason").alias("match_reason"),
-        empty_strings().alias("evidence_snippets"),
-        F.struct(*[empty_strings().alias(n) for n in _NO_EVIDENCE]).alias("evidence"),
-    )
+    return {
+        "matched_sections": F.col("matched_chunks"),
+        "section_scores": F.map_from_entries(last),
+        "best_chunk_key": F.coalesce(first_of(F.col("matched_chunks")), F.lit("")),
+        "match_reason": F.col("retrieval_reason"),
+        "evidence_snippets": empty_strings(),
+        "evidence": F.struct(*[empty_strings().alias(n) for n in _NO_EVIDENCE]),
+    }
+
+
+_POSTING = ["profile", "query_id", "job_id", "title", "company", "source", "url"]
+_SCORES = ["vector_score", "rerank_score", "final_score"]
+
+
+def vector_fallback(jobs: DataFrame) -> DataFrame:
+    """Retrieved postings in the shape of reranked ones."""
+    score = round4(F.col("aggregate_score"))
+    fields = [c.alias(n) for n, c in _fallback_fields().items()]
+    return jobs.select(*_POSTING, *[score.alias(n) for n in _SCORES], *fields)
 
 
 _PER_JOB = [
@@ -305,11 +313,12 @@ _PER_JOB = [
 ]
 
 
-def rerank_jobs(scored_chunks: DataFrame) -> DataFrame:
+def rerank_jobs(scored_chunks: DataFrame, k: int | None = None) -> DataFrame:
     """Postings re-scored from their selected chunks, with evidence.
 
     ``scored_chunks`` comes from ``rerank_chunks``. Postings without a selected chunk drop
-    out; a query without any selected chunk keeps its vector result.
+    out; a query without any selected chunk keeps its vector result. With ``k`` only the
+    best k per query stay, and evidence is collected for those alone.
     """
     chunk = F.struct(
         (-F.col("weighted_score")).alias("o1"), (-F.col("normalized_score")).alias("o2"),
@@ -321,45 +330,53 @@ def rerank_jobs(scored_chunks: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("chunk_key").isNotNull(), chunk))).alias("chunks"),
         F.any_value(F.struct(*_PER_JOB)).alias("_job"),
     )
-    of_query = Window.partitionBy("query_id")
     joined = per_job.select(*PAIR, "_job.*", "chunks").withColumn(
-        "_selected", F.max(F.size("chunks")).over(of_query)
+        "_none_selected", F.max(F.size("chunks")).over(Window.partitionBy("query_id")) == 0
     )
-    base = joined.where(F.size("chunks") > 0).select(
-        "*",
-        F.map_from_entries(F.transform("chunks", lambda c: F.struct(c["chunk_key"], c["weighted_score"]))).alias(
-            "section_scores"
-        ),
-        F.transform("chunks", lambda c: c["chunk_key"]).alias("sections"),
-        F.transform("chunks", lambda c: c["chunk_text"]).alias("texts"),
-        F.transform("chunks", lambda c: c["weighted_score"]).alias("weighted"),
+    base = joined.where((F.size("chunks") > 0) | F.col("_none_selected")).withColumns(
+        {
+            "_sections": F.map_from_entries(F.transform("chunks", lambda c: F.struct(c["chunk_key"], c["weighted_score"]))),
+            "_weighted": F.transform("chunks", lambda c: c["weighted_score"]),
+        }
     )
 
     def at(section: str) -> Column:
-        return F.coalesce(F.try_element_at("section_scores", F.lit(section)), F.lit(0.0))
+        return F.coalesce(F.try_element_at("_sections", F.lit(section)), F.lit(0.0))
 
     pair_bonus = F.when((at("requirements") >= 0.55) & (at("responsibilities") >= 0.55), 0.07).otherwise(0.0)
     bonus = F.least(F.lit(0.10), pair_bonus + F.when(at("summary") >= 0.50, 0.03).otherwise(0.0))
     rerank = F.least(
-        F.lit(1.0), first_of(F.col("weighted")) * 0.55 + mean_of_first(F.col("weighted")) * 0.30 + bonus
-    )
-    graded = base.withColumn("_rerank", rerank).withColumn(
-        "terms", evidence_terms(F.col("match_query"), F.col("texts"))
+        F.lit(1.0), first_of(F.col("_weighted")) * 0.55 + mean_of_first(F.col("_weighted")) * 0.30 + bonus
     )
+    none = F.col("_none_selected")
+    graded = base.withColumn("_rerank", F.when(none, F.col("aggregate_score")).otherwise(rerank))
     final = F.least(F.lit(1.0), F.col("_rerank") + F.col("aggregate_score") * 0.05)
-    reranked = graded.select(
-        "profile", "query_id", "job_id", "title", "company", "source", "url",
-        round4(F.col("aggregate_score")).alias("vector_score"),
-        round4(F.col("_rerank")).alias("rerank_score"),
-        round4(final).alias("final_score"),
-        F.slice("sections", 1, 4).alias("matched_sections"),
-        "section_scores",
-        first_of(F.col("sections")).alias("best_chunk_key"),
-        match_reason(F.col("section_scores"), F.col("terms")).alias("match_reason"),
-        F.transform(F.slice("texts", 1, 2), lambda t: X.snippet(t, F.col("terms"))).alias("evidence_snippets"),
-        match_evidence(F.col("title"), F.col("texts"), F.col("terms")).alias("evidence"),
+    scored = graded.withColumns(
+        {
+            "vector_score": round4(F.col("aggregate_score")),
+            "rerank_score": round4(F.col("_rerank")),
+            "final_score": round4(F.when(none, F.col("aggregate_score")).otherwise(final)),
+        }
+    )
+    rank = []
+    if k is not None:
+        scored, rank = final_top_k(scored, k), ["final_rank"]
+
+    texts = F.transform("chunks", lambda c: c["chunk_text"])
+    explained = scored.withColumn("_texts", texts).withColumn(
+        "_terms", evidence_terms(F.col("match_query"), F.col("_texts"))
     )
-    return reranked.unionByName(vector_fallback(joined.where(F.col("_selected") == 0)))
+    found = {
+        "matched_sections": F.slice(F.transform("chunks", lambda c: c["chunk_key"]), 1, 4),
+        "section_scores": F.col("_sections"),
+        "best_chunk_key": first_of(F.col("chunks"))["chunk_key"],
+        "match_reason": match_reason(F.col("_sections"), F.col("_terms")),
+        "evidence_snippets": F.transform(F.slice("_texts", 1, 2), lambda t: X.snippet(t, F.col("_terms"))),
+        "evidence": match_evidence(F.col("title"), F.col("_texts"), F.col("_terms")),
+    }
+    fallback = _fallback_fields()
+    fields = [F.when(none, fallback[n]).otherwise(c).alias(n) for n, c in found.items()]
+    return explained.select(*_POSTING, *_SCORES, *fields, *rank)
 
 
 def final_top_k(results: DataFrame, k: int | None = None) -> DataFrame:

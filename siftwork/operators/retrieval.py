@@ -237,8 +237,9 @@ def _job_rows(hits: DataFrame) -> DataFrame:
         "rank", "chunk_key", "chunk_order", "uid", "similarity", weighted.alias("weighted_similarity"), "chunk_text",
         "title", "company", "source", "url",
     )
-    # A query keeps at most 200 hits, so the arrays are small.
-    return hits.groupBy("profile", "query_id", "job_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    # A query keeps at most 200 hits, so the arrays are small and a query fits one partition;
+    # partitioned by query, this and all later steps per query need no further shuffle.
+    return hits.repartition("query_id").groupBy("profile", "query_id", "job_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
 
 
 def mean_of_first(values: Column, n: int = 3) -> Column:

@@ -50,4 +50,4 @@ def semantic_match(
     if not reranking:
         return R.final_top_k(R.vector_fallback(jobs), k_final)
     selected = R.select_chunks(jobs, queries, chunks_per_job)
-    return R.final_top_k(R.rerank_jobs(R.rerank_chunks(selected, scorer)), k_final)
+    return R.rerank_jobs(R.rerank_chunks(selected, scorer), k_final)
