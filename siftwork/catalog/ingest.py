@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork import vocab
@@ -120,7 +120,10 @@ def thread_raw(t: Inputs) -> DataFrame:
     search = F.to_json(
         F.struct(F.array(hit(71, 40, "whoishiring"), hit(72, 9, "whoishiring"), hit(73, 1, "someone")).alias("hits"))
     )
-    kids = rows.groupBy("profile").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 150).alias("kids"))
+    # Only the first 150 ids of a profile are listed, so the list stays short however many there are.
+    first = Window.partitionBy("profile").orderBy("doc_id")
+    listed = rows.select("profile", "doc_id", F.row_number().over(first).alias("n")).where("n <= 150")
+    kids = listed.groupBy("profile").agg(F.array_sort(F.collect_list("doc_id")).alias("kids"))
     thread = F.to_json(F.struct(F.lit(72).alias("id"), F.col("kids")))
     comment = F.to_json(F.struct(F.col("doc_id").alias("id"), _html(F.concat(F.col("title"), F.lit("\n"), F.col("body"))).alias("text")))
     parts = [

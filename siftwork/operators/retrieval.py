@@ -19,6 +19,8 @@ from siftwork.functions.strings import round4
 BROADCAST_QUERIES = 4096
 # Hits up to this many rows (some 20 MB) are broadcast when their fields are fetched.
 BROADCAST_HITS = 200_000
+# Queries whose distances to one batch of chunks are held at a time.
+DISTANCE_BLOCK = 256
 # Rows of one slice when both sides are shuffled, chunks and queries.
 SLICE_ROWS = 20_000
 QUERY_BLOCK = 2_000
@@ -48,9 +50,10 @@ class _TopK:
     def add(self, uids: np.ndarray, vectors: np.ndarray) -> None:
         if not len(uids) or vectors.shape[1] != self.queries.shape[1]:
             return
-        distances = _distances(vectors, self.queries, self.metric)
-        for j in range(len(self.query_ids)):
-            self._merge(j, distances[:, j], uids)
+        for start in range(0, len(self.query_ids), DISTANCE_BLOCK):
+            distances = _distances(vectors, self.queries[start : start + DISTANCE_BLOCK], self.metric)
+            for j in range(distances.shape[1]):
+                self._merge(start + j, distances[:, j], uids)
 
     def _merge(self, j: int, d: np.ndarray, uids: np.ndarray) -> None:
         held = self.best[j]

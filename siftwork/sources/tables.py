@@ -154,12 +154,18 @@ def _touched(target: DataFrame, new: DataFrame, partition_by: list[str]) -> Data
 
 
 def upsert_table(new: DataFrame, path: str, schema: str, keys: list[str], partition_by: list[str]) -> None:
-    """Whole-row upsert; reads and rewrites the touched partitions only."""
+    """Whole-row upsert; reads and rewrites the touched partitions only.
+
+    The new rows are used more than once, so they are stored first and computed once.
+    """
+    new = staged(new)
     target = read_table(new.sparkSession, path, schema)
     rewrite_partitions(upsert(new, _touched(target, new, partition_by), keys), path, partition_by)
 
 
 def replace_groups_in_table(new: DataFrame, path: str, schema: str, group: list[str], partition_by: list[str]) -> None:
+    """Group-wise replacement; the new rows (often from a model) are computed once."""
+    new = staged(new)
     target = read_table(new.sparkSession, path, schema)
     rewrite_partitions(replace_group(new, _touched(target, new, partition_by), group), path, partition_by)
 
