@@ -194,9 +194,9 @@ def _reduced(text: Column, max_chars: int) -> Column:
     head, tail = int(max_chars * 0.6), int(max_chars * 0.4)
     ends = F.concat(F.substring(text, 1, head), F.lit("\n\n...\n\n"), F.right(text, F.lit(tail)))
     return (
-        F.when(strip(text) == "", F.lit(""))
-        .when(F.length(text) <= max_chars, text)
-        .otherwise(F.coalesce(filled(chosen), ends))
+        F.when(F.length(text) <= max_chars, F.when(strip(text) == "", F.lit("")).otherwise(text))
+        .when(~text.rlike(r"\S"), F.lit(""))
+        .otherwise(let(chosen, lambda kept: F.when(kept != "", kept).otherwise(ends)))
     )
 
 

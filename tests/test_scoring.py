@@ -167,8 +167,6 @@ def test_headers_fallbacks_and_limit(spark):
 
 
 def test_every_block_lands_in_exactly_one_section(spark):
-    from pyspark.sql import Window  # noqa: F401
-
     from siftwork.functions.sections import split_blocks
 
     df = posting(spark, BODY)

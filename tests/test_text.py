@@ -1,5 +1,3 @@
-from html.parser import HTMLParser  # noqa: F401
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +69,7 @@ def test_parse_posted_at(spark, text, micros):
     assert one(spark, F.unix_micros(X.parse_posted_at(F.col("t"))), t=text) == micros
 
 
-def reference_context(text: str, limit: int) -> str:
+def brute_context(text: str, limit: int) -> str:
     """Brute force of the paragraph selection, for comparison."""
     import re
 
@@ -111,7 +109,7 @@ def test_job_context_against_brute_force(spark):
         texts.append("\n\n".join(parts))
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.extract_job_context(F.col("t"), 500).alias("c"))
     for row in df.collect():
-        assert row["c"] == reference_context(row["t"], 500)
+        assert row["c"] == brute_context(row["t"], 500)
         assert len(row["c"]) <= 500 + len("\n\n...\n\n")
 
 
