@@ -22,6 +22,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.shared import new_folder
+    from siftwork.llm.token_files import digests, read_files, write_files
+
+    files = new_folder(spark, "tokens")
+    write_files(table(spark, folder, "documents"), BPE, files)
+    return digests(read_files(spark, files))
+
+
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), BPE).drop("ids")
+
+
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from siftwork.llm.token_counts import count_tokens

@@ -76,7 +76,7 @@ def frequent_items(docs: DataFrame, path: str, frequent: int = FREQUENT) -> dict
     left = summaries.count()
     while left > 1:
         left = -(-left // FAN)
-        summaries = summaries.groupBy((F.col("part") % left).alias("part")).applyInArrow(_merging(frequent), SUMMARY)
+        summaries = summaries.withColumn("part", F.col("part") % left).groupBy("part").applyInArrow(_merging(frequent), SUMMARY)
     rows = summaries.collect()  # one row of at most 2 * frequent items
     items = [x for row in rows for x in row["items"]][:frequent]
     own = encoder(path)
