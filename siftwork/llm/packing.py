@@ -23,9 +23,9 @@ from siftwork.llm.token_files import in_order
 from siftwork.llm.tokens import Encoder, encoder
 from siftwork.llm.worker import memo, slices, texts
 
-SENTENCE_CUT = 6  # a cut inside a document, at a sentence's end, counts as so many padded places
-OTHER_CUT = 48  # a cut inside a sentence
-STRIDE = 64  # places for cuts inside a sentence
+SENTENCE_CUT = 4  # a cut inside a document, at a sentence's end, counts as so many padded places
+OTHER_CUT = 20  # a cut inside a sentence
+STRIDE = 32  # places for cuts inside a sentence
 BUFFER = 1 << 18  # ids for which cuts are chosen at a time; the last two sequences are left to the next
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"

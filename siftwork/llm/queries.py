@@ -32,6 +32,13 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return digests(read_files(spark, files))
 
 
+@query
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.sketches import fingerprints
+
+    return fingerprints(table(spark, folder, "documents"))
+
+
 @query
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     from siftwork.llm.packing import pack

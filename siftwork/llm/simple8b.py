@@ -20,7 +20,7 @@ import numpy as np
 # Fixed values of the format: ids per word and bits per id, for selectors 2 to 15.
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 FRAME = 128
-HEAD = struct.Struct("<4sQIII")
+HEAD = "<4sQIII"
 MAGIC = b"S8B1"
 
 
@@ -44,7 +44,7 @@ def encode(ids: np.ndarray) -> bytes:
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     total = len(ids)
     if total == 0:
-        return HEAD.pack(MAGIC, 0, 0, 0, 0)
+        return struct.pack(HEAD, MAGIC, 0, 0, 0, 0)
     bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     count, chosen = np.ones(total, np.int64), np.zeros(total, np.uint8)
     widest = _widest(bits)
@@ -74,18 +74,18 @@ def encode(ids: np.ndarray) -> bytes:
             shifts = np.arange(n, dtype=np.uint64) * np.uint64(width)
             words[mine] |= np.bitwise_or.reduce(ids[starts[mine][:, None] + np.arange(n)] << shifts, axis=1)
     frames = starts[::FRAME].astype("<u4")
-    return HEAD.pack(MAGIC, total, len(words), len(raw), len(frames)) + frames.tobytes() + words.astype("<u8").tobytes() + raw.astype("<u8").tobytes()
+    return struct.pack(HEAD, MAGIC, total, len(words), len(raw), len(frames)) + frames.tobytes() + words.astype("<u8").tobytes() + raw.astype("<u8").tobytes()
 
 
 def decode(block: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     """The ids from ``start`` to ``stop`` of a block; only the frames that hold them are unpacked."""
-    magic, total, n_words, n_raw, n_frames = HEAD.unpack_from(block)
+    magic, total, n_words, n_raw, n_frames = struct.unpack_from(HEAD, block)
     if magic != MAGIC:
         raise ValueError("not a block of this format")
     stop = total if stop is None else min(stop, total)
     if start >= stop:
         return np.empty(0, np.uint64)
-    at = HEAD.size
+    at = struct.calcsize(HEAD)
     frames = np.frombuffer(block, "<u4", n_frames, at)
     words = np.frombuffer(block, "<u8", n_words, at + 4 * n_frames)
     raw = np.frombuffer(block, "<u8", n_raw, at + 4 * n_frames + 8 * n_words)

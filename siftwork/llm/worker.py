@@ -84,5 +84,6 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     out = np.full(count, np.uint64(width), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(width):
-            out = mixed(out + words[i : i + count] * np.uint64(0x9E3779B97F4A7C15))
-    return out
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += words[i : i + count]
+        return mixed(out)
