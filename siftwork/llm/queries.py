@@ -32,6 +32,13 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return digests(read_files(spark, files))
 
 
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.quality import quality_scores
+
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from siftwork.llm.sketches import fingerprints
@@ -46,6 +53,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), BPE).drop("ids")
 
 
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from siftwork.llm.token_counts import count_tokens
