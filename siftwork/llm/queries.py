@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -53,6 +54,85 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), BPE).drop("ids")
 
 
+@query
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.templates import contamination
+
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Every page as the response of a crawl, and a revisit of a variant of its URL 25 hours later.
+
+    What the revisit sends as validators (a weak, a stale or no entity tag, a time, a digest, nothing)
+    follows from the length of the page.
+    """
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.col("html")), 1, 12), F.lit('"'))
+    modified = (F.col("page_id") * 60 - 3600).cast("string")
+    full = F.map_from_arrays(
+        F.array(*map(F.lit, ["cache-control", "content-length", "content-type", "date", "etag", "last-modified"])),
+        F.array(F.lit("max-age=60"), size.cast("string"), F.lit("text/html"), (F.col("page_id") * 60).cast("string"), tag, modified),
+    )
+    bare = size % 11 == 0
+    sent = F.when(bare | (size % 5 == 0), F.lit(None)).when(size % 7 == 0, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), tag))
+    again = F.map_from_arrays(
+        F.array(*map(F.lit, ["cache-control", "content-type", "date", "etag", "last-modified"])),
+        F.array(F.lit("max-age=120"), F.lit("text/plain"), (F.col("page_id") * 60 + 90000).cast("string"), sent, F.when(bare, F.lit(None)).otherwise(modified)),
+    )
+    again = F.map_filter(again, lambda _, v: v.isNotNull())
+    digest = F.md5(F.col("html"))
+    responses = pages.select((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("uri"), (F.col("page_id") * 60).alias("ts"), F.when(F.col("html").isNull(), 404).otherwise(200).alias("status"), full.alias("headers"), digest.alias("digest"), size.alias("length"))
+    uri = F.concat(F.regexp_replace("url", "^https?://(www[.])?", "HTTPS://WWW."), F.when(F.col("url").contains("#"), F.lit("")).otherwise(F.lit("#seen")))
+    revisits = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("warc_type"), uri.alias("uri"), (F.col("page_id") * 60 + 90000).alias("ts"), F.lit(304).alias("status"), again.alias("headers"), F.when(~bare, digest).alias("digest"), F.lit(0).cast("long").alias("length"))
+    return responses.unionByName(revisits)
+
+
+@query
+def op8_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.warc import resolve
+
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return resolve(crawl_records(table(spark, folder, "pages"))).withColumn("headers", F.array_join(lines, "\n"))
+
+
+def _canonical_sql(uri: str) -> str:
+    url = f"regexp_replace(regexp_replace(trim({uri}), '#.*$', ''), '^[a-zA-Z]+://', '')"
+    host = f"regexp_replace(regexp_replace(lower(regexp_extract({url}, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\\.', '')"
+    rest = f"regexp_replace({url}, '^[^/?]*', '')"
+    rest = rf"regexp_replace({rest}, '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g')"
+    rest = rf"regexp_replace(regexp_replace({rest}, '&&+', '&', 'g'), '\?&+', '?', 'g')"
+    rest = rf"regexp_replace(regexp_replace({rest}, '[?&]+$', ''), '/(index\.html?)?$', '')"
+    return f"({host} || {rest})"
+
+
+ORACLES["op8_revisits"] = f"""
+WITH p AS (
+    SELECT page_id, url, md5(html) AS digest, coalesce(strlen(html), 0) AS n, html IS NULL AS gone, '"' || substr(md5(html), 1, 12) || '"' AS tag, CAST(page_id * 60 - 3600 AS VARCHAR) AS modified FROM pages
+), full_responses AS (
+    SELECT page_id * 2 AS response_id, {_canonical_sql("url")} AS canonical, page_id * 60 AS response_ts, n, digest, tag, modified FROM p WHERE NOT gone
+), revisits AS (
+    SELECT page_id * 2 + 1 AS record_id, {_canonical_sql("regexp_replace(url, '^https?://(www[.])?', 'HTTPS://WWW.') || CASE WHEN contains(url, '#') THEN '' ELSE '#seen' END")} AS canonical,
+        page_id * 60 + 90000 AS ts,
+        CASE WHEN n % 11 = 0 OR n % 5 = 0 THEN NULL WHEN n % 7 = 0 THEN '"stale"' ELSE 'W/' || tag END AS tag,
+        CASE WHEN n % 11 <> 0 THEN modified END AS modified, CASE WHEN n % 11 <> 0 THEN digest END AS digest
+    FROM p
+), paired AS (
+    SELECT r.record_id, r.canonical, r.ts, r.tag AS sent, r.modified AS sent_modified, s.response_id, s.response_ts, s.n, s.digest, s.tag, s.modified,
+        CASE WHEN s.response_id IS NULL THEN 'missing'
+            WHEN r.tag IS NOT NULL AND s.tag IS NOT NULL THEN CASE WHEN regexp_replace(r.tag, '^W/', '') = s.tag THEN 'resolved' ELSE 'mismatch' END
+            WHEN r.modified IS NOT NULL AND s.modified IS NOT NULL THEN CASE WHEN r.modified = s.modified THEN 'resolved' ELSE 'mismatch' END
+            WHEN r.digest IS NOT NULL AND s.digest IS NOT NULL THEN CASE WHEN r.digest = s.digest THEN 'resolved' ELSE 'mismatch' END
+            ELSE 'unvalidated' END AS resolution
+    FROM revisits r ASOF LEFT JOIN full_responses s ON r.canonical = s.canonical AND r.ts > s.response_ts
+)
+SELECT record_id, canonical, resolution, response_id, response_ts, CASE WHEN resolution = 'resolved' THEN digest END AS digest, CASE WHEN resolution = 'resolved' THEN n END AS length,
+    CASE WHEN resolution = 'resolved' THEN 'cache-control: max-age=120' || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10)
+        || 'etag: ' || coalesce(sent, tag) || chr(10) || 'last-modified: ' || coalesce(sent_modified, modified) END AS headers
+FROM paired
+"""
+
+
 @query
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from siftwork.llm.toxicity import toxicity_scores
