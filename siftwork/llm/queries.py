@@ -23,6 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), width=2)
+
+
 @query
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from siftwork.llm.shared import new_folder
