@@ -61,6 +61,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), BPE).drop("ids")
 
 
+@query
+def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.substrings import removal_digests
+
+    return removal_digests(table(spark, folder, "documents"))
+
+
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from siftwork.llm.templates import contamination
