@@ -225,3 +225,14 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that their component of near duplicates keeps; all columns stay.
+
+    Rows that share a ``doc_id`` are one document and leave one row; rows without one stay.
+    """
+    kept = near_duplicates(docs, width).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    key = F.col("doc_id").cast("long")
+    one = docs.join(kept, key == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -144,3 +144,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     scored = stats.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more; see ``quality_scores``. All columns stay."""
+    # At most ``sample`` ids come out of the labels, so they may be sent to every task.
+    own = F.broadcast(fitting_labels(labels, "quality", sample))
+    learned = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(own.select("doc_id"), "doc_id", "left_semi")
+    fitted = fit_on(document_statistics(learned), labels, sample)
+    model = docs.sparkSession.sparkContext.broadcast(vars(fitted) if isinstance(fitted, Discriminant) else fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Discriminant(**model.value) if isinstance(model.value, dict) else model.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = texts(part)
+                worded = np.array([bool(x.strip(" \t\n\r\x0b\x0c")) for x in found])
+                x = np.array([statistics(x) for x in found])
+                score = np.where(worded, own.scores(x) if isinstance(own, Discriminant) else own, 0.0)
+                yield part.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

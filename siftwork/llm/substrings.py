@@ -214,6 +214,17 @@ def without_repeats(docs: DataFrame, column: str = "kept") -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def shortened(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text`` and ``n_chars`` to match; texts without any stay as they are."""
+    mark = "_kept"
+    found = without_repeats(docs, mark)
+    cut = F.col(f"{mark}.n_removed") > 0
+    out = found.withColumn("text", F.when(cut, F.col(f"{mark}.text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def removal_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row; see ``without_repeats``."""
     found = without_repeats(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
