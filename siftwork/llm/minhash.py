@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.shared import stored
+from siftwork.llm.shared import free_name, stored
 from siftwork.llm.worker import mixed, shingle_hashes, slices, texts, word_hashes
 
 BANDS, ROWS = 32, 4
@@ -232,7 +232,7 @@ def first_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
 
     Rows that share a ``doc_id`` are one document and leave one row; rows without one stay.
     """
-    kept = near_duplicates(docs, width).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    key = F.col("doc_id").cast("long")
-    one = docs.join(kept, key == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    name = free_name(docs, "_kept")
+    kept = near_duplicates(docs, width).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    one = docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where(F.col("doc_id").isNull()))

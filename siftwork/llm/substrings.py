@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.fmindex import FMIndex
-from siftwork.llm.shared import stored
+from siftwork.llm.shared import free_name, stored
 from siftwork.llm.worker import mixed, shingle_hashes, slices, texts, word_hashes
 
 WINDOW, GRAM = 20, 5
@@ -195,17 +195,18 @@ def without_repeats(docs: DataFrame, column: str = "kept") -> DataFrame:
     null, which are not compared. Rows that share an id are one document, so a window at the same
     place of two of them is not a repeat. Rows and all other columns stay as they are.
     """
-    runs = repeated_windows(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("start", "windows")).alias("_runs"))
-    joined = docs.drop(column).join(runs, F.col("doc_id").cast("long") == F.col("_of"), "left").drop("_of")
-    names = [c for c in joined.columns if c != "_runs"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_runs") + f", `{column}` struct<n_words: bigint, n_removed: bigint, text: string>"
+    of, cut = free_name(docs, "_of"), free_name(docs, "_runs")
+    runs = repeated_windows(docs).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("start", "windows")).alias(cut))
+    joined = docs.drop(column).join(runs, F.col("doc_id").cast("long") == F.col(of), "left").drop(of)
+    names = [c for c in joined.columns if c != cut]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != cut) + f", `{column}` struct<n_words: bigint, n_removed: bigint, text: string>"
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
-                for text, own in zip(texts(part), part.column("_runs").to_pylist()):
+                for text, own in zip(texts(part), part.column(cut).to_pylist()):
                     words = text.encode().split()
                     kept = kept_words(words, own)
                     out.append({"n_words": len(words), "n_removed": len(words) - len(kept), "text": b" ".join(kept).decode()})
@@ -216,7 +217,7 @@ def without_repeats(docs: DataFrame, column: str = "kept") -> DataFrame:
 
 def shortened(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` and ``n_chars`` to match; texts without any stay as they are."""
-    mark = "_kept"
+    mark = free_name(docs, "_kept")
     found = without_repeats(docs, mark)
     cut = F.col(f"{mark}.n_removed") > 0
     out = found.withColumn("text", F.when(cut, F.col(f"{mark}.text")).otherwise(F.col("text")))
