@@ -285,7 +285,7 @@ _FAMILY = "CASE profile WHEN 'tenant_1' THEN 'finance' WHEN 'tenant_2' THEN 'mar
 def _family_weight_sql() -> str:
     rows = []
     for family, weights in vocab.FAMILY_SECTION_WEIGHTS.items():
-        for section, weight in zip(vocab.SECTIONS, weights):
+        for section, weight in weights.items():
             rows.append(f"WHEN family = {quoted(family)} AND chunk_key = {quoted(section)} THEN {weight}e0")
     return (
         f"CASE WHEN chunk_key = 'compensation' AND {_PAY} THEN 1.05e0 WHEN chunk_key = 'benefits' AND ({_PAY} OR {_PERKS}) THEN 1e0 "

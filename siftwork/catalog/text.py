@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork import vocab
 from siftwork.catalog.core import Inputs, query, quoted, sql_list, trimmed
 from siftwork.functions import text as X
-from siftwork.functions.html import strip_html, strip_html_all_entities
+from siftwork.functions.html import strip_html, unescape
 from siftwork.functions.strings import dedupe_exact, dedupe_ignoring_case, string_array
 
 _ENTITIES = [("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&")]
@@ -38,9 +40,20 @@ def _(t: Inputs) -> DataFrame:
     return t.pages.select("page_id", strip_html(F.col("html")).alias("body"))
 
 
-@query("strip_html_all_entities", _STRIP_SQL)
+# All names of the standard, one per page in turn.
+_NAMES = sorted(html5)
+
+
+@query(
+    "strip_html_all_entities",
+    f"""SELECT page_id, concat('<', page_id, ' ', ({sql_list(html5[n] for n in _NAMES)})[1 + page_id % {len(_NAMES)}], ' &', url) AS body
+FROM pages""",
+)
 def _(t: Inputs) -> DataFrame:
-    return t.pages.select("page_id", strip_html_all_entities("html").alias("body"))
+    names = F.array(*[F.lit(f"&{n}") for n in _NAMES])
+    name = F.get(names, (F.col("page_id") % len(_NAMES)).cast("int"))
+    text = F.concat(F.lit("&lt;"), F.col("page_id"), F.lit(" "), name, F.lit(" &"), F.replace("url", F.lit("&"), F.lit("&amp;")))
+    return t.pages.select("page_id", unescape(text).alias("body"))
 
 
 @query("make_id", "SELECT doc_id, concat(source, '_', doc_id) AS id FROM documents")

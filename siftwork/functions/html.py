@@ -2,45 +2,56 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from siftwork.functions.strings import let, sql_literal, strip
-from siftwork.vocab import HTML_ENTITIES
+from siftwork.functions.strings import let, lookup, strip
+
+# What an entity stands for, with its semicolon where it needs one: the standard's own table.
+_NAMED = "\x01".join(f"{name}\x02{text}" for name, text in sorted(html5.items()))
+# Names that are known without a semicolon too, longest first.
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+# Numbers 128 to 159 stand for the letters of the code page that pages of that time were written in.
+_OLD_CODES = {str(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
+_PIECES = r"&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
 
-_ENTITY_TABLE = "array(" + ", ".join(
-    f"named_struct('name', '&{name};', 'text', {sql_literal(char)})" for name, char in HTML_ENTITIES.items()
-) + ")"
 
+def _numeric(ref: Column) -> Column:
+    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);?$", 1)
+    code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
 
-def _decode_numeric(c: Column) -> Column:
-    """``&#8217;`` and ``&#x2019;``, each distinct reference once; ``c`` is a bound value."""
-    references = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    def character(number: Column) -> Column:
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        as_hex = F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(0xFFFD))), 8, "0")
+        return F.coalesce(lookup(_OLD_CODES, number.cast("string")), F.decode(F.unhex(as_hex), "UTF-32"))
 
-    def character(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-        is_hex = F.lower(F.substring(ref, 3, 1)) == "x"
-        code = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        as_hex = F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")
-        return F.decode(F.unhex(as_hex), "UTF-32")
+    return let(code, character)
 
-    return F.when(
-        F.contains(c, F.lit("&#")),
-        F.aggregate(references, c, lambda text, ref: F.replace(text, ref, character(ref))),
-    ).otherwise(c)
+
+def _named(ref: Column) -> Column:
+    """A name from the table, else the longest known beginning that needs no semicolon, else as it is."""
+    # One constant that the optimizer folds; thousands of literals would make every plan slow to build.
+    table = F.str_to_map(F.lit(_NAMED), F.lit("\x01"), F.lit("\x02"))
+    name = F.substr(ref, F.lit(2))
+    bare = F.regexp_extract(name, f"^({_BARE})", 1)
+    begun = let(bare, lambda b: F.when(b != "", F.concat(F.try_element_at(table, b), F.substr(name, F.length(b) + 1))))
+    return F.coalesce(F.try_element_at(table, name), begun, ref)
 
 
 def unescape(c: Column) -> Column:
-    """Decode entities once. Named ones come from the fixed table, ``&amp;`` last."""
+    """Decode entities once, in one pass over the text: numbers, and all names of the standard."""
+
     def decode(text: Column) -> Column:
-        named = F.aggregate(
-            F.expr(_ENTITY_TABLE), _decode_numeric(text), lambda acc, e: F.replace(acc, e["name"], e["text"])
-        )
-        return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+        def piece(p: Column) -> Column:
+            is_reference = F.startswith(p, F.lit("&")) & (F.length(p) > 1)
+            decoded = F.when(F.startswith(p, F.lit("&#")), _numeric(p)).otherwise(_named(p))
+            return F.when(is_reference, decoded).otherwise(p)
+
+        parts = F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), piece)
+        return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
     return let(c, decode)
 
@@ -63,40 +74,3 @@ def strip_html(c: Column) -> Column:
     without_notes = F.regexp_replace(without_code, r"(?s)<!--.*?-->|<![^>]*>|<\?[^>]*>", "")
     text = F.regexp_replace(without_notes, r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>""", "")
     return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(unescape(collapse_phrases(unescape(text))))
-
-
-@F.pandas_udf(T.StringType())
-def strip_html_all_entities(html: pd.Series) -> pd.Series:
-    """The same for bodies that use rare named entities; Arrow batches, standard-library parser."""
-    import html as entities
-    from html.parser import HTMLParser
-
-    class Text(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__(convert_charrefs=True)
-            self.parts: list[str] = []
-            self.hidden = 0
-
-        def handle_starttag(self, tag, attrs):
-            self.hidden += tag in ("script", "style")
-
-        def handle_endtag(self, tag):
-            if tag in ("script", "style") and self.hidden:
-                self.hidden -= 1
-
-        def handle_data(self, data):
-            if not self.hidden:
-                self.parts.append(data)
-
-    def to_text(body: str | None) -> str:
-        if not body:
-            return ""
-        parser = Text()
-        parser.feed(entities.unescape(body))
-        parser.close()
-        phrases = (p.strip() for line in "".join(parser.parts).splitlines() for p in line.strip().split("  "))
-        return entities.unescape("\n".join(p for p in phrases if p))
-
-    return html.map(to_text)
-
-

@@ -110,7 +110,7 @@ def section_weight(section: Column, match_query: Column, family: Column) -> Colu
 _FAMILY_WEIGHTS = {
     f"{family}/{section}": weight
     for family, weights in vocab.FAMILY_SECTION_WEIGHTS.items()
-    for section, weight in zip(vocab.SECTIONS, weights)
+    for section, weight in weights.items()
 }
 
 

@@ -22,7 +22,6 @@ MAX_SCORE_ATTEMPTS = 3
 MAX_ERROR_CHARS = 500
 THREAD_AUTHOR = "whoishiring"
 THREAD_MAX_AGE_DAYS = 45
-THREAD_COMMENT_CAP = 100
 MIN_COMMENT_CHARS = 50
 RAW_TEXT_CHARS = 2000
 EPOCH_MILLIS_ABOVE = 10_000_000_000
@@ -36,20 +35,6 @@ WORKABLE_EXTRA_FIELDS = [
     ("industry", "Industry"),
 ]
 
-# Named HTML entities the native decoder knows; "amp" is replaced last.
-HTML_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9",
-    "reg": "\u00ae", "trade": "\u2122", "middot": "\u00b7", "bull": "\u2022", "hellip": "\u2026",
-    "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c",
-    "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac", "pound": "\u00a3",
-    "yen": "\u00a5", "cent": "\u00a2", "sect": "\u00a7", "deg": "\u00b0", "plusmn": "\u00b1",
-    "times": "\u00d7", "eacute": "\u00e9", "egrave": "\u00e8", "agrave": "\u00e0", "aacute": "\u00e1",
-    "iacute": "\u00ed", "oacute": "\u00f3", "uacute": "\u00fa", "ntilde": "\u00f1", "ccedil": "\u00e7",
-    "auml": "\u00e4", "ouml": "\u00f6", "uuml": "\u00fc", "szlig": "\u00df", "ensp": "\u2002",
-    "emsp": "\u2003", "thinsp": "\u2009", "zwj": "\u200d", "zwnj": "\u200c", "shy": "\u00ad",
-    "amp": "&",
-}
-
 # Characters a strip removes from both ends.
 WHITESPACE = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\u00a0\u2002\u2003\u2009\u2028\u2029\u3000"
 
@@ -364,19 +349,18 @@ FAMILY_SKILLS = {
     ],
 }
 
-# Section weights per family, in the order of SECTIONS:
-# summary, responsibilities, requirements, compensation, benefits.
+# Section weights per family.
 FAMILY_SECTION_WEIGHTS = {
-    "software_engineering": [1.00, 1.15, 1.20, 0.90, 0.80],
-    "data_analytics": [1.00, 1.12, 1.18, 0.90, 0.80],
-    "finance": [1.00, 1.15, 1.20, 0.95, 0.80],
-    "product_management": [1.05, 1.20, 1.15, 0.90, 0.80],
-    "operations": [1.00, 1.20, 1.15, 0.90, 0.80],
-    "sales": [1.00, 1.20, 1.15, 1.00, 0.85],
-    "marketing": [1.05, 1.15, 1.15, 0.90, 0.80],
-    "design": [1.05, 1.15, 1.15, 0.90, 0.80],
-    "internship": [1.00, 1.15, 1.10, 1.10, 0.90],
-    "general": [1.00, 1.10, 1.15, 0.90, 0.80],
+    "software_engineering": {"summary": 1.00, "responsibilities": 1.15, "requirements": 1.20, "compensation": 0.90, "benefits": 0.80},
+    "data_analytics": {"summary": 1.00, "responsibilities": 1.12, "requirements": 1.18, "compensation": 0.90, "benefits": 0.80},
+    "finance": {"summary": 1.00, "responsibilities": 1.15, "requirements": 1.20, "compensation": 0.95, "benefits": 0.80},
+    "product_management": {"summary": 1.05, "responsibilities": 1.20, "requirements": 1.15, "compensation": 0.90, "benefits": 0.80},
+    "operations": {"summary": 1.00, "responsibilities": 1.20, "requirements": 1.15, "compensation": 0.90, "benefits": 0.80},
+    "sales": {"summary": 1.00, "responsibilities": 1.20, "requirements": 1.15, "compensation": 1.00, "benefits": 0.85},
+    "marketing": {"summary": 1.05, "responsibilities": 1.15, "requirements": 1.15, "compensation": 0.90, "benefits": 0.80},
+    "design": {"summary": 1.05, "responsibilities": 1.15, "requirements": 1.15, "compensation": 0.90, "benefits": 0.80},
+    "internship": {"summary": 1.00, "responsibilities": 1.15, "requirements": 1.10, "compensation": 1.10, "benefits": 0.90},
+    "general": {"summary": 1.00, "responsibilities": 1.10, "requirements": 1.15, "compensation": 0.90, "benefits": 0.80},
 }
 
 TOOL_TOKENS = [

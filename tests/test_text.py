@@ -1,9 +1,11 @@
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
 from siftwork import vocab
 from siftwork.functions import text as X
-from siftwork.functions.html import strip_html, strip_html_all_entities
+from siftwork.functions.html import strip_html, unescape
 from siftwork.functions.strings import dedupe_ignoring_case, let, string_array
 
 
@@ -31,9 +33,12 @@ def test_strip_html(spark, html, expected):
     assert df.select(strip_html(F.col("h"))).first()[0] == expected
 
 
-def test_rare_entities_need_the_full_table(spark):
-    df = spark.createDataFrame([("<p>&Uuml;ber &nexist; x</p>",)], "h string")
-    assert df.select(strip_html_all_entities("h")).first()[0] == "Über ∄ x"
+@pytest.mark.parametrize(
+    "text", ["<p>&Uuml;ber &nexist; x</p>", "&copy 1 &notit; &copyright &unknown; & &; &#150; &#x2019 &#62", "&amp;lt; &rarr;&frac12;", "&#0; &#xD800;"]
+)
+def test_entities_are_decoded_as_the_standard_says(spark, text):
+    df = spark.createDataFrame([(text,)], "h string")
+    assert df.select(unescape(F.col("h"))).first()[0] == html.unescape(text)
 
 
 def test_no_entity_survives_double_encoding(spark):
