@@ -96,11 +96,15 @@ def _unwrap_once(json: Column) -> Column:
     return F.when(may_wrap & is_wrapper, F.get_json_object(json, "$.value")).otherwise(json)
 
 
-def unwrap_value(json: Column, depth: int = 4) -> Column:
-    """Content of nested one-key ``{"value": x}`` objects, up to ``depth`` levels."""
-    for _ in range(depth):
-        json = let(json, _unwrap_once)
-    return json
+def unwrap_value(json: Column) -> Column:
+    """Content of nested one-key ``{"value": x}`` objects, however deep: one round per ``value`` in the text."""
+
+    def unwrapped(text: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.greatest(F.regexp_count(text, F.lit('"value"')), F.lit(1)))
+        inner = F.aggregate(rounds, text, lambda inside, _: let(inside, _unwrap_once))
+        return F.when(F.startswith(text, F.lit("{")), inner).otherwise(text)
+
+    return let(json, unwrapped)
 
 
 def clamp_dimension(text: Column) -> Column:
@@ -164,8 +168,8 @@ def _as_json(raw: Column) -> Column:
     text = strip(raw)
     is_json = F.json_object_keys(text).isNotNull() | F.json_array_length(text).isNotNull()
     as_double = F.regexp_replace(
-        F.regexp_replace(text, r'(?<=[\[{,:]\s{0,8})\'((?:[^\'\\]|\\.)*)\'(?=\s*[\]},:])', r'"$1"'),
-        r"(?<=[\[{,:]\s{0,8})(True|False|None)(?=\s*[\]},])", "<$1>",
+        F.regexp_replace(text, r'([\[{,:]\s*)\'((?:[^\'\\]|\\.)*)\'(?=\s*[\]},:])', r'$1"$2"'),
+        r"([\[{,:]\s*)(True|False|None)(?=\s*[\]},])", "$1<$2>",
     )
     literal = as_double
     for word, json in (("<True>", "true"), ("<False>", "false"), ("<None>", "null")):

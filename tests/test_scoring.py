@@ -50,6 +50,19 @@ def test_recover_generation(spark, payload, fields):
     assert df.select(S.recover_generation(F.col("p"))).first()[0] == fields
 
 
+def test_wrapped_values_are_unwrapped_however_deep(spark):
+    value = "9"
+    for _ in range(6):
+        value = '{"value": ' + value + "}"
+    row = spark.range(1).select(S.unwrap_value(F.lit(value)).alias("v"), S.unwrap_value(F.lit("plain")).alias("p"), S.unwrap_value(F.lit(None).cast("string")).alias("n")).first()
+    assert tuple(row) == ("9", "plain", None)
+
+
+def test_blanks_before_a_quote_do_not_matter(spark):
+    text = "{'one_liner':" + " " * 20 + "'fine', 'disqualified':" + "\n" * 12 + "False}"
+    assert spark.range(1).select(S.recover_generation(F.lit(text))).first()[0] == {"one_liner": "fine", "disqualified": "false"}
+
+
 def test_fit_score_is_rounded_from_doubles(spark):
     weights = {d: F.lit(w) for d, w in vocab.DIMENSION_WEIGHTS.items()}
     fit = S.fit_score({d: F.lit(v) for d, v in DIMS.items()}, weights, F.lit(False))
