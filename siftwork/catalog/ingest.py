@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork import vocab
@@ -120,10 +120,9 @@ def thread_raw(t: Inputs) -> DataFrame:
     search = F.to_json(
         F.struct(F.array(hit(71, 40, "whoishiring"), hit(72, 9, "whoishiring"), hit(73, 1, "someone")).alias("hits"))
     )
-    # Only the first 150 ids of a profile are listed, so the list stays short however many there are.
-    first = Window.partitionBy("profile").orderBy("doc_id")
-    listed = rows.select("profile", "doc_id", F.row_number().over(first).alias("n")).where("n <= 150")
-    kids = listed.groupBy("profile").agg(F.array_sort(F.collect_list("doc_id")).alias("kids"))
+    # A thread item lists a thousand comments of a profile at most; a profile has as many items as it needs.
+    listed = rows.groupBy("profile", (F.col("doc_id") / 1000).cast("bigint").alias("item"))
+    kids = listed.agg(F.array_sort(F.collect_list("doc_id")).alias("kids"))
     thread = F.to_json(F.struct(F.lit(72).alias("id"), F.col("kids")))
     comment = F.to_json(F.struct(F.col("doc_id").alias("id"), _html(F.concat(F.col("title"), F.lit("\n"), F.col("body"))).alias("text")))
     parts = [
@@ -245,9 +244,9 @@ def _(t: Inputs) -> DataFrame:
 
 _THREAD_SQL = f"""
 WITH c AS (SELECT profile, doc_id, concat(title, chr(10), array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda l: trim(l)),
-    lambda l: l <> ''), chr(10))) AS text, title, row_number() OVER (PARTITION BY profile ORDER BY doc_id) AS pos FROM v_postings WHERE source = 'hackernews')
+    lambda l: l <> ''), chr(10))) AS text, title FROM v_postings WHERE source = 'hackernews')
 SELECT profile, concat('hackernews_', doc_id) AS id, title, concat('https://news.ycombinator.com/item?id=', doc_id) AS url, text AS description
-FROM c WHERE pos <= {vocab.THREAD_COMMENT_CAP} AND length(text) >= {vocab.MIN_COMMENT_CHARS}
+FROM c WHERE length(text) >= {vocab.MIN_COMMENT_CHARS}
 """
 
 

@@ -88,7 +88,7 @@ def _base(
     )
 
 
-def assemble(base: DataFrame) -> DataFrame:
+def assemble(base: DataFrame, min_comment_chars: int = vocab.MIN_COMMENT_CHARS) -> DataFrame:
     """Texts from what the sources contributed; the same few projections for all of them.
 
     The texts are built above the fields, so a later filter on title or date runs first and
@@ -98,7 +98,7 @@ def assemble(base: DataFrame) -> DataFrame:
     stripped = F.coalesce(filled(F.col("plain")), strip_html(F.col("html")))
     described = base.withColumn("description", F.concat_ws("\n", filled(stripped), F.col("extras")))
     titled = described.withColumn("title", F.coalesce("title", strip(F.substring_index("description", "\n", 1))))
-    long_enough = ~is_thread | (F.length("description") >= vocab.MIN_COMMENT_CHARS)
+    long_enough = ~is_thread | (F.length("description") >= min_comment_chars)
     full_text = F.when(is_thread, F.col("description")).otherwise(F.concat("title", F.lit(" "), "description"))
     raw_text = extract_job_context(strip(F.concat("header", "description")))
     return titled.where(long_enough).withColumns({"full_text": full_text, "raw_text": raw_text}).select(*NORMALIZED)
@@ -129,12 +129,12 @@ def _lever(raw: DataFrame) -> DataFrame:
     )
 
 
-def _thread(raw: DataFrame, as_of: Column) -> DataFrame:
+def _thread(raw: DataFrame, as_of: Column, comments_per_thread: int | None, max_age_days: int) -> DataFrame:
     parsed = raw.where(F.col("source") == "hackernews").select(
         "profile", "fetched_at", F.from_json("payload", THREAD).alias("j")
     )
     hits = parsed.where("j.hits IS NOT NULL").select("profile", F.explode("j.hits").alias("h"))
-    oldest = F.unix_timestamp(as_of) - vocab.THREAD_MAX_AGE_DAYS * 86_400
+    oldest = F.unix_timestamp(as_of) - max_age_days * 86_400
     threads = (
         hits.where((F.col("h.author") == vocab.THREAD_AUTHOR) & (F.col("h.created_at_i") > oldest))
         .groupBy("profile")
@@ -145,7 +145,7 @@ def _thread(raw: DataFrame, as_of: Column) -> DataFrame:
     kids = (
         threads.join(items, ["profile", "thread_id"])
         .select("profile", "thread_title", F.posexplode("kids").alias("pos", "comment_id"))
-        .where(F.col("pos") < vocab.THREAD_COMMENT_CAP)
+        .where(F.lit(True) if comments_per_thread is None else F.col("pos") < comments_per_thread)
         .drop("pos")
     )
     comments = parsed.where("j.text IS NOT NULL").select(
@@ -279,13 +279,17 @@ def normalize_himalayas(raw: DataFrame) -> DataFrame:
     return assemble(_himalayas(raw))
 
 
-def normalize_thread(raw: DataFrame, as_of: Column) -> DataFrame:
-    """Comments of the newest hiring thread: the first hundred, without the very short ones.
+def normalize_thread(
+    raw: DataFrame, as_of: Column, comments_per_thread: int | None = None,
+    max_age_days: int = vocab.THREAD_MAX_AGE_DAYS, min_comment_chars: int = vocab.MIN_COMMENT_CHARS,
+) -> DataFrame:
+    """Comments of the newest hiring thread, without the very short ones.
 
     Raw rows of this source hold a search result (``hits``), a thread (``id``, ``kids``) or a
-    comment (``id``, ``text``).
+    comment (``id``, ``text``). ``comments_per_thread`` takes only the first so many, as a polite
+    client of the live service would; landed comments are all taken.
     """
-    return assemble(_thread(raw, as_of))
+    return assemble(_thread(raw, as_of, comments_per_thread, max_age_days), min_comment_chars)
 
 
 def union_postings(parts: list[DataFrame]) -> DataFrame:
@@ -293,7 +297,10 @@ def union_postings(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def normalize_all(raw: DataFrame, as_of: Column) -> DataFrame:
+def normalize_all(
+    raw: DataFrame, as_of: Column, comments_per_thread: int | None = None,
+    max_age_days: int = vocab.THREAD_MAX_AGE_DAYS, min_comment_chars: int = vocab.MIN_COMMENT_CHARS,
+) -> DataFrame:
     """All sources: fields per source, then one union, then the texts once for all rows."""
     parts = [board(raw) for board in (_greenhouse, _lever, _ashby, _workable, _himalayas)]
-    return assemble(union_postings([*parts, _thread(raw, as_of)]))
+    return assemble(union_postings([*parts, _thread(raw, as_of, comments_per_thread, max_age_days)]), min_comment_chars)

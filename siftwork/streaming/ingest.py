@@ -19,17 +19,34 @@ def read_landing(spark: SparkSession, path: str, schema: str = RAW, max_files: i
     return reader.json(path)
 
 
+def with_earlier_threads(batch: DataFrame, threads: DataFrame) -> DataFrame:
+    """The batch, and of ``threads`` the payloads that its thread payloads belong together with.
+
+    New comments meet all stored search results and threads of their profile; a new search result
+    or thread meets the stored comments too.
+    """
+    spans = F.get_json_object("payload", "$.hits").isNotNull() | F.get_json_object("payload", "$.kids").isNotNull()
+    touched = batch.where(F.col("source") == "hackernews").groupBy("profile").agg(F.max(spans).alias("_spans"))
+    earlier = threads.join(touched, "profile").where(F.col("_spans") | spans)
+    return batch.unionByName(earlier.select(*batch.columns))
+
+
 def start_ingest(
     landing: DataFrame, profiles: DataFrame, table: str, checkpoint: str, as_of: Column
 ) -> StreamingQuery:
     """Landed payloads into the posting table, insert-only; runs until nothing new has landed.
 
-    Each micro-batch takes the batch plan unchanged. A batch that is repeated after a
-    failure finds its postings stored and adds nothing.
+    Each micro-batch takes the batch plan unchanged. A thread comes as several payloads, which may
+    land in any order and in any batches: they are kept in a table beside the postings and join
+    the later batches. A batch that is repeated after a failure finds its postings stored and adds nothing.
     """
+    kept = f"{table.rstrip('/')}-threads"
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        append_new(ingest(batch, profiles, as_of), table, POSTINGS, POSTING_KEYS, POSTING_PARTITIONS, "created_at")
+        rows = with_earlier_threads(batch, read_table(batch.sparkSession, kept, RAW))
+        append_new(ingest(rows, profiles, as_of), table, POSTINGS, POSTING_KEYS, POSTING_PARTITIONS, "created_at")
+        parts = batch.where(F.col("source") == "hackernews").select(*[f.split()[0] for f in RAW.split(", ")])
+        parts.write.mode("append").partitionBy("profile").parquet(kept)
 
     return (
         landing.writeStream.foreachBatch(load)
@@ -39,9 +56,12 @@ def start_ingest(
     )
 
 
-def dedupe_stream(rows: DataFrame, key: str = "id", ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """First row per key within the watermark; the insert-only load covers what is later."""
-    return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def dedupe_stream(rows: DataFrame, keys: list[str] = POSTING_KEYS, ts: str = "ts", late: str = "1 day") -> DataFrame:
+    """First row per posting within the watermark; the insert-only load covers what is later.
+
+    A posting's key is its profile, source and id: other tenants may hold the same id.
+    """
+    return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def funnel_by_hour(rows: DataFrame, ts: str = "ts", late: str | None = "2 hours") -> DataFrame:
