@@ -105,7 +105,8 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "pending_embeddings_forced",
-    f"SELECT p.profile, p.id FROM {_JOIN} WHERE p.scrape_qualified ORDER BY p.created_at DESC LIMIT 200",
+    f"""SELECT profile, id FROM (SELECT p.profile, p.id, row_number() OVER (PARTITION BY p.profile ORDER BY p.created_at DESC, p.id) AS rn
+  FROM {_JOIN} WHERE p.scrape_qualified) x WHERE rn <= 200""",
 )
 def _(t: Inputs) -> DataFrame:
     return R.pending_embeddings(t.postings, t.scores, t.chunks, "hash-64/v1", force=True, limit=200).select("profile", "id")
@@ -318,7 +319,10 @@ def _(t: Inputs) -> DataFrame:
     return R.top_matches(R.partition_queue(_rows(t))[0]).select("profile", "id", "fit_score")
 
 
-@query("recent_runs", "SELECT run_id, profile FROM v_runs ORDER BY started_at DESC, run_id LIMIT 20")
+@query(
+    "recent_runs",
+    "SELECT run_id, profile FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY started_at DESC, run_id) AS rn FROM v_runs) x WHERE rn <= 20",
+)
 def _(t: Inputs) -> DataFrame:
     return R.recent_runs(t.runs).select("run_id", "profile")
 

@@ -54,4 +54,8 @@ def retrieval_reason(sections: Column) -> Column:
 
 
 def clamp_k(value: int | None, default: int, upper: int) -> int:
-    return max(1, min(upper, default if value is None else int(value)))
+    """How many rows a caller wants; more than ``upper`` is refused, not cut in silence."""
+    wanted = default if value is None else int(value)
+    if wanted > upper:
+        raise ValueError(f"at most {upper} rows can be asked for, not {wanted}")
+    return max(1, wanted)

@@ -87,14 +87,14 @@ def pending_embeddings(
     postings: DataFrame, scores: DataFrame, chunks: DataFrame, model_name: str,
     force: bool = False, limit: int | None = None,
 ) -> DataFrame:
-    """Qualified, scored postings that have no chunk of this model yet; newest first under a limit."""
+    """Qualified, scored postings that have no chunk of this model yet; with a limit, the newest so many of each profile."""
     scored = scores.select("profile", F.col("job_id").alias("id"))
     due = postings.where(F.col("scrape_qualified")).join(scored, KEY, "left_semi")
     if not force:
         done = chunks.where(F.col("model_name") == model_name).select("profile", F.col("job_id").alias("id"))
         due = due.join(done, KEY, "left_anti")
     if limit is not None:
-        due = due.orderBy(F.desc("created_at"), "profile", "id").limit(limit)
+        due = _per_profile(due, [F.desc("created_at"), "id"], limit)
     return due
 
 
@@ -302,7 +302,8 @@ def top_matches(rows: DataFrame, n: int = 6) -> DataFrame:
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
-    return runs.orderBy(F.desc("started_at"), "run_id").limit(limit)
+    """The last started runs of each profile."""
+    return _per_profile(runs, [F.desc("started_at"), "run_id"], limit)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
