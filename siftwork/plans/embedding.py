@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwork.operators.chunking import DEFAULT_MODEL, Encoder, chunk_and_embed
 from siftwork.operators.review import pending_embeddings
-from siftwork.sources.tables import read_table, replace_groups_in_table
+from siftwork.sources.tables import append, read_table, replace_groups_in_table
 
 CHUNKS = (
     "job_id string, chunk_key string, chunk_order int, chunk_text string, embedding array<float>, dimensions int, "
@@ -29,7 +29,11 @@ def embed_pending(
     due = pending_embeddings(postings, scores, stored, model_name, force)
     fresh = chunk_and_embed(due, model_name, make_encoder).withColumn("created_at", created_at)
     columns = [f.split()[0] for f in CHUNKS.split(", ")]
-    replace_groups_in_table(fresh.select(*columns), path, CHUNKS, CHUNK_GROUP, CHUNK_PARTITIONS)
+    if force:
+        replace_groups_in_table(fresh.select(*columns), path, CHUNKS, CHUNK_GROUP, CHUNK_PARTITIONS)
+    else:
+        # What is due has no chunk yet, so nothing stored has to be rewritten.
+        append(fresh.select(*columns), path, CHUNK_PARTITIONS)
 
 
 def embedding_stats(chunks: DataFrame) -> DataFrame:

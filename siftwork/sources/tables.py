@@ -8,6 +8,8 @@ shared folder first and from there over the old partitions, never while they are
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,25 +130,33 @@ def append(rows: DataFrame, path: str, partition_by: list[str]) -> None:
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """Write rows to the shared folder and read them back: cuts lineage, survives lost executors."""
+@contextmanager
+def staged(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The folder is removed when the write that needed it has succeeded; after a failure it stays.
+    """
     spark = rows.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    yield spark.read.schema(rows.schema).parquet(path)
+    _remove(spark, path)
 
 
 def append_new(new: DataFrame, path: str, schema: str, keys: list[str], partition_by: list[str], order: str = "arrival") -> None:
-    """Insert-only load. A second run of the same batch adds nothing."""
-    spark = new.sparkSession
-    target = read_table(spark, path, schema)
-    append(insert_or_ignore(new, target, keys, order), path, partition_by)
+    """Insert-only load. A second run of the same batch adds nothing.
+
+    Only the partitions that the batch touches are compared with it.
+    """
+    with staged(new) as batch:
+        target = read_table(new.sparkSession, path, schema)
+        append(insert_or_ignore(batch, _touched(target, batch, partition_by), keys, order), path, partition_by)
 
 
 def rewrite_partitions(content: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace exactly the partitions that occur in ``content``; it may be derived from ``path``."""
-    safe = staged(content)
-    safe.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    with staged(content) as safe:
+        safe.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def _touched(target: DataFrame, new: DataFrame, partition_by: list[str]) -> DataFrame:
@@ -158,29 +168,54 @@ def upsert_table(new: DataFrame, path: str, schema: str, keys: list[str], partit
 
     The new rows are used more than once, so they are stored first and computed once.
     """
-    new = staged(new)
-    target = read_table(new.sparkSession, path, schema)
-    rewrite_partitions(upsert(new, _touched(target, new, partition_by), keys), path, partition_by)
+    with staged(new) as fresh:
+        target = read_table(new.sparkSession, path, schema)
+        rewrite_partitions(upsert(fresh, _touched(target, fresh, partition_by), keys), path, partition_by)
 
 
 def replace_groups_in_table(new: DataFrame, path: str, schema: str, group: list[str], partition_by: list[str]) -> None:
     """Group-wise replacement; the new rows (often from a model) are computed once."""
-    new = staged(new)
-    target = read_table(new.sparkSession, path, schema)
-    rewrite_partitions(replace_group(new, _touched(target, new, partition_by), group), path, partition_by)
+    with staged(new) as fresh:
+        target = read_table(new.sparkSession, path, schema)
+        rewrite_partitions(replace_group(fresh, _touched(target, fresh, partition_by), group), path, partition_by)
+
+
+def _changed_partitions(path: str, schema: str, changes: DataFrame, partition_by: list[str], change: Callable[[DataFrame], DataFrame]) -> None:
+    """Rewrites the partitions that hold a posting of ``changes``."""
+    table = read_table(changes.sparkSession, path, schema)
+    hit = table.join(changes.select(*KEY).distinct(), KEY, "left_semi")
+    rewrite_partitions(change(_touched(table, hit, partition_by)), path, partition_by)
+
+
+def change_status_in_table(changes: DataFrame, path: str, schema: str, partition_by: list[str], log_path: str | None = None) -> None:
+    """The last requested status of each posting, written; with ``log_path`` what changed is appended there first.
+
+    The log makes the change undoable: its rows are those of ``status_change_log``.
+    """
+    log = status_change_log(read_table(changes.sparkSession, path, schema), changes)
+    with staged(log) as done:
+        if log_path is not None:
+            done.write.mode("append").parquet(log_path)
+        _changed_partitions(path, schema, done, partition_by, lambda rows: apply_status_changes(rows, done))
+
+
+def record_attempts_in_table(attempts: DataFrame, path: str, schema: str, partition_by: list[str]) -> None:
+    """Tries and last errors of postings, written. Not to be repeated after a success: tries are added up."""
+    with staged(attempts) as tried:
+        _changed_partitions(path, schema, tried, partition_by, lambda rows: record_attempts(rows, tried))
 
 
 def delete_from_table(spark: SparkSession, path: str, schema: str, condition: Column, partition_by: list[str]) -> None:
     """Delete rows: only partitions with a matching row are rewritten, emptied ones removed."""
     table = read_table(spark, path, schema)
     hit = table.where(condition).select(*partition_by).distinct()
-    remaining = staged(delete_where(table.join(hit, partition_by, "left_semi"), condition))
-    # Partition values only, so the list stays as short as the partition list of the table.
-    emptied = hit.join(remaining.select(*partition_by).distinct(), partition_by, "left_anti").collect()
-    if not remaining.isEmpty():
-        remaining.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            *partition_by
-        ).parquet(path)
+    with staged(delete_where(table.join(hit, partition_by, "left_semi"), condition)) as remaining:
+        # Partition values only, so the list stays as short as the partition list of the table.
+        emptied = hit.join(remaining.select(*partition_by).distinct(), partition_by, "left_anti").collect()
+        if not remaining.isEmpty():
+            remaining.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                *partition_by
+            ).parquet(path)
     for row in emptied:
         _drop_partition(spark, path, {c: row[c] for c in partition_by})
 
@@ -189,5 +224,9 @@ def _drop_partition(spark: SparkSession, path: str, values: dict[str, object]) -
     jvm = spark.sparkContext._jvm
     escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     folder = "/".join(f"{c}={escape(str(v)) if v is not None else '__HIVE_DEFAULT_PARTITION__'}" for c, v in values.items())
-    target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
+    _remove(spark, f"{path.rstrip('/')}/{folder}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,4 +1,5 @@
 import json
+import pathlib
 
 import pytest
 
@@ -103,10 +104,14 @@ def test_embedding_run_is_incremental(spark, tmp_path):
     embed_pending(postings, scores("0", "1"), path, now)
     first = stored()
     assert {j for j, _ in first} == {"0", "1"}
+    files = {f for f in pathlib.Path(path).rglob("*.parquet")}
     embed_pending(postings, scores("0", "1"), path, now)
     assert stored() == first
+    embed_pending(postings, scores("0", "1", "3"), path, now)
+    # A further run appends: the earlier files are as they were.
+    assert files <= set(pathlib.Path(path).rglob("*.parquet")) and {j for j, _ in stored()} == {"0", "1", "3"}
     embed_pending(postings, scores("0", "1", "2"), path, now, force=True)
-    assert {j for j, _ in stored()} == {"0", "1", "2"} and len(stored()) == len(set(stored()))
+    assert {j for j, _ in stored()} == {"0", "1", "2", "3"} and len(stored()) == len(set(stored()))
 
 
 def test_rolling_usage_against_brute_force_under_skew(spark):

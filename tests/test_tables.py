@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from siftwork.session import shared_dir
 from siftwork.sources import tables as T
 
 SCHEMA = "id string, title string, created_at timestamp, profile string, source string"
@@ -88,3 +89,21 @@ def test_missing_table_reads_empty_only_with_schema(spark, tmp_path):
     assert T.read_table(spark, str(tmp_path / "none"), SCHEMA).count() == 0
     with pytest.raises(AnalysisException):
         T.read_table(spark, str(tmp_path / "none"))
+
+
+def test_status_and_attempts_are_written_and_staging_is_removed(spark, tmp_path):
+    path, log = str(tmp_path / "t"), str(tmp_path / "log")
+    left = lambda: {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("staged-")}
+    before = left()
+    schema = "id string, status string, score_attempts int, score_error string, profile string"
+    spark.createDataFrame([("1", "new", 0, None, "p"), ("2", "new", 0, None, "p"), ("3", "new", 0, None, "q")], schema).write.partitionBy("profile").parquet(path)
+    other = sorted(os.listdir(os.path.join(path, "profile=q")))
+    changes = spark.createDataFrame([("p", "1", "applied", 1), ("p", "x", "applied", 1)], "profile string, id string, new_status string, changed_at int")
+    T.change_status_in_table(changes, path, schema, ["profile"], log)
+    attempts = spark.createDataFrame([("p", "2", 1, "late"), ("p", "2", 2, None)], "profile string, id string, tried_at int, error string")
+    T.record_attempts_in_table(attempts, path, schema, ["profile"])
+    found = {r["id"]: (r["status"], r["score_attempts"], r["score_error"]) for r in T.read_table(spark, path, schema).collect()}
+    assert found == {"1": ("applied", 0, None), "2": ("new", 2, "late"), "3": ("new", 0, None)}
+    assert sorted(os.listdir(os.path.join(path, "profile=q"))) == other
+    assert [r["previous_status"] for r in T.read_table(spark, log).collect()] == ["new"]
+    assert left() == before
