@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from siftwork.llm.shared import free_name
 from siftwork.llm.worker import memo, shingle_hashes, slices, texts
 
 WINDOW = 8
@@ -84,7 +85,7 @@ class Templates:
         if None in at:
             at = [place[w] if w in place else self.add(w) for w in words]
         at = np.array(at, np.int64)
-        view = lambda x, kind: np.array(x, kind)[at]
+        view = lambda x, kind: np.frombuffer(x, kind)[at]
         first = np.concatenate(([True], view(self.ends, np.uint8)[:-1] != 0)) if len(at) else np.empty(0, bool)
         return np.where(first, view(self.hashes[True], np.uint64), view(self.hashes[False], np.uint64)), np.where(first, view(self.kinds[True], np.uint8), view(self.kinds[False], np.uint8))
 
@@ -210,5 +211,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark passage."""
-    mark = "_matches"
+    mark = free_name(docs, "_matches")
     return with_matches(docs, benchmark, mark).where(F.size(mark) == 0).select(*docs.columns)
