@@ -66,7 +66,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The segments of all texts. State 2: the same anchor has come earlier in this slice of the table;
     1: it has not, but it comes again; 0: it comes once. Only states 0 and 1 need to meet by anchor."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 8 << 20):
             found = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part)):
                 words = word_hashes(text.encode().split())
@@ -142,7 +142,9 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield report()
                 shard, held = key, []
-            held.append(row)
+            # Rows of one id that are alike give a segment twice, one after the other.
+            if not held or held[-1] != row:
+                held.append(row)
     if held:
         yield report()
 
@@ -154,23 +156,22 @@ def repeated_windows(docs: DataFrame, crowd: int = CROWD, shard: int = SHARD) ->
     dealt = F.when(F.col("state") == 2, F.xxhash64("doc_id", "start")).otherwise(F.col("anchor"))
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy(dealt)))
     places = stored(counted.where("n > 1 or state > 0").select("anchor", "digest", "doc_id", "start", "windows"), "places")
-    firsts = stored(places.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("windows").alias("windows")), "firsts")
-    crowds = firsts.groupBy("anchor").agg(F.count("*").alias("n")).select("anchor", (F.col("n") > crowd).alias("crowded"), "n")
-    # Segments that are alone with their anchor have nothing to be compared with but their own copies.
-    wanted = firsts.join(crowds, "anchor").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "digest", F.col("first.start").alias("start"), "windows", "crowded")).alias("firsts"))
-    texts_of = docs.join(wanted, "doc_id").select("doc_id", "text", "firsts")
-    words = stored(texts_of.mapInArrow(_stored_words, STORED).dropDuplicates(["anchor", "digest", "shift"]), "segments")
-    total = words.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // BYTES
+    firsts = places.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("windows").alias("windows"))
+    crowds = firsts.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
+    known = stored(firsts.join(crowds, "anchor"), "firsts")
+    symbols = F.when(F.col("crowded"), F.col("windows") * (WINDOW + 1)).otherwise(F.col("windows") + WINDOW)
+    total = known.agg(F.coalesce(F.sum(symbols), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard))
-    indexed = words.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards))).select("shard", "anchor", "digest", "windows", "shift", "words", "doc_id", "start")
+    wanted = known.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "digest", F.col("first.start").alias("start"), "windows", "crowded")).alias("firsts"))
+    texts_of = docs.join(wanted, "doc_id").select("doc_id", "text", "firsts")
+    indexed = texts_of.mapInArrow(_stored_words, STORED).withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards))).select("shard", "anchor", "digest", "windows", "shift", "words", "doc_id", "start")
     reports = indexed.repartition("shard").sortWithinPartitions("shard", "doc_id", "start").drop("doc_id", "start").mapInArrow(_searched, "anchor long, digest long, window int")
     earlier = reports.groupBy("anchor", "digest").agg(F.collect_list("window").alias("earlier"))
-    known = firsts.select("anchor", "digest", "first").join(earlier, ["anchor", "digest"], "left")
-    copies = places.join(known, ["anchor", "digest"])
+    copies = places.join(known.select("anchor", "digest", "first").join(earlier, ["anchor", "digest"], "left"), ["anchor", "digest"])
     own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
-    later = copies.where(~own).select("doc_id", "start", "windows")
-    parts = copies.where(own & F.col("earlier").isNotNull()).select("doc_id", "start", F.explode("earlier").alias("window"))
-    return later.union(parts.select("doc_id", (F.col("start") + F.col("window")).alias("start"), F.lit(1).alias("windows")))
+    single = F.transform(F.coalesce("earlier", F.array().cast("array<int>")), lambda w: F.struct((F.col("start") + w).alias("start"), F.lit(1).alias("windows")))
+    runs = F.when(own, single).otherwise(F.array(F.struct("start", "windows")))
+    return copies.select("doc_id", F.explode(runs).alias("run")).select("doc_id", "run.start", "run.windows")
 
 
 def kept_words(words: list[bytes], runs: list[dict] | None) -> list[bytes]:
