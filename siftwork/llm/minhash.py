@@ -113,12 +113,13 @@ def _sets(width: int):
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose full sets are alike enough."""
     for batch in batches:
-        out = []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "hashes_a", "hashes_b"))):
-            x, y = unpacked(x), unpacked(y)
-            if linked(np.intersect1d(x, y, assume_unique=True).size, len(x), len(y)):
-                out.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+        for part in slices(batch, "hashes_a", 2 << 20):
+            out = []
+            for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "hashes_a", "hashes_b"))):
+                x, y = unpacked(x), unpacked(y)
+                if linked(np.intersect1d(x, y, assume_unique=True).size, len(x), len(y)):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +148,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if (row["grp"], row["ask"], row["chunk"]) != key:
-                yield links()
-                key, asked, members = (row["grp"], row["ask"], row["chunk"]), [], []
-            (asked if row["asks"] else members).append((row["node"], row["comp"], unpacked(row["hashes"])))
+        for part in slices(batch, "hashes", 2 << 20):
+            for row in part.to_pylist():
+                if (row["grp"], row["ask"], row["chunk"]) != key:
+                    yield links()
+                    key, asked, members = (row["grp"], row["ask"], row["chunk"]), [], []
+                (asked if row["asks"] else members).append((row["node"], row["comp"], unpacked(row["hashes"])))
     yield links()
 
 

@@ -23,8 +23,10 @@ def memo(key: Any, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch whose ``column`` holds about ``most_bytes`` each, one row at least."""
+    if not batch.num_rows:
+        return
     sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], dtype=_offset(batch, column), count=batch.num_rows + 1 + batch.column(column).offset)[batch.column(column).offset :])
     ends = np.cumsum(sizes)
     start = 0
@@ -48,7 +50,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 class Hashes(dict):
     """64-bit hashes of byte strings, computed once each; emptied when it holds ``limit`` of them."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
