@@ -147,7 +147,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, "text", 16 << 20):
+            for piece in slices(batch, "text", 8 << 20):
                 found, at = own.encode(texts(piece))
                 for i, doc_id in enumerate(piece.column("doc_id").to_pylist()):
                     stream += [found[at[i] : at[i + 1]], np.array([end_id], "<u4")]

@@ -51,7 +51,7 @@ def encode_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "block", "first", "n_tokens", "doc_ids", "doc_tokens", "payload"])
 
         for batch in batches:
-            for piece in slices(batch, "text", 16 << 20):
+            for piece in slices(batch, "text", 8 << 20):
                 found, at = own.encode(texts(piece))
                 for i, doc_id in enumerate(piece.column("doc_id").to_pylist()):
                     ids += [found[at[i] : at[i + 1]], np.array([end_id], "<u4")]
