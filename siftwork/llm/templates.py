@@ -3,9 +3,10 @@
 Every word becomes a template token: numbers, units and names become typed slots, all other words
 their lower-case letters and digits. Windows of ``WINDOW`` tokens of the benchmark form a hash
 table; windows of the documents probe it. A hit is extended along its diagonal (same distance
-between the two texts), and counts when ``LEAST`` tokens in a row agree, enough of them words, and the
-slots are filled consistently: one value of the item always stands for one value of the document,
-and the other way round.
+between the two texts). Where the slots of the agreeing tokens are not filled one to one (one value of
+the item stands for one value of the document, and the other way round), the run is split into its
+longest consistent stretches; each counts that has ``LEAST`` tokens in a row, enough of them words.
+A stretch that was copied word for word is always consistent.
 
 The table is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text: one block as a rule, and
 a further pass over the documents for each block more.
@@ -138,9 +139,7 @@ class Benchmark:
                     continue
                 end = at + self.run(item, start, hashes, at)
                 seen[(item, at - start)] = end - WINDOW
-                length = end - at
-                if length >= min(LEAST, len(self.words[item])) and self.agrees(item, start, words, kinds, at, length):
-                    found.append((self.ids[item], at, length))
+                found += [(self.ids[item], at + i, j - i) for i, j in self.passages(item, start, words, kinds, at, end - at)]
         return sorted(set(found))
 
     def run(self, item: int, start: int, hashes: np.ndarray, at: int) -> int:
@@ -150,19 +149,51 @@ class Benchmark:
         apart = np.flatnonzero(own[start : start + n] != hashes[at : at + n])
         return int(apart[0]) if len(apart) else n
 
-    def agrees(self, item: int, start: int, words: list[str], kinds: np.ndarray, at: int, length: int) -> bool:
-        """Whether enough of the run are words, and its slots are filled one to one."""
+    def passages(self, item: int, start: int, words: list[str], kinds: np.ndarray, at: int, length: int) -> list[tuple[int, int]]:
+        """Begin and end of each passage in a run of agreeing tokens."""
+        need = min(LEAST, len(self.words[item]))
+        if length < need:
+            return []
         own = self.kinds[item][start : start + length]
-        if (own == WORD).sum() < WORDS * length:
-            return False
-        there: dict = {}
-        back: dict = {}
-        for i in np.flatnonzero(own != WORD).tolist():
-            a = (int(own[i]), re.sub(CORE, "", self.words[item][start + i]).lower())
-            b = (int(own[i]), re.sub(CORE, "", words[at + i]).lower())
-            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                return False
-        return True
+        word = np.concatenate(([0], np.cumsum(own == WORD)))
+        if word[-1] < WORDS * need:
+            return []
+        slots = np.flatnonzero(own != WORD).tolist()
+        pairs = [((int(own[i]), self.value(self.words[item][start + i])), (int(own[i]), self.value(words[at + i]))) for i in slots]
+        found = []
+        for i, j in consistent(slots, pairs, length):
+            if j - i < need:
+                continue
+            if word[j] - word[i] >= WORDS * (j - i):
+                found.append((i, j))
+            else:
+                good = word[i + need : j + 1] - word[i : j + 1 - need] >= WORDS * need
+                found += [(i + a, i + b + need - 1) for a, b in stretches(good)]
+        return found
+
+    @staticmethod
+    def value(word: str) -> str:
+        return re.sub(CORE, "", word).lower()
+
+
+def consistent(slots: list[int], pairs: list[tuple], length: int) -> list[tuple[int, int]]:
+    """Begin and end of each longest stretch of a run whose pairs of values at ``slots`` are one to one."""
+    begin, found = 0, []
+    there: dict = {}
+    back: dict = {}
+    for i, (a, b) in zip(slots, pairs):
+        clash = max([p for p, x in (there.get(a, (-1, b)),) if x != b] + [p for p, x in (back.get(b, (-1, a)),) if x != a], default=-1)
+        if clash >= begin:
+            found.append((begin, i))
+            begin = clash + 1
+        there[a], back[b] = (i, b), (i, a)
+    return [*found, (begin, length)]
+
+
+def stretches(good: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each stretch of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], good.astype(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
 MATCHES = ArrayType(StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("length", LongType())]))

@@ -326,6 +326,16 @@ def test_slots_must_be_filled_consistently():
     assert not item.matches(text.replace("12", "7"), own)
 
 
+def test_inconsistent_runs_are_split_at_the_clash():
+    own = templates.Templates()
+    text = "We know that 12 boys gave the 7 girls coins and then they went home to sleep because it was late and all 12 of them were quite tired after the long day"
+    item = templates.Benchmark([(4, text)])
+    assert item.matches(text.replace("12", "30", 1), own) == [(4, 0, 23), (4, 4, 29)]
+    assert item.matches(text.replace("12", "30").replace("7", "30"), own) == [(4, 4, 19), (4, 8, 25)]
+    short = " ".join(text.split()[:16])
+    assert templates.Benchmark([(4, short)]).matches(short.replace("7", "12"), own) == []
+
+
 def test_contamination_of_the_small_table(spark, documents):
     import re
 
