@@ -5,8 +5,8 @@ their lower-case letters and digits. Windows of ``WINDOW`` tokens of the benchma
 table; windows of the documents probe it. A hit is extended along its diagonal (same distance
 between the two texts). Where the slots of the agreeing tokens are not filled one to one (one value of
 the item stands for one value of the document, and the other way round), the run is split into its
-longest consistent stretches; each counts that has ``LEAST`` tokens in a row, enough of them words.
-A stretch that was copied word for word is always consistent.
+longest consistent stretches; each counts that has ``LEAST`` tokens in a row, enough of them words
+or all of them copied word for word.
 
 The table is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text: one block as a rule, and
 a further pass over the documents for each block more.
@@ -30,7 +30,7 @@ from siftwork.llm.worker import memo, shingle_hashes, slices, texts
 
 WINDOW = 8
 LEAST = 13  # agreeing tokens in a row, or a whole item where that is shorter
-WORDS = 0.5  # share of them that are words and not slots, at least
+WORDS = 0.5  # share of them that are words and not slots, at least, where a slot's value differs
 BLOCK_BYTES = 32 << 20
 TABLE_BITS = 22
 
@@ -155,20 +155,20 @@ class Benchmark:
         if length < need:
             return []
         own = self.kinds[item][start : start + length]
-        word = np.concatenate(([0], np.cumsum(own == WORD)))
-        if word[-1] < WORDS * need:
-            return []
         slots = np.flatnonzero(own != WORD).tolist()
         pairs = [((int(own[i]), self.value(self.words[item][start + i])), (int(own[i]), self.value(words[at + i]))) for i in slots]
+        changed = np.zeros(length, bool)
+        changed[slots] = [a != b for a, b in pairs]
+        word, changed = (np.concatenate(([0], np.cumsum(x))) for x in (own == WORD, changed))
+        good = (word[need:] - word[:-need] >= WORDS * need) | (changed[need:] == changed[:-need])
         found = []
         for i, j in consistent(slots, pairs, length):
             if j - i < need:
                 continue
-            if word[j] - word[i] >= WORDS * (j - i):
+            if word[j] - word[i] >= WORDS * (j - i) or changed[j] == changed[i]:
                 found.append((i, j))
             else:
-                good = word[i + need : j + 1] - word[i : j + 1 - need] >= WORDS * need
-                found += [(i + a, i + b + need - 1) for a, b in stretches(good)]
+                found += [(i + a, i + b + need - 1) for a, b in stretches(good[i : j + 1 - need])]
         return found
 
     @staticmethod

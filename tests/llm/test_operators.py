@@ -336,6 +336,15 @@ def test_inconsistent_runs_are_split_at_the_clash():
     assert templates.Benchmark([(4, short)]).matches(short.replace("7", "12"), own) == []
 
 
+def test_copies_made_mostly_of_slots_are_found():
+    own = templates.Templates()
+    text = "add 12 and 31 and 45 6 77 8 90 km 13 14 kg and 15 16 17 Paris London Rome"
+    item = templates.Benchmark([(4, text)])
+    assert item.matches(f"so we {text} today", own) == [(4, 2, len(text.split()))]
+    assert item.matches(f"so we {text} today".replace("12", "21"), own) == [(4, 4, len(text.split()) - 2)]
+    assert item.matches("so we add 2 and 3 and 4 60 7 80 9 km 103 104 kg and 105 106 107 Oslo Wien Bonn today", own) == []
+
+
 def test_contamination_of_the_small_table(spark, documents):
     import re
 
