@@ -1,7 +1,8 @@
 """Benchmark passages in documents, found by templates, so that changed numbers or names don't hide them.
 
 Every word becomes a template token: numbers, units and names become typed slots, all other words
-their lower-case letters and digits. Windows of ``WINDOW`` tokens of the benchmark form a hash
+their lower-case letters and digits. A capitalised word at the start of a sentence can be a name or
+not, so it is read both ways, and either may match. Windows of ``WINDOW`` tokens of the benchmark form a hash
 table; windows of the documents probe it. A hit is extended along its diagonal (same distance
 between the two texts). Where the slots of the agreeing tokens are not filled one to one (one value of
 the item stands for one value of the document, and the other way round), the run is split into its
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from siftwork.llm.shared import free_name
-from siftwork.llm.worker import memo, shingle_hashes, slices, texts
+from siftwork.llm.worker import memo, mixed, slices, texts
 
 WINDOW = 8
 LEAST = 13  # agreeing tokens in a row, or a whole item where that is shorter
 WORDS = 0.5  # share of them that are words and not slots, at least, where a slot's value differs
 BLOCK_BYTES = 32 << 20
 TABLE_BITS = 22
+READINGS = 4096  # windows whose readings are made at once, at most 2^WINDOW each
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 # Words that stand for a unit after a number.
 UNITS = set(
@@ -46,8 +49,51 @@ CORE = r"^[^\w$€£%]+|[^\w%]+$"
 NUMERIC = r"[$€£]?[+-]?\d[\d.,:/]*%?"
 
 
+class Tokens:
+    """The template tokens of a text: the hash of each lower-case word, the kind of slot it can be, and
+    whether it is a slot for sure; a token that only can be a slot is read as a word too."""
+
+    def __init__(self, low: np.ndarray, slot: np.ndarray, sure: np.ndarray):
+        self.low, self.slot, self.sure = low, slot, sure
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and place of each window of ``WINDOW`` tokens in all readings, in the order of their places."""
+        count = len(self) - WINDOW + 1
+        slot = self.slot.astype(np.uint64)
+        base = np.where(self.sure, slot, self.low)
+        both = (self.slot != WORD) & ~self.sure
+        keys = np.full(count, WINDOW, np.uint64)
+        factors = np.full(WINDOW, FACTOR, np.uint64)
+        factors[0] = 1
+        with np.errstate(over="ignore"):
+            factors = np.multiply.accumulate(factors)[::-1]
+            for i in range(WINDOW):
+                keys *= FACTOR
+                keys += base[i : i + count]
+            total = np.concatenate(([0], np.cumsum(both)))
+            open_ = np.flatnonzero(total[WINDOW:] > total[:-WINDOW])
+            if not len(open_):
+                return mixed(keys), np.arange(count)
+            more, change = [], slot - base
+            for k in range(0, len(open_), READINGS):
+                at = open_[k : k + READINGS]
+                own = keys[at]
+                for i in range(WINDOW):
+                    two = np.flatnonzero(both[at + i])
+                    own = np.concatenate((own, own[two] + change[at[two] + i] * factors[i]))
+                    at = np.concatenate((at, at[two]))
+                n = min(READINGS, len(open_) - k)
+                more.append((own[n:], at[n:]))
+            keys = mixed(np.concatenate((keys, *(x for x, _ in more))))
+            places = np.concatenate((np.arange(count), *(x for _, x in more)))
+        return keys, places
+
+
 class Templates:
-    """The template token of each word, for the start and the middle of a sentence; kept for known words."""
+    """The template token of each word; kept for known words."""
 
     def __init__(self, limit: int = 400_000):
         self.limit = limit
@@ -56,29 +102,25 @@ class Templates:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.hashes = {True: array("Q"), False: array("Q")}
-        self.kinds = {True: array("B"), False: array("B")}
-        self.ends = array("B")
+        self.lows, self.slots, self.ends = array("Q"), array("B"), array("B")
 
     def add(self, word: str) -> int:
         core = self.core.sub("", word)
         low = core.lower()
         if self.numeric.fullmatch(core):
-            start = inner = NUMBER
+            slot = NUMBER
         elif low in UNITS and len(low) > 1:
-            start = inner = UNIT
+            slot = UNIT
         else:
-            start = WORD
-            inner = NAME if len(core) > 1 and core[0].isupper() and core[1:].islower() else WORD
-        for first, kind in ((True, start), (False, inner)):
-            self.kinds[first].append(kind)
-            self.hashes[first].append(kind or xxhash.xxh3_64_intdigest(low.encode()) | 8)
+            slot = NAME if len(core) > 1 and core[0].isupper() and core[1:].islower() else WORD
+        self.lows.append(xxhash.xxh3_64_intdigest(low.encode()) | 8)
+        self.slots.append(slot)
         self.ends.append(word[-1] in ".!?:;")
         at = self.place[word] = len(self.place)
         return at
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of a text as hashes, and their kinds."""
+    def of(self, words: list[str]) -> Tokens:
+        """The tokens of a text."""
         if len(self.place) > self.limit:
             self.clear()
         place = self.place
@@ -88,7 +130,8 @@ class Templates:
         at = np.array(at, np.int64)
         view = lambda x, kind: np.frombuffer(x, kind)[at]
         first = np.concatenate(([True], view(self.ends, np.uint8)[:-1] != 0)) if len(at) else np.empty(0, bool)
-        return np.where(first, view(self.hashes[True], np.uint64), view(self.hashes[False], np.uint64)), np.where(first, view(self.kinds[True], np.uint8), view(self.kinds[False], np.uint8))
+        slot = view(self.slots, np.uint8)
+        return Tokens(view(self.lows, np.uint64), slot, (slot != WORD) & ~(first & (slot == NAME)))
 
 
 class Benchmark:
@@ -96,21 +139,20 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]]):
         own = Templates()
-        self.ids, self.words, self.hashes, self.kinds = [], [], [], []
+        self.ids, self.words, self.tokens = [], [], []
         keys, item, start = [], [], []
         for item_id, text in items:
             words = text.split()
-            hashes, kinds = own.of(words)
             if len(words) < WINDOW:
                 continue
-            windows = shingle_hashes(hashes, WINDOW)
+            tokens = own.of(words)
+            windows, places = tokens.windows()
             keys.append(windows)
             item.append(np.full(len(windows), len(self.ids)))
-            start.append(np.arange(len(windows)))
+            start.append(places)
             self.ids.append(item_id)
             self.words.append(words)
-            self.hashes.append(hashes)
-            self.kinds.append(kinds)
+            self.tokens.append(tokens)
         keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -124,43 +166,50 @@ class Benchmark:
         words = text.split()
         if len(words) < WINDOW or not len(self.keys):
             return []
-        hashes, kinds = own.of(words)
-        windows = shingle_hashes(hashes, WINDOW)
+        tokens = own.of(words)
+        windows, places = tokens.windows()
         maybe = np.flatnonzero(self.table[(windows >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if not len(maybe):
             return []
+        maybe = maybe[np.argsort(places[maybe], kind="stable")]
         low = np.searchsorted(self.keys, windows[maybe], side="left")
         high = np.searchsorted(self.keys, windows[maybe], side="right")
         found, seen = [], {}
-        for at, a, b in zip(maybe.tolist(), low.tolist(), high.tolist()):
+        for at, a, b in zip(places[maybe].tolist(), low.tolist(), high.tolist()):
             for k in range(a, b):
                 item, start = int(self.item[k]), int(self.start[k])
                 if seen.get((item, at - start), -1) >= at:  # inside a run that has been looked at
                     continue
-                end = at + self.run(item, start, hashes, at)
+                first, end = self.run(item, start, tokens, at)
                 seen[(item, at - start)] = end - WINDOW
-                found += [(self.ids[item], at + i, j - i) for i, j in self.passages(item, start, words, kinds, at, end - at)]
+                found += [(self.ids[item], first + i, j - i) for i, j in self.passages(item, start - at + first, words, tokens, first, end - first)]
         return sorted(set(found))
 
-    def run(self, item: int, start: int, hashes: np.ndarray, at: int) -> int:
-        """How many tokens agree from there on."""
-        own = self.hashes[item]
-        n = min(len(own) - start, len(hashes) - at)
-        apart = np.flatnonzero(own[start : start + n] != hashes[at : at + n])
-        return int(apart[0]) if len(apart) else n
+    def run(self, item: int, start: int, tokens: Tokens, at: int) -> tuple[int, int]:
+        """Begin and end, in the text, of the tokens around there that agree."""
+        own = self.tokens[item]
+        before, after = min(start, at), min(len(own) - start, len(tokens) - at)
+        here, there = slice(start - before, start + after), slice(at - before, at + after)
+        apart = np.flatnonzero((own.low[here] != tokens.low[there]) & ((own.slot[here] != tokens.slot[there]) | (own.slot[here] == WORD)))
+        k = int(np.searchsorted(apart, before))
+        return at - before + (int(apart[k - 1]) + 1 if k else 0), at - before + (int(apart[k]) if k < len(apart) else before + after)
 
-    def passages(self, item: int, start: int, words: list[str], kinds: np.ndarray, at: int, length: int) -> list[tuple[int, int]]:
+    def passages(self, item: int, start: int, words: list[str], tokens: Tokens, at: int, length: int) -> list[tuple[int, int]]:
         """Begin and end of each passage in a run of agreeing tokens."""
         need = min(LEAST, len(self.words[item]))
         if length < need:
             return []
-        own = self.kinds[item][start : start + length]
-        slots = np.flatnonzero(own != WORD).tolist()
-        pairs = [((int(own[i]), self.value(self.words[item][start + i])), (int(own[i]), self.value(words[at + i]))) for i in slots]
-        changed = np.zeros(length, bool)
-        changed[slots] = [a != b for a, b in pairs]
-        word, changed = (np.concatenate(([0], np.cumsum(x))) for x in (own == WORD, changed))
+        own, here, there = self.tokens[item], slice(start, start + length), slice(at, at + length)
+        same = own.low[here] == tokens.low[there]
+        # Equal words are a slot only if one of the two texts leaves no other reading.
+        slot = ~same | ((own.slot[here] == tokens.slot[there]) & (own.sure[here] | tokens.sure[there]))
+        word, changed = (np.concatenate(([0], np.cumsum(x))) for x in (same & ~own.sure[here], ~same))
         good = (word[need:] - word[:-need] >= WORDS * need) | (changed[need:] == changed[:-need])
+        if not good.any() and word[-1] < WORDS * need:
+            return []
+        slots = np.flatnonzero(slot).tolist()
+        kinds = own.slot[here].tolist()
+        pairs = [((kinds[i], self.value(self.words[item][start + i])), (kinds[i], self.value(words[at + i]))) for i in slots]
         found = []
         for i, j in consistent(slots, pairs, length):
             if j - i < need:
