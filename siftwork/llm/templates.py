@@ -9,6 +9,10 @@ the item stands for one value of the document, and the other way round), the run
 longest consistent stretches; each counts that has ``LEAST`` tokens in a row, enough of them words
 or all of them copied word for word.
 
+Items of fewer than ``WINDOW`` words, and those with letters of scripts without blanks, are looked up
+as exact copies of the whole: word by word in a table per number of words, and letter by letter, wherever
+it stands in running text, in a table per length of a prefix.
+
 The table is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text: one block as a rule, and
 a further pass over the documents for each block more.
 """
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from siftwork.llm.shared import free_name
-from siftwork.llm.worker import memo, mixed, slices, texts
+from siftwork.llm.worker import memo, mixed, shingle_hashes, slices, texts
 
 WINDOW = 8
 LEAST = 13  # agreeing tokens in a row, or a whole item where that is shorter
@@ -47,6 +51,9 @@ UNITS = set(
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 CORE = r"^[^\w$€£%]+|[^\w%]+$"
 NUMERIC = r"[$€£]?[+-]?\d[\d.,:/]*%?"
+# Letters of scripts that set no blanks between words: Thai to Myanmar, Khmer, kana, ideographs.
+UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+PREFIXES = (16, 8, 4, 2, 1)
 
 
 class Tokens:
@@ -134,25 +141,59 @@ class Templates:
         return Tokens(view(self.lows, np.uint64), slot, (slot != WORD) & ~(first & (slot == NAME)))
 
 
+class Exact:
+    """Whole sequences by the hash of their first ``width`` hashes or letters."""
+
+    def __init__(self, width: int, rows: list[tuple[np.ndarray, object]]):
+        self.width = width
+        keys = np.concatenate([shingle_hashes(start[:width], width) for start, _ in rows])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[order], [rows[k][1] for k in order.tolist()]
+
+    def hits(self, own: np.ndarray) -> Iterator[tuple[int, object]]:
+        """Places in a text, and what may stand there."""
+        if len(own) < self.width:
+            return
+        windows = shingle_hashes(own, self.width)
+        low, high = (np.searchsorted(self.keys, windows, side=x) for x in ("left", "right"))
+        for at in np.flatnonzero(high > low).tolist():
+            for k in range(int(low[at]), int(high[at])):
+                yield at, self.rows[k]
+
+
 class Benchmark:
-    """The window table of one block of items."""
+    """The tables of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         own = Templates()
         self.ids, self.words, self.tokens = [], [], []
+        self.unspaced, self.dropped = re.compile(f"[{UNSPACED}]"), re.compile(f"[^\\w{UNSPACED}]|_")
+        short, letters = {}, {}
         keys, item, start = [], [], []
         for item_id, text in items:
             words = text.split()
-            if len(words) < WINDOW:
+            if not words:
                 continue
+            if self.unspaced.search(text):
+                run = self.letters(text)
+                width = next(n for n in PREFIXES if n <= len(run))
+                letters.setdefault(width, []).append((self.codes(run[:width]), (item_id, run)))
             tokens = own.of(words)
-            windows, places = tokens.windows()
+            if len(words) < WINDOW:
+                if any(map(self.value, words)):
+                    short.setdefault(len(words), []).append((tokens.low, (item_id, tokens.low)))
+                continue
+            # The first word can stand after any other, so its capital may be read as a name's there.
+            first = tokens.slot[0] in (WORD, NAME)
+            windows, places = Tokens(tokens.low, np.append(NAME if first else tokens.slot[0], tokens.slot[1:]), np.append(not first, tokens.sure[1:])).windows()
             keys.append(windows)
             item.append(np.full(len(windows), len(self.ids)))
             start.append(places)
             self.ids.append(item_id)
             self.words.append(words)
             self.tokens.append(tokens)
+        self.short = [Exact(width, rows) for width, rows in sorted(short.items())]
+        self.runs = [Exact(width, rows) for width, rows in sorted(letters.items())]
         keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -164,9 +205,41 @@ class Benchmark:
     def matches(self, text: str, own: Templates) -> list[tuple[int, int, int]]:
         """``item_id, first word, number of words`` of each passage of an item in a text, in order."""
         words = text.split()
-        if len(words) < WINDOW or not len(self.keys):
+        if not words:
             return []
+        found = self.in_letters(text, words)
+        if not self.short and (len(words) < WINDOW or not len(self.keys)):
+            return sorted(set(found))
         tokens = own.of(words)
+        for exact in self.short:
+            found += [(i, at, exact.width) for at, (i, low) in exact.hits(tokens.low) if np.array_equal(tokens.low[at : at + exact.width], low)]
+        if len(words) >= WINDOW and len(self.keys):
+            found += self.in_windows(words, tokens)
+        return sorted(set(found))
+
+    def letters(self, text: str) -> str:
+        return self.dropped.sub("", text.lower())
+
+    @staticmethod
+    def codes(run: str) -> np.ndarray:
+        return np.frombuffer(run.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+    def in_letters(self, text: str, words: list[str]) -> list[tuple[int, int, int]]:
+        """The passages of whole items whose script sets no blanks."""
+        if not self.runs or not self.unspaced.search(text):
+            return []
+        own = [self.letters(w) for w in words]
+        ends, run = np.cumsum([len(x) for x in own]), "".join(own)
+        codes, found = self.codes(run), []
+        for exact in self.runs:
+            for at, (item_id, wanted) in exact.hits(codes):
+                if run.startswith(wanted, at):
+                    first, last = np.searchsorted(ends, (at, at + len(wanted) - 1), side="right").tolist()
+                    found.append((item_id, first, last - first + 1))
+        return found
+
+    def in_windows(self, words: list[str], tokens: Tokens) -> list[tuple[int, int, int]]:
+        """The passages found by windows."""
         windows, places = tokens.windows()
         maybe = np.flatnonzero(self.table[(windows >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if not len(maybe):
@@ -183,7 +256,7 @@ class Benchmark:
                 first, end = self.run(item, start, tokens, at)
                 seen[(item, at - start)] = end - WINDOW
                 found += [(self.ids[item], first + i, j - i) for i, j in self.passages(item, start - at + first, words, tokens, first, end - first)]
-        return sorted(set(found))
+        return found
 
     def run(self, item: int, start: int, tokens: Tokens, at: int) -> tuple[int, int]:
         """Begin and end, in the text, of the tokens around there that agree."""
@@ -252,8 +325,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches",
     """``docs`` with ``column``: the benchmark passages of each text (item, first word, words).
 
     A null text has none; rows, their order in a partition and all other columns stay as they are; a
-    column of that name that is there already is replaced. Items with null texts or ids or fewer
-    than ``WINDOW`` words are not searched for; repeated items are searched for once.
+    column of that name that is there already is replaced. Items with null texts or ids, or
+    without any letter or digit, are not searched for; repeated items are searched for once.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

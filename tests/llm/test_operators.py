@@ -359,6 +359,24 @@ def test_names_at_the_start_of_a_sentence_may_change():
     assert sorted(at.tolist()) == [0] * 64 + [1] * 128
 
 
+def test_short_items_are_found_as_exact_copies(spark):
+    own = templates.Templates()
+    find = lambda item, text: templates.Benchmark([(4, item)]).matches(text, own)
+    eight, ten = "The boy sold his old bike to Anna.", "the boy sold his old red bike to our Anna"
+    for item in (eight, ten):
+        n = len(item.split())
+        for text in (f"Heading\n{item} And more", f"she said {item}", f"Heading \u201c{item[0].upper()}{item[1:]}\u201d", item):
+            assert [m[2] for m in find(item, text)] == [n]
+    assert find(ten, "Heading Bob" + ten[3:]) == []
+    assert find("What is two plus two?", "So: what is two plus two, then") == [(4, 1, 5)] and find("What is two plus two?", "what is two plus three") == []
+    assert find("Why?", "Why") == [(4, 0, 1)] and find("- ?!", "a - ?! b") == []
+    assert find("\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3002", "ab \u4f55\u6771\u4eac\u306f\u65e5\u672c \u306e\u9996\u90fd\u3067\u3059\u3002 c") == [(4, 1, 2)]
+    assert find("\u0e01\u0e34\u0e19", "\u0e02\u0e49\u0e32\u0e27\u0e01\u0e34\u0e19\u0e02\u0e49\u0e32\u0e27") == [(4, 0, 1)] and find("\u0e01\u0e34\u0e19", "\u0e01\u0e19") == []
+    docs = spark.createDataFrame([(1, "two words"), (2, "two of words")], "doc_id long, text string")
+    rows = templates.contamination(docs, spark.createDataFrame([(7, "Two words!")], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in rows} == {1: [7], 2: []}
+
+
 def test_contamination_of_the_small_table(spark, documents):
     import re
 
