@@ -9,8 +9,8 @@ Segments whose anchor occurs once are done. Equal segments are stored once, with
 each shard indexes its stored segments in the order of their places, searches all their windows
 backward, and reports the windows that occur at an earlier place. Of a segment's later copies every
 window occurs earlier. An anchor with more than ``CROWD`` different segments would make a shard of its own
-that grows with the corpus: its segments are cut into their windows, which are dealt out by their own
-hashes.
+that grows with the corpus, so it is not indexed: the windows of all its segments are combined by their
+digests to their first places before they move, and every other place of a window is a repeat.
 """
 
 from __future__ import annotations
@@ -84,11 +84,11 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-STORED = "shard_key long, anchor long, digest long, doc_id long, start int, windows int, shift int, words binary"
+STORED = "anchor long, digest long, doc_id long, start int, windows int, words binary"
 
 
 def _stored_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the first copies of segments, as hashes; those of crowded anchors window by window."""
+    """The words of the first copies of segments, as hashes."""
     for batch in batches:
         for part in slices(batch, "text"):
             rows = []
@@ -100,15 +100,10 @@ def _stored_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 inside = ends <= len(words)
                 real = digests(words, np.where(inside, starts, 0), np.where(inside, ends, 0)).view(np.int64)
                 for w, a, b, d in zip(wanted, starts.tolist(), ends.tolist(), real.tolist()):
-                    if d != w["digest"]:  # another row has the same id and other words
-                        continue
-                    if not w["crowded"]:
-                        rows.append((w["anchor"], w["anchor"], d, doc_id, a, w["windows"], 0, raw[a:b].tobytes()))
-                    else:
-                        keys = digests(words[a:b], np.arange(w["windows"]), np.arange(w["windows"]) + WINDOW).view(np.int64).tolist()
-                        rows += [(k, w["anchor"], d, doc_id, a + i, 1, i, raw[a + i : a + i + WINDOW].tobytes()) for i, k in enumerate(keys)]
+                    if d == w["digest"]:  # else another row has the same id and other words
+                        rows.append((w["anchor"], d, doc_id, a, w["windows"], raw[a:b].tobytes()))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in STORED.split(", ")])
 
 
@@ -117,7 +112,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard, held = None, []
 
     def report() -> pa.RecordBatch:
-        anchors, digest, windows, shifts, raw = zip(*held)
+        anchors, digest, windows, raw = zip(*held)
         sizes = np.array([len(x) // BYTES for x in raw])
         flat = np.zeros((int(sizes.sum()), 8), np.uint8)
         flat[:, :BYTES] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, BYTES)
@@ -133,10 +128,10 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         earlier = FMIndex(text).repeats(text, places, WINDOW) < places
         owner, offset = owner[earlier], offset[earlier]
         take = lambda x: pa.array(np.array(x)[owner], pa.int64())
-        return pa.RecordBatch.from_arrays([take(anchors), take(digest), pa.array(offset + np.array(shifts)[owner], pa.int32())], names=["anchor", "digest", "window"])
+        return pa.RecordBatch.from_arrays([take(anchors), take(digest), pa.array(offset, pa.int32())], names=["anchor", "digest", "window"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("shard", "anchor", "digest", "windows", "shift", "words")]
+        columns = [batch.column(c).to_pylist() for c in ("shard", "anchor", "digest", "windows", "words")]
         for key, *row in zip(*columns):
             if key != shard:
                 if held:
@@ -149,6 +144,35 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield report()
 
 
+def _crowded_repeats(docs: DataFrame, anchors: list[int], hot: int) -> DataFrame:
+    """``doc_id, start, windows`` of the windows with one of these anchors that occur at an earlier place."""
+    known = docs.sparkSession.sparkContext.broadcast(np.array(sorted(anchors), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                found = []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part)):
+                    words = word_hashes(text.encode().split())
+                    if len(words) < WINDOW:
+                        continue
+                    anchor, first, count = segments(words)
+                    inside = np.flatnonzero(np.repeat(np.isin(anchor.view(np.int64), known.value), count))
+                    if len(inside):
+                        found.append((digests(words, inside, inside + WINDOW), np.full(len(inside), doc_id), inside))
+                if found:
+                    key, doc, start = (np.concatenate(c) for c in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(start, pa.int32())], names=["key", "doc_id", "start"])
+
+    windows = stored(docs.mapInArrow(run, "key long, doc_id long, start int"), "windows")
+    firsts = stored(windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "window_firsts")
+    # At most one of ``hot`` windows is hot, so these first places may go to all tasks; the others are small groups.
+    often = F.broadcast(firsts.where(F.col("n") > hot).select("key", "first"))
+    rare = firsts.where(F.col("n") <= hot).select("key", "first")
+    met = windows.join(often, "key").unionByName(windows.join(often.select("key"), "key", "left_anti").join(rare, "key"))
+    return met.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", F.lit(1).alias("windows"))
+
+
 def repeated_windows(docs: DataFrame, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
     """``doc_id, start, windows``: runs of windows whose words stand earlier, by the id of the document they are in."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
@@ -156,22 +180,25 @@ def repeated_windows(docs: DataFrame, crowd: int = CROWD, shard: int = SHARD) ->
     dealt = F.when(F.col("state") == 2, F.xxhash64("doc_id", "start")).otherwise(F.col("anchor"))
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy(dealt)))
     places = stored(counted.where("n > 1 or state > 0").select("anchor", "digest", "doc_id", "start", "windows"), "places")
-    firsts = places.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("windows").alias("windows"))
-    crowds = firsts.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
-    known = stored(firsts.join(crowds, "anchor"), "firsts")
-    symbols = F.when(F.col("crowded"), F.col("windows") * (WINDOW + 1)).otherwise(F.col("windows") + WINDOW)
-    total = known.agg(F.coalesce(F.sum(symbols), F.lit(0))).first()[0]
+    known = stored(places.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("windows").alias("windows")), "firsts")
+    # At most one anchor for each ``crowd`` segments.
+    crowded = [r["anchor"] for r in known.groupBy("anchor").count().where(F.col("count") > crowd).collect()]
+    if crowded:
+        apart = F.broadcast(docs.sparkSession.createDataFrame([(a,) for a in crowded], "anchor long"))
+        known, places = (x.join(apart, "anchor", "left_anti") for x in (known, places))
+    total = known.agg(F.coalesce(F.sum(F.col("windows") + WINDOW), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard))
-    wanted = known.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "digest", F.col("first.start").alias("start"), "windows", "crowded")).alias("firsts"))
+    wanted = known.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "digest", F.col("first.start").alias("start"), "windows")).alias("firsts"))
     texts_of = docs.join(wanted, "doc_id").select("doc_id", "text", "firsts")
-    indexed = texts_of.mapInArrow(_stored_words, STORED).withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards))).select("shard", "anchor", "digest", "windows", "shift", "words", "doc_id", "start")
+    indexed = texts_of.mapInArrow(_stored_words, STORED).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "anchor", "digest", "windows", "words", "doc_id", "start")
     reports = indexed.repartition("shard").sortWithinPartitions("shard", "doc_id", "start").drop("doc_id", "start").mapInArrow(_searched, "anchor long, digest long, window int")
     earlier = reports.groupBy("anchor", "digest").agg(F.collect_list("window").alias("earlier"))
     copies = places.join(known.select("anchor", "digest", "first").join(earlier, ["anchor", "digest"], "left"), ["anchor", "digest"])
     own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
     single = F.transform(F.coalesce("earlier", F.array().cast("array<int>")), lambda w: F.struct((F.col("start") + w).alias("start"), F.lit(1).alias("windows")))
     runs = F.when(own, single).otherwise(F.array(F.struct("start", "windows")))
-    return copies.select("doc_id", F.explode(runs).alias("run")).select("doc_id", "run.start", "run.windows")
+    found = copies.select("doc_id", F.explode(runs).alias("run")).select("doc_id", "run.start", "run.windows")
+    return found.unionByName(_crowded_repeats(docs, crowded, crowd)) if crowded else found
 
 
 def kept_words(words: list[bytes], runs: list[dict] | None) -> list[bytes]:

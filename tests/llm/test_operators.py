@@ -286,6 +286,23 @@ def test_crowded_anchors_are_cut_into_windows(spark):
     assert found == expected
 
 
+def test_copies_of_crowded_windows_do_not_meet_in_a_shard(spark, monkeypatch):
+    line = cases.sentence(11, 24)
+    rows = [(k, f"{cases.sentence(200 + k, 30)} {line} {cases.sentence(400 + k, 30)}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    searched = substrings._searched
+
+    def limited(batches):
+        for batch in batches:
+            assert max(Counter(batch.column("shard").to_pylist()).values()) <= 20
+            yield from searched(iter([batch]))
+
+    monkeypatch.setattr(substrings, "_searched", limited)
+    found = {(r["doc_id"], r["start"] + k) for r in substrings.repeated_windows(docs, crowd=10, shard=500).collect() for k in range(r["windows"])}
+    seen = {}
+    assert found == {(i, k) for i, t in rows for k in range(65) if seen.setdefault(tuple(t.split()[k : k + 20]), (i, k)) != (i, k)}
+
+
 def test_shortened_leaves_other_texts_alone(spark):
     docs = cases.odd_docs(spark)
     out = substrings.shortened(docs)
