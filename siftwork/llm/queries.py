@@ -159,3 +159,36 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from siftwork.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, folder, "documents"), BPE)
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.lexical import search
+
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=20)
+
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS_SQL = rf"regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op11_ranked_search"] = f"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row_no, doc_id, {_TERMS_SQL} AS terms FROM documents
+), lengths AS (
+    SELECT row_no, doc_id, len(terms) AS n FROM texts WHERE len(terms) > 0
+), corpus AS (
+    SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS total FROM lengths
+), occurrences AS (
+    SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(terms) AS term FROM texts) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM occurrences, corpus GROUP BY term, documents
+), asked AS (
+    SELECT item_no, item_id, term, count(*) AS times
+    FROM (SELECT item_no, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS item_no, item_id, {_TERMS_SQL} AS terms FROM benchmark)) GROUP BY ALL
+), scored AS (
+    SELECT item_no, item_id, row_no, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // total)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN occurrences USING (term) JOIN lengths USING (row_no), corpus GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
