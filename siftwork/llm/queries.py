@@ -204,3 +204,49 @@ def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.try_element_at("ends", F.lit(-1)) - F.get("starts", F.lit(0)), F.lit(0)).cast("long").alias("source_bytes"),
     )
+
+
+@query
+def op12_conversation_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    from siftwork.llm.prefix_trie import conversation_prefixes
+
+    return conversation_prefixes(table(spark, folder, "conversations"))
+
+
+_CRC_STEP = "CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END"
+_CRC_SQL = f"xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda crc, x: {_CRC_STEP}), 4294967295)"
+
+ORACLES["op12_conversation_prefixes"] = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS symbol
+    FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+    SELECT conv_id, symbol, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, symbol) AS place FROM turns
+), convs AS (
+    SELECT conv_id, {_CRC_SQL} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), pieces AS (
+    SELECT c.conv_id, 0 AS own, p.place, p.symbol, p.words FROM convs c JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 20 AND p.place <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, p.place, p.symbol, p.words FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place > c.h
+), steps AS (
+    SELECT conv_id, words, row_number() OVER w AS depth, string_agg(symbol, '') OVER (w ROWS UNBOUNDED PRECEDING) AS key FROM pieces WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)
+), prefixes AS (
+    SELECT conv_id, 0 AS depth, '' AS key, NULL AS parent_key, 0 AS words FROM convs
+    UNION ALL
+    SELECT conv_id, depth, key, substr(key, 1, len(key) - 32), words FROM steps
+), nodes AS (
+    SELECT key, any_value(parent_key) AS parent_key, any_value(depth) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs FROM prefixes GROUP BY key
+), children AS (
+    SELECT parent_key AS key, count(*) AS n_children FROM nodes WHERE parent_key IS NOT NULL GROUP BY parent_key
+), under AS (
+    SELECT a.key, sum(CASE WHEN c.key IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+    FROM (SELECT DISTINCT a.key, b.key AS inner_key FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND a.depth <= b.depth) a
+    JOIN nodes n ON n.key = a.inner_key LEFT JOIN children c ON c.key = a.inner_key GROUP BY a.key
+), ends AS (
+    SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+    FROM (SELECT conv_id, max_by(key, depth) AS key FROM prefixes GROUP BY conv_id) GROUP BY key
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+    CAST(u.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.key = n.parent_key LEFT JOIN children c ON c.key = n.key JOIN under u ON u.key = n.key LEFT JOIN ends e ON e.key = n.key
+"""
