@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork import vocab
 from siftwork.catalog.core import Inputs, any_in, query, quoted, round4_sql, sql_list
 from siftwork.functions import vectors as V
+from siftwork.operators import ivf as I
 from siftwork.operators import rerank as R
 from siftwork.operators import retrieval as N
 from siftwork.plans.matching import match_requests, semantic_match
+from siftwork.session import shared_dir
 
 # ---- retrieval -----------------------------------------------------------------------------
 
@@ -197,9 +201,34 @@ def _(t: Inputs) -> DataFrame:
     return found.select("profile", "model_name", *[F.col(c).cast("bigint").alias(c) for c in ("least", "most")])
 
 
+def _index(t: Inputs) -> I.Index:
+    return I.build_index(t.chunks, f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}")
+
+
 @query("ann_candidates")
 def _(t: Inputs) -> DataFrame:
-    return N.ann_candidates(t.chunks, t.requests, radius=1.1)
+    """Candidates of every request from the probed lists, up to a distance of 0.6."""
+    found = I.search_index(_index(t), t.requests, 50)
+    return found.where(F.col("distance") <= 0.605).select("query_id", "uid", "distance")
+
+
+@query("ann_nearest")
+def _(t: Inputs) -> DataFrame:
+    """Requests whose number is divisible by 50 against all chunks; recall is measured in ``tests/test_search.py``."""
+    asked = t.requests.where(F.col("query_id").cast("bigint") % 50 == 0)
+    found = I.search_index(_index(t), asked, 10)
+    return found.select("query_id", "uid", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 9).alias("distance"))
+
+
+@query(
+    "ann_nearest_all_lists",
+    f"WITH {_hits_sql('v_chunks', 'v_requests', 7)} SELECT query_id, uid, rank, round(distance, 9) + 0e0 AS distance FROM k WHERE rank <= 7",
+)
+def _(t: Inputs) -> DataFrame:
+    """With every list probed the index gives the exact answer."""
+    index = _index(t)
+    found = I.search_index(index, t.requests, 7, index.cells)
+    return found.select("query_id", "uid", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 9).alias("distance"))
 
 
 # ---- reranking -----------------------------------------------------------------------------

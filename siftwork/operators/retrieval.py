@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +20,19 @@ BROADCAST_QUERIES = 4096
 BROADCAST_HITS = 200_000
 # Queries whose distances to one batch of chunks are held at a time.
 DISTANCE_BLOCK = 256
-# Rows of one slice when both sides are shuffled, chunks and queries.
+# Chunks of one slice, which a task holds while the queries of its profile stream past; fewer where a profile
+# has so many queries that a slice of this size would be more distances than SLICE_DISTANCES.
 SLICE_ROWS = 20_000
-QUERY_BLOCK = 2_000
+LEAST_SLICE_ROWS = 1_000
+SLICE_DISTANCES = 1_000_000_000
+# One chunk in this many is looked at first: the k-th distance among them bounds the k-th of all.
+BOUND_EVERY = 64
+# What rounding may differ by between two passes over the same vectors.
+BOUND_SLACK = 2 * 10.0**-V.DISTANCE_DECIMALS
+# Parts of a query's hits that are cut to k rows before they meet.
+MERGE_PARTS = 16
+# Parts of a profile when its rows meet their number of slices.
+SALTS = 32
 
 HITS = "query_id string, uid string, distance double"
 
@@ -41,10 +50,14 @@ def _distances(chunks: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarr
 
 
 class _TopK:
-    """Best k (distance, uid) per query over the blocks one task sees; ties go to the smaller uid."""
+    """Best k (distance, uid) per query over the blocks one task sees; ties go to the smaller uid.
 
-    def __init__(self, query_ids: list[str], queries: np.ndarray, k: int, metric: str) -> None:
+    ``bounds`` are distances beyond which a query needs no chunk.
+    """
+
+    def __init__(self, query_ids: list[str], queries: np.ndarray, k: int, metric: str, bounds: np.ndarray | None = None) -> None:
         self.query_ids, self.queries, self.k, self.metric = query_ids, queries, k, metric
+        self.bounds = np.full(len(query_ids), np.inf) if bounds is None else bounds
         self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
 
     def add(self, uids: np.ndarray, vectors: np.ndarray) -> None:
@@ -52,8 +65,9 @@ class _TopK:
             return
         for start in range(0, len(self.query_ids), DISTANCE_BLOCK):
             distances = _distances(vectors, self.queries[start : start + DISTANCE_BLOCK], self.metric)
-            for j in range(distances.shape[1]):
-                self._merge(start + j, distances[:, j], uids)
+            near = distances <= self.bounds[start : start + DISTANCE_BLOCK]
+            for j in np.flatnonzero(near.any(axis=0)).tolist():
+                self._merge(start + j, distances[near[:, j], j], uids[near[:, j]])
 
     def _merge(self, j: int, d: np.ndarray, uids: np.ndarray) -> None:
         held = self.best[j]
@@ -96,23 +110,24 @@ def _as_batch(rows: list[tuple[str, str, float]]) -> pa.RecordBatch:
     )
 
 
-def _broadcast_hits(chunks: DataFrame, queries: list[Any], k: int, metric: str) -> DataFrame:
-    """Scan the chunks once where they lie; only k rows per query leave a task."""
+def _broadcast_hits(chunks: DataFrame, queries: list[Any], k: int, metric: str, bounds: dict[str, float] | None = None) -> DataFrame:
+    """Scan the chunks once where they lie; at most k rows per query leave a task, and none beyond the query's bound."""
     by_profile: dict[str, tuple[list[str], list[np.ndarray]]] = {}
     for row in queries:
         ids, vectors = by_profile.setdefault(row["profile"], ([], []))
         ids.append(row["query_id"])
         vectors.append(np.asarray(row["query_vec"], dtype="float64"))
     # One block per profile and vector length.
-    blocks: dict[str, list[tuple[list[str], np.ndarray]]] = {}
+    blocks: dict[str, list[tuple[list[str], np.ndarray, np.ndarray]]] = {}
     for profile, (ids, vectors) in by_profile.items():
         for size in sorted({len(v) for v in vectors}):
             same = [i for i, v in enumerate(vectors) if len(v) == size]
-            blocks.setdefault(profile, []).append(([ids[i] for i in same], np.stack([vectors[i] for i in same])))
+            limits = np.array([(bounds or {}).get(ids[i], np.inf) for i in same])
+            blocks.setdefault(profile, []).append(([ids[i] for i in same], np.stack([vectors[i] for i in same]), limits))
     shared = chunks.sparkSession.sparkContext.broadcast(blocks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = {p: [_TopK(ids, m, k, metric) for ids, m in blocks] for p, blocks in shared.value.items()}
+        tops = {p: [_TopK(ids, m, k, metric, limits) for ids, m, limits in blocks] for p, blocks in shared.value.items()}
         for batch in batches:
             profiles = np.asarray(batch.column("profile").to_pylist(), dtype=object)
             uids = np.asarray(batch.column("uid").to_pylist(), dtype=object)
@@ -133,72 +148,141 @@ def _broadcast_hits(chunks: DataFrame, queries: list[Any], k: int, metric: str)
     return wanted.select("profile", "uid", "embedding").mapInArrow(scan, HITS)
 
 
-def _shuffled_hits(chunks: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """Both sides cut into slices, so that no task holds a whole profile however large it is.
+def best_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query's hits with their ``rank``, cut in parts of a query first."""
+    near = [F.col("distance"), F.col("uid")]
+    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("uid"), F.lit(MERGE_PARTS))).orderBy(*near)
+    few = hits.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*near))).where(F.col("rank") <= k)
 
-    Slices are sized from counts per profile; every (chunk slice, query block) pair meets
-    in one task, which keeps k rows per query and drops the rest.
-    """
-    slices = chunks.groupBy("profile").agg(F.ceil(F.count("*") / F.lit(SLICE_ROWS)).alias("n_slices"))
-    blocks = queries.groupBy("profile").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).alias("n_blocks"))
-    sizes = slices.join(blocks, "profile")
-
-    left = chunks.select("profile", "uid", "embedding").join(sizes, "profile").select(
-        "profile", "uid", "embedding",
-        F.pmod(F.xxhash64("uid"), F.col("n_slices")).alias("slice"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("block"),
-    )
-    right = queries.select("profile", "query_id", "query_vec").join(sizes, "profile").select(
-        "profile", "query_id", "query_vec",
-        F.pmod(F.xxhash64("query_id"), F.col("n_blocks")).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_slices") - 1)).alias("slice"),
-    )
 
-    def meet(chunk_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[str, str, float]] = []
-        if len(chunk_rows) and len(query_rows):
-            lengths = query_rows["query_vec"].map(len)
-            for size, same in query_rows.groupby(lengths):
-                usable = chunk_rows[chunk_rows["embedding"].map(len) == size]
-                if len(usable):
-                    top = _TopK(same["query_id"].tolist(), np.stack(same["query_vec"]).astype("float64"), k, metric)
-                    top.add(usable["uid"].to_numpy(dtype=object), np.stack(usable["embedding"]).astype("float64"))
-                    found.extend(top.rows())
-        return pd.DataFrame(found, columns=["query_id", "uid", "distance"])
+def _every(chunks: DataFrame, n: int) -> DataFrame:
+    """One chunk in ``n``, whichever way the rows lie, brought together into few tasks."""
+    return chunks.select("profile", "uid", "embedding").where(F.pmod(F.xxhash64("uid", F.lit("bound")), F.lit(n)) == 0).repartition("uid")
+
+
+def kth_distances(hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, bound): no chunk beyond it can be among the k nearest. Queries with fewer hits have no bound."""
+    return best_hits(hits, k).where(F.col("rank") == k).select("query_id", (F.col("distance") + BOUND_SLACK).alias("bound"))
+
 
-    keys = ["profile", "slice", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, HITS)
+def streamed_hits(chunks: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """Hits of queries among the chunks of the same ``grp``: (query_id, uid, distance), at most k a query and group.
+
+    ``chunks`` has (grp, uid, embedding), ``queries`` (grp, query_id, query_vec, bound). Both go to the task of their
+    group, chunks first: a task holds the chunks of one group, whose number the caller bounds, and the queries
+    stream past them, however many. Every chunk is shuffled once.
+    """
+    left, right = chunks.schema["embedding"].dataType, queries.schema["query_vec"].dataType
+    kind = "array<float>" if left == right and left.simpleString() == "array<float>" else "array<double>"
+    none = F.lit(None).cast("double")
+    sides = chunks.select("grp", F.lit(0).alias("side"), F.col("uid").alias("id"), F.col("embedding").cast(kind).alias("vec"), none.alias("bound"))
+    sides = sides.unionByName(queries.select("grp", F.lit(1).alias("side"), F.col("query_id").alias("id"), F.col("query_vec").cast(kind).alias("vec"), F.col("bound")))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, slices = None, [], {}
+        for batch in batches:
+            runs = pa.compute.run_end_encode(batch.column("grp"))
+            start = 0
+            for stop, name in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+                if name != group:
+                    group, held, slices = name, [], {}
+                rows = batch.slice(start, stop - start)
+                start = stop
+                middle = int(np.searchsorted(rows.column("side").to_numpy(), 1))
+                if middle:
+                    held.append(rows.slice(0, middle))
+                if not held or middle == rows.num_rows:
+                    continue
+                asked = rows.slice(middle)
+                ids, limits = asked.column("id").to_pylist(), asked.column("bound").fill_null(np.inf).to_numpy()
+                sizes = np.asarray(pa.compute.list_value_length(asked.column("vec")))
+                for size in set(sizes.tolist()):
+                    if size not in slices:
+                        found = [(np.asarray(h.column("id").to_pylist(), dtype=object), *_matrix(h.column("vec"), size)) for h in held]
+                        slices[size] = np.concatenate([u[use] for u, use, _ in found]), np.concatenate([m for _, _, m in found])
+                    usable, vectors = _matrix(asked.column("vec"), size)
+                    at = np.flatnonzero(usable)
+                    for first in range(0, len(at), DISTANCE_BLOCK):
+                        block = at[first : first + DISTANCE_BLOCK]
+                        top = _TopK([ids[i] for i in block], vectors[first : first + DISTANCE_BLOCK], k, metric, limits[block])
+                        top.add(*slices[size])
+                        rows_of_block = list(top.rows())
+                        if rows_of_block:
+                            yield _as_batch(rows_of_block)
+
+    return sides.repartition("grp").sortWithinPartitions("grp", "side").mapInArrow(scan, HITS)
+
+
+def _sliced(rows: DataFrame, sizes: DataFrame, key: Column) -> DataFrame:
+    """Rows with the ``n_slices`` of their profile. A profile with a third of all rows meets it in ``SALTS`` parts."""
+    salted = sizes.select("profile", "n_slices", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.hash(key), F.lit(SALTS))).join(salted, ["profile", "salt"]).drop("salt")
+
+
+def _shuffled_hits(chunks: DataFrame, queries: DataFrame, k: int, metric: str, bounds: DataFrame | None = None) -> DataFrame:
+    """Profiles cut into slices, so that no task holds a whole profile however large it is.
+
+    Slices are sized from counts per profile; a query goes to every slice of its profile, a chunk to its own.
+    """
+    asked = queries.groupBy("profile").agg(F.count("*").alias("q"))
+    rows = F.greatest(F.lit(LEAST_SLICE_ROWS), F.least(F.lit(SLICE_ROWS), F.floor(F.lit(SLICE_DISTANCES) / F.col("q"))))
+    sizes = chunks.groupBy("profile").agg(F.count("*").alias("n")).join(asked, "profile").select("profile", F.ceil(F.col("n") / rows).alias("n_slices"))
+    left = _sliced(chunks.select("profile", "uid", "embedding"), sizes, F.col("uid"))
+    right = _sliced(queries.select("profile", "query_id", "query_vec"), sizes, F.col("query_id"))
+    right = right.withColumn("bound", F.lit(None).cast("double")) if bounds is None else right.join(bounds, "query_id", "left")
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_slices") - 1))
+    return streamed_hits(
+        left.select(F.concat_ws("/", F.pmod(F.xxhash64("uid"), F.col("n_slices")), "profile").alias("grp"), "uid", "embedding"),
+        right.withColumn("slice", number).select(F.concat_ws("/", "slice", "profile").alias("grp"), "query_id", "query_vec", "bound"),
+        k, metric,
+    )
 
 
 def nearest(
-    chunks: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", broadcast_queries: int = BROADCAST_QUERIES
+    chunks: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", broadcast_queries: int = BROADCAST_QUERIES,
+    bound_every: int | None = BOUND_EVERY,
 ) -> DataFrame:
     """Exact k nearest chunks per query within its profile: (query_id, uid, distance, rank).
 
     ``chunks`` has (profile, uid, embedding), ``queries`` (profile, query_id, query_vec).
     No pair of chunk and query is ever a row. At most ``broadcast_queries`` + 1 query rows
     are read on the driver to decide how to run; more queries than that go by shuffle.
+
+    One chunk in ``bound_every`` is searched first: a query's k-th distance there bounds its k-th distance among all
+    chunks, so the search itself passes on some ``k * bound_every`` rows a query however many tasks it has, instead of k
+    a task. A query with fewer than k chunks in that part goes without; its profile has not many more than that. None
+    leaves the first pass out.
     """
-    return _nearest(chunks, queries, k, metric, broadcast_queries)[0]
+    return _nearest(chunks, queries, k, metric, broadcast_queries, bound_every)[0]
 
 
 def _nearest(
-    chunks: DataFrame, queries: DataFrame, k: int, metric: str, broadcast_queries: int
+    chunks: DataFrame, queries: DataFrame, k: int, metric: str, broadcast_queries: int, bound_every: int | None = BOUND_EVERY
 ) -> tuple[DataFrame, int | None]:
     """The hits and, when the queries were counted, a bound on their number."""
     if metric not in V.METRICS:
         raise ValueError(f"metric must be one of {V.METRICS}")
+    hits, bound = _all_hits(chunks, queries, k, metric, broadcast_queries, bound_every)
+    return best_hits(hits, k), bound
+
+
+def _all_hits(
+    chunks: DataFrame, queries: DataFrame, k: int, metric: str, broadcast_queries: int, bound_every: int | None
+) -> tuple[DataFrame, int | None]:
+    """What leaves the tasks of a search, before a query's hits meet."""
     asked = queries.select("profile", F.col("query_id").cast("string").alias("query_id"), "query_vec")
     asked = asked.where(F.size("query_vec") > 0)
     chunks = chunks.where(F.size("embedding") > 0)
     head = asked.limit(broadcast_queries + 1).collect()
-    bound = len(head) * k if len(head) <= broadcast_queries else None
-    if bound is not None:
-        hits = _broadcast_hits(chunks, head, k, metric)
-    else:
-        hits = _shuffled_hits(chunks, asked, k, metric)
-    order = Window.partitionBy("query_id").orderBy("distance", "uid")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), bound
+    if len(head) > broadcast_queries:
+        bounds = kth_distances(_shuffled_hits(_every(chunks, bound_every), asked, k, metric), k) if bound_every else None
+        return _shuffled_hits(chunks, asked, k, metric, bounds), None
+    bounds = None
+    if bound_every:
+        # At most one row a query.
+        bounds = {r["query_id"]: r["bound"] for r in kth_distances(_broadcast_hits(_every(chunks, bound_every), head, k, metric), k).collect()}
+    return _broadcast_hits(chunks, head, k, metric, bounds), len(head) * k
 
 
 def metadata_filter(chunks: DataFrame, filters: dict[str, Any] | None) -> DataFrame:
@@ -294,30 +378,3 @@ def similar_jobs(
     """The best postings per query."""
     hits = similar_chunks(chunks, queries, k_chunks, filters, metric)
     return top_jobs_per_query(roll_up(hits), k_jobs).drop("hits")
-
-
-def ann_candidates(
-    chunks: DataFrame, queries: DataFrame, radius: float = 1.0, bucket_length: float = 0.5, tables: int = 4,
-    seed: int = 42,
-) -> DataFrame:
-    """Approximate neighbours by random projections, for unit vectors within ``radius``.
-
-    An option beside the exact search: it may miss neighbours, and is never used by default.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    left = chunks.select("profile", "uid", array_to_vector("embedding").alias("features"))
-    right = queries.select(
-        F.col("profile").alias("q_profile"), F.col("query_id").cast("string").alias("query_id"),
-        array_to_vector("query_vec").alias("features"),
-    )
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    near = lsh.fit(left).approxSimilarityJoin(left, right, radius, distCol="euclidean")
-    same = near.where(F.col("datasetA.profile") == F.col("datasetB.q_profile"))
-    return same.select(
-        F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.uid").alias("uid"),
-        (F.col("euclidean") * F.col("euclidean") / 2.0).alias("distance"),
-    )
