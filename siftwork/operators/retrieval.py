@@ -24,6 +24,8 @@ DISTANCE_BLOCK = 256
 # has so many queries that a slice of this size would be more distances than SLICE_DISTANCES.
 SLICE_ROWS = 20_000
 LEAST_SLICE_ROWS = 1_000
+# Queries that are compared with a slice at a time.
+QUERY_BLOCK = 256
 SLICE_DISTANCES = 1_000_000_000
 # One chunk in this many is looked at first: the k-th distance among them bounds the k-th of all.
 BOUND_EVERY = 64
@@ -203,9 +205,9 @@ def streamed_hits(chunks: DataFrame, queries: DataFrame, k: int, metric: str) ->
                         slices[size] = np.concatenate([u[use] for u, use, _ in found]), np.concatenate([m for _, _, m in found])
                     usable, vectors = _matrix(asked.column("vec"), size)
                     at = np.flatnonzero(usable)
-                    for first in range(0, len(at), DISTANCE_BLOCK):
-                        block = at[first : first + DISTANCE_BLOCK]
-                        top = _TopK([ids[i] for i in block], vectors[first : first + DISTANCE_BLOCK], k, metric, limits[block])
+                    for first in range(0, len(at), QUERY_BLOCK):
+                        block = at[first : first + QUERY_BLOCK]
+                        top = _TopK([ids[i] for i in block], vectors[first : first + QUERY_BLOCK], k, metric, limits[block])
                         top.add(*slices[size])
                         rows_of_block = list(top.rows())
                         if rows_of_block:
@@ -226,7 +228,7 @@ def _shuffled_hits(chunks: DataFrame, queries: DataFrame, k: int, metric: str, b
     Slices are sized from counts per profile; a query goes to every slice of its profile, a chunk to its own.
     """
     asked = queries.groupBy("profile").agg(F.count("*").alias("q"))
-    rows = F.greatest(F.lit(LEAST_SLICE_ROWS), F.least(F.lit(SLICE_ROWS), F.floor(F.lit(SLICE_DISTANCES) / F.col("q"))))
+    rows = F.least(F.lit(SLICE_ROWS), F.greatest(F.lit(LEAST_SLICE_ROWS), F.floor(F.lit(SLICE_DISTANCES) / F.col("q"))))
     sizes = chunks.groupBy("profile").agg(F.count("*").alias("n")).join(asked, "profile").select("profile", F.ceil(F.col("n") / rows).alias("n_slices"))
     left = _sliced(chunks.select("profile", "uid", "embedding"), sizes, F.col("uid"))
     right = _sliced(queries.select("profile", "query_id", "query_vec"), sizes, F.col("query_id"))
