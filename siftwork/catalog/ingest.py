@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.catalog.core import AS_OF, AS_OF_SECONDS, Inputs, any_in, query, quoted, trimmed
+from siftwork.catalog.core import AS_OF, AS_OF_SECONDS, ORACLES, Inputs, any_in, query, quoted, trimmed
 from siftwork.catalog.filters import REASON_SQL
 from siftwork.functions.strings import string_array
 from siftwork.plans.ingest import admit_early, admitted, judge, scrape_stats
@@ -255,6 +255,22 @@ def _(t: Inputs) -> DataFrame:
     return L.normalize_thread(thread_raw(t), t.as_of).select("profile", "id", "title", "url", "description")
 
 
+_ALL_SQL = " UNION ALL ".join(
+    f"SELECT profile, '{name}' AS source, id, title, company, location, url, description FROM ({sql}) x"
+    for name, sql in [
+        *[(name, ORACLES[f"normalize_{name}"]) for name in ("greenhouse", "lever", "ashby", "workable", "himalayas")],
+        ("hackernews", f"SELECT *, 'Unknown' AS company, 'Unknown' AS location FROM ({ORACLES['normalize_thread']}) y"),
+    ]
+)
+
+
+@query("normalize_all_sources", _ALL_SQL)
+def _(t: Inputs) -> DataFrame:
+    """All sources of one landing, the boards in one pass."""
+    rows = L.normalize_all(all_raw(t), t.as_of)
+    return rows.select("profile", "source", "id", "title", "company", "location", "url", "description")
+
+
 # ---- single fields of the payloads ---------------------------------------------------------
 
 

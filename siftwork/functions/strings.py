@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import wraps
+from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def remembered(build: Callable[..., Any]) -> Callable[..., Any]:
+    """Columns over fixed names, built once per session of the driver and for each set of plain arguments.
+
+    Every part of a Column costs a round trip to the JVM. A stream plans anew for every micro-batch and a service for
+    every request, so expressions that are the same each time are kept.
+    """
+    kept: dict[tuple, Any] = {}
+
+    @wraps(build)
+    def once(*args: Any, **more: Any) -> Any:
+        key = (id(SparkContext._gateway), args, tuple(sorted(more.items())))
+        if key not in kept:
+            kept[key] = build(*args, **more)
+        return kept[key]
+
+    return once
+
+
 def strip(c: Column) -> Column:
     """Both ends without white space of any kind (``trim`` removes blanks only)."""
     return F.btrim(c, F.lit(WHITESPACE))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork import vocab
 from siftwork.functions import predicates as P
-from siftwork.functions.strings import any_word_pattern, empty_strings, word_patterns
+from siftwork.functions.strings import any_word_pattern, empty_strings, remembered, word_patterns
 
 RULE_COLUMNS = [
     "profile", "title_words", "hard_no_pattern", "block_any", "block_terms", "block_patterns", "rule_min_yoe",
@@ -24,8 +24,12 @@ def rules(profiles: DataFrame) -> DataFrame:
 
     No resume or bio travels along, so the rows stay small whatever the profiles hold.
     """
-    return profiles.select(
-        "profile",
+    return profiles.select("profile", *_rule_columns())
+
+
+@remembered
+def _rule_columns() -> list[Column]:
+    return [
         P.title_words(_list("titles")).alias("title_words"),
         any_word_pattern(_list("hard_no_keywords")).alias("hard_no_pattern"),
         any_word_pattern(_list("title_blocklist")).alias("block_any"),
@@ -36,7 +40,7 @@ def rules(profiles: DataFrame) -> DataFrame:
         F.concat(_list("titles"), _list("desired_skills")).alias("intent_keywords"),
         F.coalesce("require_degree_filter", F.lit(False)).alias("degree_filter"),
         F.coalesce("max_job_age_days", F.lit(vocab.DEFAULT_MAX_JOB_AGE_DAYS)).alias("max_age_days"),
-    )
+    ]
 
 
 def with_rules(postings: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -48,6 +52,7 @@ def with_rules(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     return postings.join(rules(profiles), "profile", "inner")
 
 
+@remembered
 def reason_column(text: str = "full_text", location: str = "filter_location") -> Column:
     return P.filter_reason(
         F.col("source"), F.col("title"), F.col(text), F.col(location),

@@ -1,7 +1,9 @@
 """Landed job-board payloads to one posting schema.
 
-Raw rows are (profile, source, company, fetched_at, payload); each normalizer parses one
-source's JSON with an explicit schema. A normalized row has
+Raw rows are (profile, source, company, fetched_at, payload). ``normalize_all`` reads them in one pass: a payload
+is parsed once into a VARIANT, its postings are picked by source and exploded once, and each posting is taken
+out of the variant with its source's schema. The normalizers of single sources parse with those schemas directly.
+A normalized row has
 
     profile, source, id, title, company, location, filter_location, url, description,
     full_text, raw_text, posted_at, fetched_at
@@ -11,6 +13,7 @@ where ``full_text`` and ``filter_location`` are what the qualification rules rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from siftwork import vocab
 from siftwork.functions.html import strip_html
 from siftwork.functions.predicates import effective_location
-from siftwork.functions.strings import filled, strip, text_of
+from siftwork.functions.strings import filled, remembered, strip, text_of
 from siftwork.functions.text import extract_job_context, make_id, parse_posted_at, raw_text_header
 
 NORMALIZED = [
@@ -27,14 +30,16 @@ NORMALIZED = [
     "raw_text", "posted_at", "fetched_at",
 ]
 
-GREENHOUSE = (
-    "struct<jobs:array<struct<id:string,title:string,updated_at:string,location:struct<name:string>,"
-    "absolute_url:string,content:string,description:string>>>"
+_GREENHOUSE_POSTING = (
+    "struct<id:string,title:string,updated_at:string,location:struct<name:string>,"
+    "absolute_url:string,content:string,description:string>"
 )
-LEVER = (
-    "array<struct<id:string,text:string,createdAt:string,categories:struct<location:string>,workplaceType:string,"
-    "hostedUrl:string,description:string,lists:array<struct<content:string>>>>"
+GREENHOUSE = f"struct<jobs:array<{_GREENHOUSE_POSTING}>>"
+_LEVER_POSTING = (
+    "struct<id:string,text:string,createdAt:string,categories:struct<location:string>,workplaceType:string,"
+    "hostedUrl:string,description:string,lists:array<struct<content:string>>>"
 )
+LEVER = f"array<{_LEVER_POSTING}>"
 THREAD = (
     "struct<hits:array<struct<objectID:string,title:string,author:string,created_at_i:bigint>>,"
     "id:bigint,kids:array<bigint>,text:string>"
@@ -53,10 +58,11 @@ _WORKABLE_POSTING = (
     "employment_type:string,experience:string,education:string,function:string,industry:string>"
 )
 WORKABLE = f"struct<jobs:array<{_WORKABLE_POSTING}>,results:array<{_WORKABLE_POSTING}>>"
-HIMALAYAS = (
-    "struct<jobs:array<struct<id:string,guid:string,title:string,companyName:string,company:string,location:string,"
-    "locationRestrictions:array<string>,applicationLink:string,url:string,description:string,pubDate:string>>>"
+_HIMALAYAS_POSTING = (
+    "struct<id:string,guid:string,title:string,companyName:string,company:string,location:string,"
+    "locationRestrictions:array<string>,applicationLink:string,url:string,description:string,pubDate:string>"
 )
+HIMALAYAS = f"struct<jobs:array<{_HIMALAYAS_POSTING}>>"
 
 # What a source contributes before any text is built. A posting's text is either ``plain``, or
 # ``html`` to be stripped, followed by ``extras``; a null title is the first line of the text.
@@ -70,22 +76,26 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def _base(
-    rows: DataFrame, source: str, *, source_id: Column, title: Column, company: Column, location: Column, url: Column,
+def _contribution(
+    source: str, *, source_id: Column, title: Column, company: Column, location: Column, url: Column,
     posted_at: Column, html: Column, plain: Column | None = None, extras: Column | None = None,
     shown_company: Column | None = None, shown_location: Column | None = None, filter_location: Column | None = None,
-) -> DataFrame:
+) -> list[Column]:
     header = raw_text_header(
         title, F.upper("board") if shown_company is None else shown_company,
         location if shown_location is None else shown_location, url,
     )
-    return rows.select(
-        "profile", F.lit(source).alias("source"), make_id(source, source_id).alias("id"), title.alias("title"),
+    return [
+        F.lit(source).alias("source"), make_id(source, source_id).alias("id"), title.alias("title"),
         company.alias("company"), location.alias("location"),
         (location if filter_location is None else filter_location).alias("filter_location"),
-        url.alias("url"), posted_at.alias("posted_at"), "fetched_at", header.alias("header"), html.alias("html"),
+        url.alias("url"), posted_at.alias("posted_at"), header.alias("header"), html.alias("html"),
         (_null() if plain is None else plain).alias("plain"), (_null() if extras is None else extras).alias("extras"),
-    )
+    ]
+
+
+def _base(rows: DataFrame, contribution: list[Column]) -> DataFrame:
+    return rows.select("profile", "fetched_at", *contribution)
 
 
 def assemble(base: DataFrame, min_comment_chars: int = vocab.MIN_COMMENT_CHARS) -> DataFrame:
@@ -94,38 +104,48 @@ def assemble(base: DataFrame, min_comment_chars: int = vocab.MIN_COMMENT_CHARS)
     The texts are built above the fields, so a later filter on title or date runs first and
     the stripping is spared for postings that do not pass.
     """
+    texts, keep, rest = _texts(min_comment_chars)
+    described = base.withColumn("description", texts[0]).withColumn("title", texts[1])
+    return described.where(keep).withColumns(rest).select(*NORMALIZED)
+
+
+@remembered
+def _texts(min_comment_chars: int) -> tuple[list[Column], Column, dict[str, Column]]:
     is_thread = F.col("source") == "hackernews"
     stripped = F.coalesce(filled(F.col("plain")), strip_html(F.col("html")))
-    described = base.withColumn("description", F.concat_ws("\n", filled(stripped), F.col("extras")))
-    titled = described.withColumn("title", F.coalesce("title", strip(F.substring_index("description", "\n", 1))))
+    description = F.concat_ws("\n", filled(stripped), F.col("extras"))
+    title = F.coalesce("title", strip(F.substring_index("description", "\n", 1)))
     long_enough = ~is_thread | (F.length("description") >= min_comment_chars)
     full_text = F.when(is_thread, F.col("description")).otherwise(F.concat("title", F.lit(" "), "description"))
     raw_text = extract_job_context(strip(F.concat("header", "description")))
-    return titled.where(long_enough).withColumns({"full_text": full_text, "raw_text": raw_text}).select(*NORMALIZED)
+    return [description, title], long_enough, {"full_text": full_text, "raw_text": raw_text}
+
 
+# What each source contributes, from a posting in the struct column ``at`` and the company in ``board``.
 
-def _greenhouse(raw: DataFrame) -> DataFrame:
-    rows = exploded(raw, "greenhouse", GREENHOUSE, lambda j: j["jobs"])
-    return _base(
-        rows, "greenhouse", source_id=F.col("p.id"), title=text_of(F.col("p.title")), company=F.col("board"),
-        location=F.coalesce(F.col("p.location.name"), F.lit("Unknown")), url=text_of(F.col("p.absolute_url")),
-        posted_at=parse_posted_at(F.col("p.updated_at")),
-        html=F.coalesce(filled(F.col("p.content")), F.col("p.description")),
+
+@remembered
+def _greenhouse_fields(at: str = "p") -> list[Column]:
+    return _contribution(
+        "greenhouse", source_id=F.col(f"{at}.id"), title=text_of(F.col(f"{at}.title")), company=F.col("board"),
+        location=F.coalesce(F.col(f"{at}.location.name"), F.lit("Unknown")), url=text_of(F.col(f"{at}.absolute_url")),
+        posted_at=parse_posted_at(F.col(f"{at}.updated_at")),
+        html=F.coalesce(filled(F.col(f"{at}.content")), F.col(f"{at}.description")),
     )
 
 
-def _lever(raw: DataFrame) -> DataFrame:
-    rows = exploded(raw, "lever", LEVER, lambda j: j)
-    location = F.coalesce(F.col("p.categories.location"), F.lit("Unknown"))
-    workplace = text_of(F.col("p.workplaceType"))
-    lists = F.array_join(F.transform("p.lists", lambda x: text_of(x["content"])), " ")
+@remembered
+def _lever_fields(at: str = "p") -> list[Column]:
+    location = F.coalesce(F.col(f"{at}.categories.location"), F.lit("Unknown"))
+    workplace = text_of(F.col(f"{at}.workplaceType"))
+    lists = F.array_join(F.transform(f"{at}.lists", lambda x: text_of(x["content"])), " ")
     note = F.when(workplace != "", F.concat(F.lit("\nWorkplace: "), workplace)).otherwise("")
-    return _base(
-        rows, "lever", source_id=F.col("p.id"), title=text_of(F.col("p.text")), company=F.col("board"),
+    return _contribution(
+        "lever", source_id=F.col(f"{at}.id"), title=text_of(F.col(f"{at}.text")), company=F.col("board"),
         location=location, filter_location=effective_location(location, workplace),
-        shown_location=F.concat(location, note), url=text_of(F.col("p.hostedUrl")),
-        posted_at=parse_posted_at(F.col("p.createdAt")),
-        html=F.concat(text_of(F.col("p.description")), F.lit(" "), text_of(lists)),
+        shown_location=F.concat(location, note), url=text_of(F.col(f"{at}.hostedUrl")),
+        posted_at=parse_posted_at(F.col(f"{at}.createdAt")),
+        html=F.concat(text_of(F.col(f"{at}.description")), F.lit(" "), text_of(lists)),
     )
 
 
@@ -151,17 +171,22 @@ def _thread(raw: DataFrame, as_of: Column, comments_per_thread: int | None, max_
     comments = parsed.where("j.text IS NOT NULL").select(
         "profile", "fetched_at", F.col("j.id").alias("comment_id"), strip(F.col("j.text")).alias("html")
     )
+    return comments.join(kids, ["profile", "comment_id"]).select("profile", "fetched_at", *_comment_fields())
+
+
+@remembered
+def _comment_fields() -> list[Column]:
     number = F.col("comment_id").cast("string")
     header = F.concat(
         F.lit("HN Job Posting\nComment ID: "), number, F.lit("\nThread: "), text_of(F.col("thread_title")), F.lit("\n\n")
     )
-    return comments.join(kids, ["profile", "comment_id"]).select(
-        "profile", F.lit("hackernews").alias("source"), make_id("hackernews", number).alias("id"), _null().alias("title"),
+    return [
+        F.lit("hackernews").alias("source"), make_id("hackernews", number).alias("id"), _null().alias("title"),
         F.lit("Unknown").alias("company"), F.lit("Unknown").alias("location"), F.lit("").alias("filter_location"),
         F.concat(F.lit("https://news.ycombinator.com/item?id="), number).alias("url"),
-        F.lit(None).cast("timestamp").alias("posted_at"), "fetched_at", header.alias("header"), "html",
+        F.lit(None).cast("timestamp").alias("posted_at"), header.alias("header"), F.col("html"),
         _null().alias("plain"), _null().alias("extras"),
-    )
+    ]
 
 
 # ---- per-source fields ---------------------------------------------------------------------
@@ -220,26 +245,25 @@ def himalayas_url(application_link: Column, url: Column, guid: Column) -> Column
     return F.coalesce(filled(application_link), filled(url), guid, F.lit(""))
 
 
-def _ashby(raw: DataFrame) -> DataFrame:
-    rows = exploded(raw, "ashby", ASHBY, lambda j: F.coalesce(j["jobs"], j["jobPostings"]))
-    listed = rows.where(F.coalesce(F.col("p.isListed"), F.lit(True)))
-    url = text_of(F.col("p.jobUrl"))
-    return _base(
-        listed, "ashby", source_id=F.coalesce(filled(F.col("p.id")), url), title=text_of(F.col("p.title")),
+@remembered
+def _ashby_fields(at: str = "p") -> list[Column]:
+    url = text_of(F.col(f"{at}.jobUrl"))
+    return _contribution(
+        "ashby", source_id=F.coalesce(filled(F.col(f"{at}.id")), url), title=text_of(F.col(f"{at}.title")),
         company=F.col("board"), url=url,
-        location=ashby_location(F.col("p.location"), F.col("p.locationName"), F.col("p.secondaryLocations")),
-        posted_at=parse_posted_at(F.coalesce(filled(F.col("p.publishedAt")), F.col("p.publishedDate"))),
-        html=F.col("p.descriptionHtml"), plain=F.col("p.descriptionPlain"),
+        location=ashby_location(F.col(f"{at}.location"), F.col(f"{at}.locationName"), F.col(f"{at}.secondaryLocations")),
+        posted_at=parse_posted_at(F.coalesce(filled(F.col(f"{at}.publishedAt")), F.col(f"{at}.publishedDate"))),
+        html=F.col(f"{at}.descriptionHtml"), plain=F.col(f"{at}.descriptionPlain"),
     )
 
 
-def _workable(raw: DataFrame) -> DataFrame:
-    rows = exploded(raw, "workable", WORKABLE, lambda j: F.coalesce(j["jobs"], j["results"]))
-    p = F.col("p")
+@remembered
+def _workable_fields(at: str = "p") -> list[Column]:
+    p = F.col(at)
     location = workable_location(p)
     note = F.when(F.coalesce(p["telecommuting"], F.lit(False)), F.lit("\nWorkplace: Remote")).otherwise("")
-    return _base(
-        rows, "workable", company=F.col("board"), title=text_of(p["title"]), location=location,
+    return _contribution(
+        "workable", company=F.col("board"), title=text_of(p["title"]), location=location,
         source_id=F.coalesce(*[filled(p[c]) for c in ("id", "shortcode", "url", "shortlink")], F.lit("")),
         shown_location=F.concat(location, note),
         url=F.coalesce(*[filled(p[c]) for c in ("url", "shortlink", "application_url")], F.lit("")),
@@ -248,35 +272,79 @@ def _workable(raw: DataFrame) -> DataFrame:
     )
 
 
-def _himalayas(raw: DataFrame) -> DataFrame:
-    rows = exploded(raw, "himalayas", HIMALAYAS, lambda j: j["jobs"])
-    company = himalayas_company(F.col("p.companyName"), F.col("p.company"))
-    url = himalayas_url(F.col("p.applicationLink"), F.col("p.url"), F.col("p.guid"))
-    return _base(
-        rows, "himalayas", source_id=F.coalesce(F.col("p.id"), url), title=text_of(F.col("p.title")), company=company,
-        shown_company=company, location=himalayas_location(F.col("p.location"), F.col("p.locationRestrictions")),
-        url=url, posted_at=parse_posted_at(F.col("p.pubDate")), html=F.col("p.description"),
+@remembered
+def _himalayas_fields(at: str = "p") -> list[Column]:
+    company = himalayas_company(F.col(f"{at}.companyName"), F.col(f"{at}.company"))
+    url = himalayas_url(F.col(f"{at}.applicationLink"), F.col(f"{at}.url"), F.col(f"{at}.guid"))
+    return _contribution(
+        "himalayas", source_id=F.coalesce(F.col(f"{at}.id"), url), title=text_of(F.col(f"{at}.title")), company=company,
+        shown_company=company, location=himalayas_location(F.col(f"{at}.location"), F.col(f"{at}.locationRestrictions")),
+        url=url, posted_at=parse_posted_at(F.col(f"{at}.pubDate")), html=F.col(f"{at}.description"),
     )
 
 
+# Per board: where its postings lie in a payload (the first place that is an array), a posting's schema, its fields.
+BOARDS: dict[str, tuple[list[str], str, Callable[..., list[Column]]]] = {
+    "greenhouse": (["$.jobs"], _GREENHOUSE_POSTING, _greenhouse_fields),
+    "lever": (["$"], _LEVER_POSTING, _lever_fields),
+    "ashby": (["$.jobs", "$.jobPostings"], _ASHBY_POSTING, _ashby_fields),
+    "workable": (["$.jobs", "$.results"], _WORKABLE_POSTING, _workable_fields),
+    "himalayas": (["$.jobs"], _HIMALAYAS_POSTING, _himalayas_fields),
+}
+
+
+@remembered
+def _board_columns() -> tuple[Column, list[Column], Column, list[Column]]:
+    """A payload's postings, a posting by board, whether it is listed, and what it contributes."""
+    source = F.col("source")
+
+    def by_board(values: dict[str, Column]) -> Column:
+        first, *rest = values.items()
+        out = F.when(source == first[0], first[1])
+        for board, value in rest:
+            out = out.when(source == board, value)
+        return out
+
+    places = {b: F.coalesce(*[F.try_variant_get("doc", at, "array<variant>") for at in ways]) for b, (ways, _, _) in BOARDS.items()}
+    postings = [F.when(source == b, F.try_variant_get("posting", "$", schema)).alias(f"p_{b}") for b, (_, schema, _) in BOARDS.items()]
+    fields = {b: build(f"p_{b}") for b, (_, _, build) in BOARDS.items()}
+    names = ["source", "id", "title", "company", "location", "filter_location", "url", "posted_at", "header", "html", "plain", "extras"]
+    merged = [by_board({b: own[i] for b, own in fields.items()}).alias(name) for i, name in enumerate(names)]
+    return by_board(places), postings, (source != "ashby") | _listed("p_ashby"), merged
+
+
+def _boards(raw: DataFrame) -> DataFrame:
+    """The postings of all boards in one pass over the landed rows: one parse, one explode, one choice per field."""
+    items, postings, listed, fields = _board_columns()
+    rows = raw.where(F.col("source").isin(*BOARDS)).select("profile", "source", F.col("company").alias("board"), "fetched_at", F.try_parse_json("payload").alias("doc"))
+    each = rows.select("profile", "source", "board", "fetched_at", F.explode(items).alias("posting"))
+    return each.select("profile", "source", "board", "fetched_at", *postings).where(listed).select("profile", "fetched_at", *fields)
+
+
+def _listed(at: str = "p") -> Column:
+    return F.coalesce(F.col(f"{at}.isListed"), F.lit(True))
+
+
 def normalize_greenhouse(raw: DataFrame) -> DataFrame:
-    return assemble(_greenhouse(raw))
+    return assemble(_base(exploded(raw, "greenhouse", GREENHOUSE, lambda j: j["jobs"]), _greenhouse_fields()))
 
 
 def normalize_lever(raw: DataFrame) -> DataFrame:
-    return assemble(_lever(raw))
+    return assemble(_base(exploded(raw, "lever", LEVER, lambda j: j), _lever_fields()))
 
 
 def normalize_ashby(raw: DataFrame) -> DataFrame:
-    return assemble(_ashby(raw))
+    rows = exploded(raw, "ashby", ASHBY, lambda j: F.coalesce(j["jobs"], j["jobPostings"]))
+    return assemble(_base(rows.where(_listed()), _ashby_fields()))
 
 
 def normalize_workable(raw: DataFrame) -> DataFrame:
-    return assemble(_workable(raw))
+    rows = exploded(raw, "workable", WORKABLE, lambda j: F.coalesce(j["jobs"], j["results"]))
+    return assemble(_base(rows, _workable_fields()))
 
 
 def normalize_himalayas(raw: DataFrame) -> DataFrame:
-    return assemble(_himalayas(raw))
+    return assemble(_base(exploded(raw, "himalayas", HIMALAYAS, lambda j: j["jobs"]), _himalayas_fields()))
 
 
 def normalize_thread(
@@ -301,6 +369,5 @@ def normalize_all(
     raw: DataFrame, as_of: Column, comments_per_thread: int | None = None,
     max_age_days: int = vocab.THREAD_MAX_AGE_DAYS, min_comment_chars: int = vocab.MIN_COMMENT_CHARS,
 ) -> DataFrame:
-    """All sources: fields per source, then one union, then the texts once for all rows."""
-    parts = [board(raw) for board in (_greenhouse, _lever, _ashby, _workable, _himalayas)]
-    return assemble(union_postings([*parts, _thread(raw, as_of, comments_per_thread, max_age_days)]), min_comment_chars)
+    """All sources: the boards in one pass, the thread source beside them, then the texts once for all rows."""
+    return assemble(union_postings([_boards(raw), _thread(raw, as_of, comments_per_thread, max_age_days)]), min_comment_chars)

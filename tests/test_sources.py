@@ -69,6 +69,57 @@ def test_normalizers(spark, as_of):
     assert "hackernews_102" not in rows and "hackernews_999" not in rows
 
 
+SINGLE = [L.normalize_greenhouse, L.normalize_lever, L.normalize_ashby, L.normalize_workable, L.normalize_himalayas]
+
+ODD = [
+    ("greenhouse", "not json"), ("greenhouse", '{"jobs": [{"id": 7, "title": "cut'), ("greenhouse", None), ("greenhouse", "{}"), ("greenhouse", '{"jobs": null}'),
+    ("greenhouse", '{"jobs": []}'), ("greenhouse", '{"jobs": [{"id": 12345678901234567890, "title": null, "content": "a &amp; b"}, {}]}'),
+    ("greenhouse", '{"jobs": [{"id": "g", "title": 5, "updated_at": 1737300000, "location": {"name": null}}], "meta": {"total": 1}}'),
+    ("lever", '[{"id": "L2", "text": "T", "createdAt": "1737300000000", "lists": null}, {"id": "L3", "lists": [{"content": null}, {}]}]'),
+    ("ashby", '{"jobPostings": [{"id": "", "jobUrl": "u", "title": "E", "secondaryLocations": [{"location": "A"}, {"location": ""}, {}], "isListed": null}]}'),
+    ("ashby", '{"jobs": [], "jobPostings": [{"id": "hidden by the empty list"}]}'),
+    ("workable", '{"results": [{"id": "W", "title": "E", "location": {"city": "X", "state": "Y"}, "telecommuting": null, "function": "F"}]}'),
+    ("workable", '{"jobs": [{"shortcode": "s", "locations": [{"city": "A", "country": "B"}, {"country": "C"}], "created_at": 1737300000}]}'),
+    ("himalayas", '{"jobs": [{"guid": "g", "company": "plain", "locationRestrictions": ["A", "B"], "pubDate": "2025-01-20"}]}'),
+    ("himalayas", '{"jobs": [{"id": 3, "company": {"name": "N", "x": [1]}, "description": "\\u00e9 <b>x</b>"}]}'),
+    ("nobody", '{"jobs": [{"id": 1}]}'), (None, '{"jobs": [{"id": 1}]}'),
+]
+
+
+def test_one_pass_gives_what_the_single_sources_give(spark, as_of):
+    odd = spark.createDataFrame([("p", s, "acme", p) for s, p in ODD], "profile string, source string, company string, payload string")
+    odd = odd.withColumn("fetched_at", F.lit("2025-01-30").cast("timestamp")).select("profile", "source", "company", "fetched_at", "payload")
+    raw = raw_rows(spark, *all_payloads()).unionByName(odd)
+    together = sorted(map(repr, L.normalize_all(raw, as_of).where("source <> 'hackernews'").collect()))
+    apart = sorted(repr(r) for build in SINGLE for r in build(raw).collect())
+    assert together == apart and len(together) > 20
+
+
+def test_an_error_in_place_of_a_list_is_no_posting(spark):
+    raw = raw_rows(spark, ("lever", "acme", {"ok": False, "error": "not found"}), ("greenhouse", "acme", {"status": 404}))
+    assert L._boards(raw).collect() == []
+
+
+def test_boards_are_scanned_once(spark, as_of, tmp_path):
+    raw_rows(spark, *all_payloads()).write.parquet(str(tmp_path / "landing"))
+    landing = spark.read.parquet(str(tmp_path / "landing"))
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")[1:]
+
+    assert len(scans(L._boards(landing))) == 1
+    whole = scans(L.normalize_all(landing, as_of))
+    others = [x for x in whole if "EqualTo(source,hackernews)" in x]
+    assert len(whole) - len(others) == 1
+
+
+def test_fixed_columns_are_built_once(spark, as_of):
+    raw = raw_rows(spark, *all_payloads())
+    L.normalize_all(raw, as_of)
+    assert L._texts(50) is L._texts(50) and L._texts(50) is not L._texts(60)
+    assert L._board_columns() is L._board_columns()
+
+
 def test_funnel_and_store(spark, profile_rows, as_of):
     normalized = L.normalize_all(raw_rows(spark, *all_payloads()), as_of)
     judged = judge(normalized, profile_rows(), as_of)
