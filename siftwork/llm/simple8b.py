@@ -19,24 +19,34 @@ import numpy as np
 
 # Fixed values of the format: ids per word and bits per id, for selectors 2 to 15.
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
+COUNTS = np.array([1, 0, *(n for n, _ in LAYOUTS)])
 FRAME = 128
 HEAD = "<4sQIII"
 MAGIC = b"S8B1"
 
 
-def _widest(bits: np.ndarray) -> dict[int, np.ndarray]:
-    """For each count n of the layouts: the most bits among the n values from each place on (99: too few are left)."""
-    doubled, out, size = {1: bits}, {}, 1
-    while size < 32:
-        last = doubled[size]
-        doubled[2 * size] = np.maximum(last, np.concatenate((last[size:], np.full(min(size, len(last)), 99, np.uint8))))
-        size *= 2
-    for n, _ in LAYOUTS:
+def _selectors(bits: np.ndarray) -> np.ndarray:
+    """For each place the selector that holds most ids from there on, 0 if none does.
+
+    What fits a layout also fits the wider ones of fewer ids, so the search ends at the first that fits nowhere.
+    """
+    chosen = np.zeros(len(bits), np.uint8)
+    doubled = {1: bits}
+    for selector in range(15, 1, -1):
+        n, width = LAYOUTS[selector - 2]
+        if n > len(bits):
+            break
         half = 1 << (n.bit_length() - 1)
-        rest = n - half
-        shifted = np.concatenate((doubled[half][rest:], np.full(min(rest, len(bits)), 99, np.uint8)))
-        out[n] = np.maximum(doubled[half], shifted)
-    return out
+        if half not in doubled:
+            last = doubled[half // 2]
+            doubled[half] = np.maximum(last[: len(last) - half // 2], last[half // 2 :])
+        # The most bits among the n values from each place on.
+        most = np.maximum(doubled[half][: len(bits) - n + 1], doubled[half][n - half :])
+        fits = most <= width
+        if not fits.any():
+            break
+        chosen[: len(fits)][fits] = selector
+    return chosen
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -46,14 +56,11 @@ def encode(ids: np.ndarray) -> bytes:
     if total == 0:
         return struct.pack(HEAD, MAGIC, 0, 0, 0, 0)
     bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
-    count, chosen = np.ones(total, np.int64), np.zeros(total, np.uint8)
-    widest = _widest(bits)
-    for selector in range(15, 1, -1):
-        n, width = LAYOUTS[selector - 2]
-        fits = widest[n] <= width
-        count[fits], chosen[fits] = n, selector
-    ends = np.flatnonzero(np.concatenate((ids[1:] != ids[:-1], [True]))) + 1
-    run = ends[np.searchsorted(ends, np.arange(total), side="right")] - np.arange(total)
+    chosen = _selectors(bits)
+    count = COUNTS[chosen]
+    ends = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+    ends = np.append(ends, total)
+    run = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(total)
     runs = (run > count) & (bits <= 32)
     count[runs], chosen[runs] = np.minimum(run[runs], (1 << 28) - 1), 1
 
@@ -93,7 +100,7 @@ def decode(block: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     last = int(np.searchsorted(frames, stop, side="left"))
     words = words[first * FRAME : last * FRAME]
     selector = (words >> np.uint64(60)).astype(np.int64)
-    sizes = np.array([1, 0, *(n for n, _ in LAYOUTS)])[selector]
+    sizes = COUNTS[selector]
     alike = np.flatnonzero(selector == 1)
     sizes[alike] = (words[alike] >> np.uint64(32)) & np.uint64((1 << 28) - 1)
     places = np.cumsum(sizes) - sizes

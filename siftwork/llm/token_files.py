@@ -23,6 +23,7 @@ from siftwork.llm.tokens import encoder
 from siftwork.llm.worker import slices, texts
 
 BLOCK = 1 << 16
+KEPT = 500_000  # items and pieces whose ids a worker keeps, some 100 MB each
 
 FORMAT = "part int, block int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
@@ -41,7 +42,7 @@ def encode_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = encoder(path), TaskContext.get().partitionId()
+        own, part = encoder(path, KEPT), TaskContext.get().partitionId()
         block, first = 0, 0
         doc_ids, sizes, ids, held = [], [], [], 0
 
