@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.catalog.core import Inputs, any_in, count_in, query, quoted, sql_list, trimmed
+from siftwork.catalog.core import ORACLES, Inputs, any_in, count_in, query, quoted, sql_list, trimmed
 from siftwork.functions import scores as S
 from siftwork.functions import sections as K
 from siftwork.functions.strings import string_array
 from siftwork.operators import chunking, intents
 from siftwork.operators import scoring as G
+from siftwork.operators.calls import answered, missing_calls
+from siftwork.session import shared_dir
 
 # ---- sections ------------------------------------------------------------------------------
 
@@ -144,6 +148,34 @@ def _(t: Inputs) -> DataFrame:
     return embedded.select("job_id", "chunk_key", second.alias("second"), F.col("dimensions").cast("bigint").alias("dimensions"))
 
 
+ORACLES["embed_chunks_cached"] = ORACLES["embed_chunks_with_encoder"]
+
+
+@query("embed_chunks_cached")
+def _(t: Inputs) -> DataFrame:
+    """The same vectors through a table of answers; the second run finds all of them there."""
+    chunks = t.chunks.select("profile", "job_id", "chunk_key", "chunk_order", "chunk_text")
+    cache = f"{shared_dir(t.spark)}/answers-{uuid.uuid4().hex}"
+    chunking.embed_chunks(chunks, "lengths", _length_encoder, cache)
+    embedded = chunking.embed_chunks(chunks, "lengths", _length_encoder, cache)
+    second = F.rint(F.get("embedding", F.lit(1)).cast("double") * 10000.0) / 10000.0
+    return embedded.select("job_id", "chunk_key", second.alias("second"), F.col("dimensions").cast("bigint").alias("dimensions"))
+
+
+@query(
+    "missing_calls",
+    """SELECT lower(event_type) AS word, CAST(user_id AS VARCHAR) AS who FROM events WHERE event_type <> 'view'
+EXCEPT SELECT lower(event_type), CAST(user_id AS VARCHAR) FROM events WHERE event_type <> 'view' AND event_id % 3 = 0""",
+)
+def _(t: Inputs) -> DataFrame:
+    """Calls that are still to be made after a third of the rows have been answered: distinct inputs only."""
+    rows = t.events.where("event_type <> 'view'").select("event_id", F.lower("event_type").alias("word"), F.col("user_id").cast("string").alias("who"))
+    cache = f"{shared_dir(t.spark)}/answers-{uuid.uuid4().hex}"
+    answered(rows.where("event_id % 3 = 0"), cache, "echo", ["word", "who"], lambda: lambda a, b: [x + y for x, y in zip(a, b)], "string", 64)
+    left = missing_calls(rows, cache, "echo", ["word", "who"], "string")
+    return left.select(F.col("_in_word").alias("word"), F.col("_in_who").alias("who"))
+
+
 @query(
     "chunk_and_embed",
     f"""WITH {_section_sql()} SELECT s.id AS job_id, CAST(count(DISTINCT section) AS BIGINT) AS chunks FROM s

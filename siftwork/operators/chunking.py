@@ -14,6 +14,7 @@ from siftwork import vocab
 from siftwork.functions import sections as S
 from siftwork.functions import text as X
 from siftwork.functions.strings import strip, text_of
+from siftwork.operators.calls import answered
 
 DEFAULT_MODEL = "hashing-tf-256"
 CHUNK_FIELDS = "profile string, job_id string, model_name string, chunk_key string, chunk_order int, chunk_text string"
@@ -83,15 +84,38 @@ def hashing_encoder(df: DataFrame, text: str = "chunk_text", out: str = "embeddi
     return encoded.withColumn(out, vector_to_array("_unit", "float32")).drop("_tokens", "_counts", "_unit")
 
 
+def _unit_vectors(make_encoder: Callable[[], Encoder]) -> Callable[[], Callable[[list[str]], list[list[float]]]]:
+    """The encoder with its vectors at unit length, in single precision."""
+
+    def make() -> Callable[[list[str]], list[list[float]]]:
+        import numpy as np
+
+        encode = make_encoder()
+
+        def unit(texts: list[str]) -> list[list[float]]:
+            vectors = np.asarray(encode(texts), dtype="float64").reshape(len(texts), -1)
+            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+            return (vectors / np.where(norms == 0, 1.0, norms)).astype("float32").tolist()
+
+        return unit
+
+    return make
+
+
 def embed_chunks(
-    chunks: DataFrame, model_name: str = DEFAULT_MODEL, make_encoder: Callable[[], Encoder] | None = None
+    chunks: DataFrame, model_name: str = DEFAULT_MODEL, make_encoder: Callable[[], Encoder] | None = None,
+    cache: str | None = None, batch_size: int = vocab.ENCODER_BATCH,
 ) -> DataFrame:
     """Chunks with unit-length vectors and their dimension.
 
     ``make_encoder`` runs once per task and returns ``encode(texts) -> vectors``; without it
-    the hashing encoder is used. Texts reach it in Arrow batches.
+    the hashing encoder is used. With ``cache``, the path of a table of answers, it sees every distinct
+    text once, ``batch_size`` at a time, and none that an earlier run has stored; without, texts reach it in Arrow batches.
     """
     named = chunks.withColumn("model_name", F.lit(model_name))
+    if make_encoder is not None and cache is not None:
+        known = answered(named, cache, model_name, ["chunk_text"], _unit_vectors(make_encoder), "array<float>", batch_size, "embedding")
+        return known.withColumn("dimensions", F.size("embedding"))
     if make_encoder is None:
         encoded = hashing_encoder(named)
         return encoded.withColumn("dimensions", F.size("embedding"))
@@ -114,10 +138,10 @@ def embed_chunks(
 
 
 def chunk_and_embed(
-    due: DataFrame, model_name: str = DEFAULT_MODEL, make_encoder: Callable[[], Encoder] | None = None
+    due: DataFrame, model_name: str = DEFAULT_MODEL, make_encoder: Callable[[], Encoder] | None = None, cache: str | None = None
 ) -> DataFrame:
     """Due postings to embedded chunks; write the result with ``replace_group``."""
-    return embed_chunks(section_chunks(due), model_name, make_encoder)
+    return embed_chunks(section_chunks(due), model_name, make_encoder, cache)
 
 
 def decode_vector(c):

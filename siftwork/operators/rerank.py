@@ -16,6 +16,7 @@ from siftwork.functions.strings import (
     term_table,
 )
 from siftwork.functions.vectors import clamp_k
+from siftwork.operators.calls import answered
 from siftwork.operators.retrieval import mean_of_first
 
 PAIR = ["query_id", "job_id"]
@@ -137,6 +138,19 @@ def model_scorer(make_model: Callable[[], Callable[[list[str], list[str]], list[
     return score
 
 
+def cached_raw_scores(
+    selected: DataFrame, make_model: Callable[[], Callable[[list[str], list[str]], list[float]]], model_name: str, cache: str,
+    max_chars: int = vocab.RERANK_CHUNK_CHARS, batch_size: int = vocab.RERANKER_BATCH,
+) -> DataFrame:
+    """``selected`` with a ``raw_score`` for ``rerank_chunks``, from a pair model that sees each distinct pair once.
+
+    Scores are kept in the table ``cache``; a pair is the match query and the prepared chunk text.
+    """
+    max_chars = max(vocab.RERANK_CHUNK_CHARS_MIN, min(vocab.RERANK_CHUNK_CHARS_MAX, max_chars))
+    prepared = selected.withColumn("_text", X.prepare_chunk_text(F.col("chunk_text"), max_chars))
+    return answered(prepared, cache, model_name, ["match_query", "_text"], make_model, "double", batch_size, "raw_score").drop("_text")
+
+
 def rerank_chunks(
     selected: DataFrame, scorer: Callable[[Column, Column], Column] | None = None,
     max_chars: int = vocab.RERANK_CHUNK_CHARS,

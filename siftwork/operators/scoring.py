@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftwork import vocab
 from siftwork.functions import scores as S
 from siftwork.functions.strings import empty_strings, text_of
+from siftwork.operators.calls import answered
 
 KEY = ["profile", "id"]
 SCORE_COLUMNS = [
@@ -62,6 +63,18 @@ def call_scorer(postings: DataFrame, make_scorer: Callable[[], Callable[[pd.Data
     return postings.select("profile", "id", "title", "raw_text").mapInPandas(run, "profile string, id string, raw string")
 
 
+def cached_responses(
+    postings: DataFrame, make_scorer: Callable[[], Callable[[list[str], list[str], list[str]], list[str]]], model_name: str, cache: str,
+    batch_size: int = vocab.SCORER_BATCH,
+) -> DataFrame:
+    """(profile, id, raw) from a scoring function ``score(profiles, titles, raw_texts)``, called once per distinct input.
+
+    Answers are kept in the table ``cache``: a posting that comes again, under any id, costs no call. Gate before it.
+    """
+    rows = postings.select("profile", "id", "title", "raw_text")
+    return answered(rows, cache, model_name, ["profile", "title", "raw_text"], make_scorer, "string", batch_size, "raw").select("profile", "id", "raw")
+
+
 def score_batch(postings: DataFrame, profiles: DataFrame, responses: DataFrame) -> DataFrame:
     """Score rows for a batch of postings, from responses given as (profile, id, raw).
 

@@ -230,6 +230,8 @@ TOP_JOBS, TOP_JOBS_MAX = 30, 100
 
 RERANK_TOP_CHUNKS, RERANK_TOP_JOBS, RERANK_FINAL = 80, 40, 15
 RERANK_CHUNKS_PER_JOB, RERANK_CHUNKS_PER_JOB_MAX = 4, 8
+# Rows a model gets at a time.
+ENCODER_BATCH, RERANKER_BATCH, SCORER_BATCH = 8, 16, 8
 RERANK_CHUNK_CHARS, RERANK_CHUNK_CHARS_MIN, RERANK_CHUNK_CHARS_MAX = 900, 200, 4000
 
 SECTION_PRIORITY = {
