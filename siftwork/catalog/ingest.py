@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from siftwork.catalog.core import AS_OF, AS_OF_SECONDS, ORACLES, Inputs, any_in,
 from siftwork.catalog.filters import REASON_SQL
 from siftwork.functions.strings import string_array
 from siftwork.plans.ingest import admit_early, admitted, judge, scrape_stats
+from siftwork.session import shared_dir
+from siftwork.sources import ledger, statuses
 from siftwork.sources import payloads as L
 from siftwork.sources import profiles as P
 from siftwork.sources import tables as T
@@ -575,3 +579,35 @@ def _(t: Inputs) -> DataFrame:
 )
 def _(t: Inputs) -> DataFrame:
     return current_status(t.status_changes).withColumn("changed_at", F.unix_micros("changed_at"))
+
+
+# ---- logs that may be repeated -------------------------------------------------------------
+
+
+@query(
+    "attempt_ledger",
+    """SELECT profile, id, count(*) AS tries, substr(arg_max(error, tried_at) FILTER (error IS NOT NULL), 1, 500) AS error,
+  epoch_us(max(tried_at) FILTER (error IS NOT NULL)) AS error_at FROM v_attempts GROUP BY 1, 2""",
+)
+def _(t: Inputs) -> DataFrame:
+    """Attempts in three batches, the second one twice, with a fold in between."""
+    path = f"{shared_dir(t.spark)}/attempts-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("profile", "id", "tried_at"), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        ledger.append_attempts(t.attempts.where(part == batch), path, batch)
+    ledger.fold(t.spark, path)
+    return ledger.totals(t.spark, path).withColumn("error_at", F.unix_micros("error_at"))
+
+
+ORACLES["status_log"] = ORACLES["current_status"]
+
+
+@query("status_log")
+def _(t: Inputs) -> DataFrame:
+    """Status changes in three batches, the last one twice, with all buckets folded in between."""
+    path = f"{shared_dir(t.spark)}/statuses-{uuid.uuid4().hex}"
+    for batch in (0, 1, 2, 2):
+        statuses.append_changes(t.status_changes.where(F.col("change_id") % 3 == batch), path, batch, 8)
+        if batch == 1:
+            statuses.compact_statuses(t.spark, path, 2)
+    return statuses.current_statuses(t.spark, path).withColumn("changed_at", F.unix_micros("changed_at"))

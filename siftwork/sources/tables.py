@@ -200,7 +200,10 @@ def change_status_in_table(changes: DataFrame, path: str, schema: str, partition
 
 
 def record_attempts_in_table(attempts: DataFrame, path: str, schema: str, partition_by: list[str]) -> None:
-    """Tries and last errors of postings, written. Not to be repeated after a success: tries are added up."""
+    """Tries and last errors of postings, written. Not to be repeated after a success: tries are added up.
+
+    ``sources.ledger`` has the form that may be repeated.
+    """
     with staged(attempts) as tried:
         _changed_partitions(path, schema, tried, partition_by, lambda rows: record_attempts(rows, tried))
 
@@ -217,10 +220,11 @@ def delete_from_table(spark: SparkSession, path: str, schema: str, condition: Co
                 *partition_by
             ).parquet(path)
     for row in emptied:
-        _drop_partition(spark, path, {c: row[c] for c in partition_by})
+        drop_partition(spark, path, {c: row[c] for c in partition_by})
 
 
-def _drop_partition(spark: SparkSession, path: str, values: dict[str, object]) -> None:
+def drop_partition(spark: SparkSession, path: str, values: dict[str, object]) -> None:
+    """Removes the folder of one partition, if it is there."""
     jvm = spark.sparkContext._jvm
     escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     folder = "/".join(f"{c}={escape(str(v)) if v is not None else '__HIVE_DEFAULT_PARTITION__'}" for c, v in values.items())
