@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,34 +197,80 @@ class Pieces:
         plain = b"".join(_field(n, 0) for n in (DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE))
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=with_normalizer(model, _field(1, b"identity") + plain))
         kinds = [(p[PIECE_TEXT].decode(), p.get(PIECE_TYPE, NORMAL)) for p in (dict(message(v)) for n, v in message(model) if n == PIECE)]
-        self.is_byte = [kind == BYTE for _, kind in kinds]
-        apart = self.normalizer.escape and not self.normalizer.suffix and not any(kind == USER_DEFINED or MARK in text.lstrip(MARK) for text, kind in kinds)
-        self.items = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if apart else re.compile("(?s:.+)")
+        # Bytes that an id covers; 0 for the unknown one, which covers what it stands for.
+        self.sizes = np.array([1 if kind == BYTE else 0 if kind == UNKNOWN else len(text.encode()) for text, kind in kinds])
+        self.apart = self.normalizer.escape and not self.normalizer.suffix and not any(kind == USER_DEFINED or MARK in text.lstrip(MARK) for text, kind in kinds)
+        self.items = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.cache = Generations(limit)
 
-    def _encoded(self, item: str) -> tuple[bytes, bytes]:
-        """Ids of an item, and the bytes that each covers."""
-        ids, names = self.plain.encode(item), self.plain.encode(item, out_type=str)
-        sizes = [1 if self.is_byte[i] else len(name.encode()) for i, name in zip(ids, names)]
-        return np.array(ids, "<i4").tobytes(), np.array(sizes, "<i4").tobytes()
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the first and the last source byte (exclusive) of each piece."""
-        data, source = self.normalizer.normalized(text)
-        recent, older, found = self.cache.recent, self.cache.older, []
-        for item in self.items.findall(data.decode()):
-            value = recent.get(item)
+    def _looked_up(self, items: list[str]) -> list[bytes]:
+        """Ids of distinct items; those the cache doesn't hold go through the library in one call."""
+        recent, older = self.cache.recent, self.cache.older
+        values = list(map(recent.get, items))
+        new = []
+        for i, value in enumerate(values):
             if value is None:
-                value = older.get(item) or self._encoded(item)
-                if len(item) <= self.LONGEST:
-                    recent[item] = value
-            found.append(value)
+                item = items[i]
+                if item in older:
+                    values[i] = recent[item] = older[item]
+                else:
+                    new.append(i)
+        found = self.plain.encode([items[i] for i in new], num_threads=1)
+        ends = np.cumsum([0, *map(len, found)]) * 4
+        ids = np.fromiter(chain.from_iterable(found), "<i4", ends[-1] // 4).tobytes()
+        for i, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist()):
+            values[i] = ids[a:b]
+            if len(items[i]) <= self.LONGEST:
+                recent[items[i]] = ids[a:b]
         self.cache.turn()
-        ids = np.frombuffer(b"".join([ids for ids, _ in found]), "<i4")
-        ends = np.cumsum(np.frombuffer(b"".join([sizes for _, sizes in found]), "<i4"), dtype=np.int64)
-        if len(data) != (ends[-1] if len(ends) else 0):
-            raise ValueError("the pieces don't cover the normalised text")
-        return ids, source[np.concatenate((np.zeros(1, np.int64), ends[:-1]))[: len(ends)]], source[ends]
+        return values
+
+    def _covered(self, data: bytes, ids: np.ndarray) -> np.ndarray:
+        """The bytes of a normalised text that each of its ids covers."""
+        sizes = self.sizes[ids]
+        if not sizes.all():
+            items = self.items.findall(data.decode()) if self.apart else [data.decode()]
+            names = [x for item in items for x in self.plain.encode(item, out_type=str)]
+            sizes = np.where(sizes == 0, [len(x.encode()) for x in names], sizes)
+        return sizes
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text its ids, and the first and the last source byte (exclusive) of each piece."""
+        normal = [self.normalizer.normalized(x) for x in texts]
+        mark = MARK.encode()
+        # Texts of items that each have one mark in front are cut all together.
+        even = [i for i, (x, _) in enumerate(normal) if self.apart and x.startswith(mark) and mark + mark not in x and not x.endswith(mark)]
+        found: list = [None] * len(texts)
+        if even:
+            lists = pc.split_pattern(pa.array([normal[i][0][len(mark) :] for i in even], pa.large_binary()).cast(pa.large_string()), MARK)
+            coded = lists.flatten().dictionary_encode()
+            for i, ids in zip(even, self._gathered([MARK + x for x in coded.dictionary.to_pylist()], coded.indices.to_numpy(), lists.offsets.to_numpy())):
+                found[i] = ids
+        for i, (data, _) in enumerate(normal):
+            if found[i] is None:
+                items = self.items.findall(data.decode()) if self.apart else [data.decode()] if data else []
+                places = {x: n for n, x in enumerate(dict.fromkeys(items))}
+                codes = np.array([places[x] for x in items], np.int64)
+                found[i] = self._gathered(list(places), codes, np.array([0, len(codes)]))[0]
+        out = []
+        for (data, source), ids in zip(normal, found):
+            sizes = self._covered(data, ids)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            if len(data) != (ends[-1] if len(ends) else 0):
+                raise ValueError("the pieces don't cover the normalised text")
+            out.append((ids, source[ends - sizes], source[ends]))
+        return out
+
+    def _gathered(self, distinct: list[str], codes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts that are given as numbers of distinct items, and as where each text's items start."""
+        values = self._looked_up(distinct)
+        pool = np.frombuffer(b"".join(values), "<i4")
+        counts = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts, many = np.cumsum(counts) - counts, counts[codes]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        at = np.repeat(starts[codes] - ends[:-1], many) + np.arange(ends[-1])
+        ids, cuts = pool[at], ends[bounds].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def model_pieces(path: str) -> Pieces:
@@ -252,7 +300,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         own = model_pieces(path)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                found = [own.encode(x) for x in texts(part)]
+                found = own.encode(texts(part))
                 columns = [_lists([x[i] for x in found]) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "ids", "starts", "ends"])
 
@@ -280,7 +328,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         own = model_pieces(path)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                found = [own.encode(x) for x in texts(part)]
+                found = own.encode(texts(part))
                 columns = [_lists([x[i] for x in found]) for i in range(3)]
                 back = pa.array([own.library.decode(x[0].tolist()) if len(x[0]) else "" for x in found], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, back], names=["doc_id", "ids", "starts", "ends", "decoded"])

@@ -60,11 +60,20 @@ def spans_of(library, text):
 @given(text=ODD)
 def test_ids_and_spans_are_the_librarys(kind, text):
     own, library = both(kind)
-    ids, starts, ends = own.encode(text)
+    ids, starts, ends = own.encode([text])[0]
     assert ids.tolist() == library.encode(text)
     assert list(zip(starts.tolist(), ends.tolist())) == spans_of(library, text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.one_of(ODD, st.text(alphabet=" abc", max_size=20)), max_size=6))
+def test_texts_of_a_batch_do_not_touch_each_other(texts):
+    own, library = both("own")
+    found = own.encode(texts)
+    assert [x[0].tolist() for x in found] == [library.encode(t) for t in texts]
+    assert [list(zip(x[1].tolist(), x[2].tolist())) for x in found] == [spans_of(library, t) for t in texts]
+
+
 @pytest.mark.parametrize("name", ["nmt_nfkc", "nfkc_cf"])
 def test_character_map_is_read_whole(name):
     spec = dict(pieces.message(rules(name)))
@@ -78,7 +87,7 @@ def test_spans_join_to_the_text():
     own, _ = both("own")
     for _, text in cases.ROWS:
         raw = (text or "").encode()
-        ids, starts, ends = own.encode(text or "")
+        ids, starts, ends = own.encode([text or ""])[0]
         assert b"".join(raw[a:b] for a, b in zip(starts, ends)) == raw
 
 
