@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork import vocab
-from siftwork.catalog.core import Inputs, query, quoted
+from siftwork.catalog.core import ORACLES, Inputs, query, quoted
 from siftwork.operators import companies as C
 from siftwork.operators import review as R
 from siftwork.operators.scoring import best_first
 from siftwork.operators.usage import rolling_usage
+from siftwork.session import shared_dir
 
 _JOIN = "v_postings p JOIN v_scores s ON s.profile = p.profile AND s.job_id = p.id"
 _LEFT = "v_postings p LEFT JOIN v_scores s ON s.profile = p.profile AND s.job_id = p.id"
@@ -149,6 +152,17 @@ def _(t: Inputs) -> DataFrame:
     return R.review_filter(_rows(t, detail=True), search="License", full_text=True).select("id")
 
 
+ORACLES["review_filter_by_index"] = ORACLES["review_filter_full_text"]
+
+
+@query("review_filter_by_index")
+def _(t: Inputs) -> DataFrame:
+    """The same search through a trigram index of the shown fields and the text."""
+    rows, path = _rows(t, detail=True), f"{shared_dir(t.spark)}/text-{uuid.uuid4().hex}"
+    R.index_review_rows(rows, path)
+    return R.review_search(rows, path, "License").select("id")
+
+
 @query(
     "min_display",
     "SELECT job_id, fit_score FROM v_scores s JOIN v_tenants t ON t.profile = s.profile WHERE fit_score >= min_display_score",

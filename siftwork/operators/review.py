@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftwork import vocab
 from siftwork.functions import text as X
 from siftwork.functions.strings import empty_strings, filled, text_of
+from siftwork.operators.textindex import add_to_text_index, search_text
 
 POSTING_SUMMARY = [
     "profile", "id", "title", "company", "location", "url", "source", "score_attempts", "score_error", "status",
@@ -152,6 +153,21 @@ def review_filter(
     return rows
 
 
+def _with_shown(rows: DataFrame) -> DataFrame:
+    fields = ["title", "company", "location", "source_label", "one_liner"]
+    return rows.withColumn("_shown", F.concat_ws(" ", *[text_of(F.col(c)) for c in fields]))
+
+
+def index_review_rows(rows: DataFrame, path: str, part: int = 0) -> None:
+    """Adds review rows with their ``raw_text`` to the full-text index at ``path``."""
+    add_to_text_index(_with_shown(rows), path, ["_shown", "raw_text"], KEY, part)
+
+
+def review_search(rows: DataFrame, path: str, search: str) -> DataFrame:
+    """The rows that ``review_filter`` with ``full_text`` keeps for a search, through the index at ``path``."""
+    return search_text(_with_shown(rows), path, search, ["_shown", "raw_text"], KEY).drop("_shown")
+
+
 def min_display(scores: DataFrame, minimum: int | Column = vocab.DEFAULT_MIN_DISPLAY_SCORE) -> DataFrame:
     return scores.where(F.col("fit_score") >= minimum)
 
