@@ -40,6 +40,44 @@ def _(t: Inputs) -> DataFrame:
     return t.pages.select("page_id", strip_html(F.col("html")).alias("body"))
 
 
+_BLOCK_TAGS = "address|article|aside|blockquote|body|dd|details|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|main|nav|ol|p|pre|section|table|tbody|td|th|tr|ul"
+
+
+@query(
+    "strip_html_paragraphs",
+    f"""
+WITH a AS (SELECT page_id, {_unescape_sql('html')} AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t,
+  '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'),
+  '(?s)<!--.*?-->|<![^>]*>', '', 'g') AS t FROM a),
+m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)</?({_BLOCK_TAGS})([\\s/][^>]*)?>', chr(2), 'g'),
+  '(?i)</?(br|li)([\\s/][^>]*)?>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS t FROM b),
+c AS (SELECT page_id, i, {_unescape_sql('part')} AS t FROM (SELECT page_id, unnest(string_split(t, chr(2))) AS part, generate_subscripts(string_split(t, chr(2)), 1) AS i FROM m)),
+d AS (SELECT page_id, i, array_to_string(list_filter(list_transform(
+  flatten(list_transform(string_split(t, chr(10)), lambda l: string_split(trim(l, e' \\t\\r '), '  '))),
+  lambda p: trim(p, e' \\t\\r ')), lambda p: p <> ''), chr(10)) AS t FROM c)
+SELECT page_id, coalesce(string_agg({_unescape_sql('t')}, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), '') AS body FROM d GROUP BY page_id
+""",
+)
+def _(t: Inputs) -> DataFrame:
+    return t.pages.select("page_id", strip_html(F.col("html"), keep_paragraphs=True).alias("body"))
+
+
+# Names of the standard that stand for something to see, one per page in turn.
+_SEEN = sorted(n for n, c in html5.items() if not any(x.isspace() for x in c))
+
+
+@query(
+    "strip_html_rare_entities",
+    f"""SELECT page_id, CASE WHEN body = '' THEN '' ELSE body || chr(10) END || ({sql_list(html5[n] for n in _SEEN)})[1 + page_id % {len(_SEEN)}] || ' end' AS body
+FROM ({_STRIP_SQL}) s""",
+)
+def _(t: Inputs) -> DataFrame:
+    """The whole page with one more paragraph, which holds an entity."""
+    name = F.get(string_array(_SEEN), (F.col("page_id") % len(_SEEN)).cast("int"))
+    return t.pages.select("page_id", strip_html(F.concat("html", F.lit("\n<p>&"), name, F.lit(" end</p>"))).alias("body"))
+
+
 # All names of the standard, one per page in turn.
 _NAMES = sorted(html5)
 

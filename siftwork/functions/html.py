@@ -63,14 +63,31 @@ def collapse_phrases(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(phrases, strip), lambda p: p != ""), "\n")
 
 
-def strip_html(c: Column) -> Column:
+# Elements that the standard lays out as blocks of their own, and those that start a line.
+_BLOCKS = "address|article|aside|blockquote|body|dd|details|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|main|nav|ol|p|pre|section|table|tbody|td|th|tr|ul"
+_LINES = "br|li"
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+_PARAGRAPH = "\x02"
+
+
+def strip_html(c: Column, keep_paragraphs: bool = False) -> Column:
     """Text of an HTML fragment (also of an escaped one), in built-in functions only.
 
     Script and style go with their content, comments and declarations go, entities are
     decoded before, while and after the tags are removed, as doubly encoded bodies need.
+    With ``keep_paragraphs`` block elements are paragraphs, with a blank line between them, and line breaks and
+    list items start a line; without, tags leave nothing behind.
     """
     opened = unescape(c)
     without_code = F.regexp_replace(opened, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     without_notes = F.regexp_replace(without_code, r"(?s)<!--.*?-->|<![^>]*>|<\?[^>]*>", "")
-    text = F.regexp_replace(without_notes, r"""</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>""", "")
-    return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(unescape(collapse_phrases(unescape(text))))
+    if keep_paragraphs:
+        # Blocks are marked before the tags go, by a character that the text itself doesn't keep.
+        marked = F.regexp_replace(F.replace(without_notes, F.lit(_PARAGRAPH), F.lit("")), rf"(?i)</?(?:{_BLOCKS})(?=[\s/>]){_ATTRIBUTES}>", _PARAGRAPH)
+        without_notes = F.regexp_replace(marked, rf"(?i)</?(?:{_LINES})(?=[\s/>]){_ATTRIBUTES}>", "\n")
+    text = F.regexp_replace(without_notes, rf"</?[a-zA-Z]{_ATTRIBUTES}>", "")
+    clean = lambda t: unescape(collapse_phrases(unescape(t)))
+    if keep_paragraphs:
+        parts = F.filter(F.transform(F.split(text, _PARAGRAPH), clean), lambda p: p != "")
+        return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(F.array_join(parts, "\n\n"))
+    return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(clean(text))

@@ -85,7 +85,7 @@ def scrape_stats(judged: DataFrame, target: DataFrame) -> DataFrame:
     ).where(F.col("profile").isNotNull())
 
 
-def ingest(raw: DataFrame, profiles: DataFrame, as_of: Column, **thread_limits: int | None) -> DataFrame:
-    """Raw payload rows of all enabled sources to storable postings; see ``normalize_all`` for the limits."""
-    normalized = normalize_all(enabled_only(raw, profiles), as_of, **thread_limits)
+def ingest(raw: DataFrame, profiles: DataFrame, as_of: Column, **options: int | bool | None) -> DataFrame:
+    """Raw payload rows of all enabled sources to storable postings; see ``normalize_all`` for the options."""
+    normalized = normalize_all(enabled_only(raw, profiles), as_of, **options)
     return admit_early(normalized, profiles, as_of)

@@ -98,21 +98,21 @@ def _base(rows: DataFrame, contribution: list[Column]) -> DataFrame:
     return rows.select("profile", "fetched_at", *contribution)
 
 
-def assemble(base: DataFrame, min_comment_chars: int = vocab.MIN_COMMENT_CHARS) -> DataFrame:
+def assemble(base: DataFrame, min_comment_chars: int = vocab.MIN_COMMENT_CHARS, keep_paragraphs: bool = False) -> DataFrame:
     """Texts from what the sources contributed; the same few projections for all of them.
 
     The texts are built above the fields, so a later filter on title or date runs first and
     the stripping is spared for postings that do not pass.
     """
-    texts, keep, rest = _texts(min_comment_chars)
+    texts, keep, rest = _texts(min_comment_chars, keep_paragraphs)
     described = base.withColumn("description", texts[0]).withColumn("title", texts[1])
     return described.where(keep).withColumns(rest).select(*NORMALIZED)
 
 
 @remembered
-def _texts(min_comment_chars: int) -> tuple[list[Column], Column, dict[str, Column]]:
+def _texts(min_comment_chars: int, keep_paragraphs: bool = False) -> tuple[list[Column], Column, dict[str, Column]]:
     is_thread = F.col("source") == "hackernews"
-    stripped = F.coalesce(filled(F.col("plain")), strip_html(F.col("html")))
+    stripped = F.coalesce(filled(F.col("plain")), strip_html(F.col("html"), keep_paragraphs))
     description = F.concat_ws("\n", filled(stripped), F.col("extras"))
     title = F.coalesce("title", strip(F.substring_index("description", "\n", 1)))
     long_enough = ~is_thread | (F.length("description") >= min_comment_chars)
@@ -368,6 +368,10 @@ def union_postings(parts: list[DataFrame]) -> DataFrame:
 def normalize_all(
     raw: DataFrame, as_of: Column, comments_per_thread: int | None = None,
     max_age_days: int = vocab.THREAD_MAX_AGE_DAYS, min_comment_chars: int = vocab.MIN_COMMENT_CHARS,
+    keep_paragraphs: bool = False,
 ) -> DataFrame:
-    """All sources: the boards in one pass, the thread source beside them, then the texts once for all rows."""
-    return assemble(union_postings([_boards(raw), _thread(raw, as_of, comments_per_thread, max_age_days)]), min_comment_chars)
+    """All sources: the boards in one pass, the thread source beside them, then the texts once for all rows.
+
+    With ``keep_paragraphs`` the blocks of HTML bodies stay paragraphs, so that they can be told apart as sections.
+    """
+    return assemble(union_postings([_boards(raw), _thread(raw, as_of, comments_per_thread, max_age_days)]), min_comment_chars, keep_paragraphs)
