@@ -15,6 +15,7 @@ from siftwork.functions.strings import string_array
 from siftwork.operators import chunking, intents
 from siftwork.operators import scoring as G
 from siftwork.operators.calls import answered, missing_calls
+from siftwork.plans import rebuild as V
 from siftwork.session import shared_dir
 
 # ---- sections ------------------------------------------------------------------------------
@@ -176,6 +177,24 @@ def _(t: Inputs) -> DataFrame:
     return left.select(F.col("_in_word").alias("word"), F.col("_in_who").alias("who"))
 
 
+@query(
+    "rebuild_conflicts",
+    """SELECT profile, model_name, count(*) AS chunks, CAST(CASE WHEN profile = 'tenant_0' THEN 64 ELSE 4 END AS BIGINT) AS dimensions
+FROM v_chunks GROUP BY profile, model_name""",
+)
+def _(t: Inputs) -> DataFrame:
+    """Some vectors are cut short, in all profiles but one: those are re-embedded as a new version."""
+    path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    cut = (F.col("chunk_order") == 1) & (F.col("profile") != "tenant_0")
+    rows = t.chunks.withColumn("embedding", F.when(cut, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    rows = rows.withColumn("dimensions", F.size("embedding")).withColumn("version", F.lit(1).cast("long"))
+    rows.select(*V._columns(V.ROWS)).write.partitionBy(*V.PARTITIONS).parquet(path)
+    rows.select(*V.PARTITIONS).distinct().write.parquet(f"{path}-current")
+    V.rebuild_conflicts(t.spark, path, _length_encoder)
+    found = V.read_index(t.spark, path).groupBy("profile", "model_name")
+    return found.agg(F.count("*").alias("chunks"), F.max("dimensions").cast("bigint").alias("dimensions"))
+
+
 @query(
     "chunk_and_embed",
     f"""WITH {_section_sql()} SELECT s.id AS job_id, CAST(count(DISTINCT section) AS BIGINT) AS chunks FROM s
