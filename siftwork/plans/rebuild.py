@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.operators.chunking import Encoder, dimension_conflicts, embed_chunks
-from siftwork.sources.tables import drop_partition, read_table
+from siftwork.sources.tables import drop_partition, read_table, staged
 
 GROUP = ["profile", "model_name"]
 ROWS = (
@@ -45,17 +45,19 @@ def write_version(rows: DataFrame, path: str) -> None:
     The rows of one group must have vectors of one length, else nothing is switched and an error tells which group it is.
     """
     spark = rows.sparkSession
-    held = F.broadcast(current_versions(spark, path).withColumnRenamed("version", "_held"))
-    versioned = rows.join(held, GROUP, "left").withColumn("version", F.coalesce("_held", F.lit(0)) + 1)
-    versioned = versioned.withColumn("dimensions", F.size("embedding")).select(*_columns(ROWS))
-    versioned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
-    # What an earlier failure left of other groups is not looked at.
-    groups = F.broadcast(rows.select(*GROUP).distinct())
-    written = read_table(spark, path, ROWS).join(groups, GROUP, "left_semi").join(held, GROUP, "left").where(F.col("version") == F.coalesce("_held", F.lit(0)) + 1)
-    wrong = dimension_conflicts(written).limit(1).collect()
-    if wrong:
-        raise ValueError(f"vectors of {wrong[0]['least']} and {wrong[0]['most']} dimensions in one group: {wrong[0]['profile']}, {wrong[0]['model_name']}")
-    written.select(*PARTITIONS).distinct().coalesce(1).write.mode("append").parquet(f"{path}-current")
+    # Stored first: the rows may come from the index itself, whose files change below.
+    with staged(rows) as fresh:
+        held = F.broadcast(current_versions(spark, path).withColumnRenamed("version", "_held"))
+        next_version = F.coalesce("_held", F.lit(0)) + 1
+        versioned = fresh.join(held, GROUP, "left").withColumn("version", next_version).withColumn("dimensions", F.size("embedding"))
+        versioned.select(*_columns(ROWS)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+        # What an earlier failure left of other groups is not looked at.
+        groups = F.broadcast(fresh.select(*GROUP).distinct())
+        written = read_table(spark, path, ROWS).join(groups, GROUP, "left_semi").join(held, GROUP, "left").where(F.col("version") == next_version)
+        wrong = dimension_conflicts(written).limit(1).collect()
+        if wrong:
+            raise ValueError(f"vectors of {wrong[0]['least']} and {wrong[0]['most']} dimensions in one group: {wrong[0]['profile']}, {wrong[0]['model_name']}")
+        written.select(*PARTITIONS).distinct().coalesce(1).write.mode("append").parquet(f"{path}-current")
 
 
 def rebuild(
