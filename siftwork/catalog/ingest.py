@@ -270,8 +270,10 @@ _ALL_SQL = " UNION ALL ".join(
 
 @query("normalize_all_sources", _ALL_SQL)
 def _(t: Inputs) -> DataFrame:
-    """All sources of one landing, the boards in one pass."""
-    rows = L.normalize_all(all_raw(t), t.as_of)
+    """All sources of one stored landing, the boards in one pass."""
+    path = f"{shared_dir(t.spark)}/landing-{uuid.uuid4().hex}"
+    all_raw(t).write.parquet(path)
+    rows = L.normalize_all(t.spark.read.parquet(path), t.as_of)
     return rows.select("profile", "source", "id", "title", "company", "location", "url", "description")
 
 
