@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.shared import free_name, stored
@@ -89,11 +89,12 @@ def _signed(width: int):
                 sets = [shingles(x, width) for x in texts(part)]
                 columns = [
                     part.column("doc_id"),
+                    part.column("text_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([buckets(signature(s)).astype(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "buckets"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "digest", "buckets"])
 
     return run
 
@@ -175,19 +176,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row: its component's smallest id, and whether it is its own.
-
-    ``width`` is the words of a shingle; a text with fewer words is one shingle. A text without words
-    (null, empty, blank) has an empty set and is linked with nothing. Rows with a null ``doc_id`` are
-    linked with nothing: their component is null and they are not kept. Repeated ids count as one
-    node per set of shingles. An empty table gives an empty one; other columns are not read.
-    """
+def _grouped(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, text_key, n_shingles, group, component_id`` of every row; the group is null without words or id."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = stored(docs.mapInArrow(_signed(width), "doc_id long, n_shingles long, digest binary, buckets array<long>"), "signed")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    signed = keyed.mapInArrow(_signed(width), "doc_id long, text_key long, n_shingles long, digest binary, buckets array<long>")
+    # Numbers of rows are fixed once they are written, so a set is named by the least of its rows', whatever ids repeat.
+    signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     some = signed.where("digest is not null and doc_id is not null")
     # One node per distinct set: copies are counted out before anything else is shuffled.
-    nodes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "nodes")
+    nodes = stored(some.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "nodes")
     rows = nodes.select(F.explode("buckets").alias("bucket"), "node", "n")
     crowds = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(rows.join(crowds, "bucket"), "buckets")
@@ -196,8 +194,8 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     centres = centred.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("company", -F.col("node"))).alias("centre"))
     fits = OF * F.least("n", "centre.n") >= LIKE * F.greatest("n", "centre.n")
     pairs = shared.join(centres, "bucket").where((F.col("node") != F.col("centre.node")) & fits).select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct()
-    wanted = company.select("node").join(nodes.select("node", "digest"), "node")
-    source = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "digest", "text")
+    wanted = company.select("node").join(nodes.select("node", "id", "digest"), "node")
+    source = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("node", "digest", "text")
     sets = stored(source.mapInArrow(_sets(width), "node long, hashes binary").dropDuplicates(["node"]), "sets")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
@@ -222,19 +220,40 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     named = lambda c: F.coalesce(F.col(f"{c}_comp"), F.col(c))
     joined = more.join(first.select(F.col("node").alias("a"), F.col("comp").alias("a_comp")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", "left")
     second = components(joined.select(named("a").alias("a"), named("b").alias("b")).where("a <> b"))
-    own = nodes.select("digest", "node").join(first, "node", "left").select("digest", F.coalesce("comp", "node").alias("middle"))
-    final = own.join(second.select(F.col("node").alias("middle"), "comp"), "middle", "left").select("digest", F.coalesce("comp", "middle").alias("found"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    own = nodes.select("digest", "id", "node").join(first, "node", "left").select("digest", "id", F.coalesce("comp", "node").alias("middle"))
+    final = stored(own.join(second.select(F.col("node").alias("middle"), "comp"), "middle", "left").select("digest", "id", F.coalesce("comp", "middle").alias("group")), "groups")
+    # Only groups of several sets need their smallest id looked up; of the others it is their own.
+    least = final.groupBy("group").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1").select("group", "least")
+    named_groups = final.join(least, "group", "left").select("digest", "group", F.coalesce("least", "id").alias("found"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "digest").join(named_groups, "digest", "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"), F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+
+
+def _own() -> Column:
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row: its component's smallest id, and whether it is its own.
+
+    ``width`` is the words of a shingle; a text with fewer words is one shingle. A text without words
+    (null, empty, blank) has an empty set and is linked with nothing. Rows with a null ``doc_id`` are
+    linked with nothing: their component is null and they are not kept. A repeated id is one node per
+    set of shingles: rows of one id with different texts are linked each by its own text, and are in
+    one component only if their texts are linked. An empty table gives an empty one; other columns are not read.
+    """
+    return _grouped(docs, width).select("doc_id", "n_shingles", "component_id", _own().alias("kept"))
 
 
 def first_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` that their component of near duplicates keeps; all columns stay.
 
-    Rows that share a ``doc_id`` are one document and leave one row; rows without one stay.
+    Of a component's rows that have its smallest id one text stays, and of equal rows one. So different texts
+    of one id stay each, unless they are near duplicates of one another. Rows without an id stay.
     """
-    name = free_name(docs, "_kept")
-    kept = near_duplicates(docs, width).where("kept").select(F.col("doc_id").alias(name)).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    name, key, free = (free_name(docs, x) for x in ("_kept", "_text_key", "_of_text"))
+    kept = _grouped(docs, width).where(_own()).groupBy("doc_id", F.coalesce("group", "text_key").alias("group")).agg(F.min("text_key").alias("text_key"))
+    kept = kept.select(F.col("doc_id").alias(name), F.col("text_key").alias(free)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    one = keyed.join(kept, (F.col("doc_id").cast("long") == F.col(name)) & (F.col(key) == F.col(free)), "left_semi").dropDuplicates(["doc_id", key]).drop(key)
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
