@@ -18,18 +18,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.labelled import fitting_labels, held_out
+from siftwork.llm.labelled import all_fitting_labels, held_out
 from siftwork.llm.shared import stored
 from siftwork.llm.worker import slices, texts
 
 POSITIVES = 4_000  # confirmed toxic documents in the fit, at most
-UNLABELLED = 12_000  # other documents in the fit, at most
+UNLABELLED = 12_000  # other documents that the gradient is taken on, at most; features are counted over all
 FEATURES = 4_000  # words and beginnings that the classifier weighs, at most
 LEAST = 3  # positives that have a feature, at least
 STANDS_OUT = 4.0  # standard errors between a feature's shares
@@ -39,6 +40,7 @@ ROUNDS = 300
 RATE = 0.05
 DECAY = 1e-4
 THRESHOLD = 0.5
+HELD = 400_000  # counts or words that a task keeps
 
 WORD = r"[^\W\d_]+"
 
@@ -48,10 +50,14 @@ def beginnings(word: str) -> list[str]:
     return [word[:n] + "-" for n in BEGINNINGS if len(word) > n]
 
 
-def features(text: str) -> set:
-    """The words of a whole text, their beginnings, and of each beginning whether several words share it."""
+def features(text: str, known: dict[str, list[str]] | None = None) -> set:
+    """The words of a whole text, their beginnings, and of each beginning whether several words share it.
+
+    ``known`` keeps the beginnings of words between calls."""
     found = set(re.findall(WORD, text.lower()))
-    shared = Counter(b for w in found for b in beginnings(w))
+    known = {} if known is None else known
+    known.update((w, beginnings(w)) for w in found if w not in known)
+    shared = Counter(chain.from_iterable(map(known.__getitem__, found)))
     found.update(shared)
     found.update(f"{b}{n}" for b, count in shared.items() if count > 1 for n in SEVERAL if count >= n)
     return found
@@ -144,28 +150,62 @@ def sampled(docs: DataFrame, known: DataFrame, positives: int, unlabelled: int)
     return stored(texts_of.mapInArrow(run, "kind int, features array<string>"), "toxicity-sample")
 
 
-def telling(sample: DataFrame, most: int = FEATURES) -> list[str]:
-    """The features whose shares among positives exceed those among unlabelled texts most, in standard errors."""
-    sizes = sample.agg(F.coalesce(F.sum("kind"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
-    n_p, n_u = max(1, sizes["p"]), max(1, sizes["n"] - sizes["p"])
-    counts = sample.select("kind", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u")).where(F.col("p") >= LEAST)
+def counted(docs: DataFrame) -> DataFrame:
+    """``feature, u``: in how many of all documents that are not held out a feature is; the empty one is in every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        totals: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["feature", "u"])
+            totals.clear()
+            return out
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for text in texts(part):
+                    totals[""] += 1
+                    totals.update(features(text, known))
+                    # Counts leave before they take more memory than a slice of the table.
+                    if len(totals) > HELD:
+                        yield rows()
+                if len(known) > HELD:
+                    known.clear()
+        yield rows()
+
+    may = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text")
+    return may.mapInArrow(run, "feature string, u long").groupBy("feature").agg(F.sum("u").alias("u"))
+
+
+def telling(sample: DataFrame, totals: DataFrame, most: int = FEATURES) -> list[str]:
+    """The features whose shares among sampled positives exceed those among all documents most, in standard errors."""
+    positive = sample.where("kind = 1")
+    n_p = max(1, positive.count())
+    own = positive.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("p")).where(F.col("p") >= LEAST)
+    # The empty feature comes along with the number of documents.
+    met = stored(own.unionByName(own.sparkSession.createDataFrame([("", 0)], "feature string, p long")).join(totals, "feature"), "toxicity-counts")
+    n_u = max(1, met.where("feature = ''").agg(F.coalesce(F.sum("u"), F.lit(0)).alias("n")).first()["n"])
     both = (F.col("p") + F.col("u")) / F.lit(n_p + n_u)
     error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * F.lit(1 / n_p + 1 / n_u))
-    scored = counts.select("feature", ((F.col("p") / F.lit(n_p) - F.col("u") / F.lit(n_u)) / error).alias("z")).where(F.col("z") >= STANDS_OUT)
+    scored = met.where("feature <> ''").select("feature", ((F.col("p") / F.lit(n_p) - F.col("u") / F.lit(n_u)) / error).alias("z")).where(F.col("z") >= STANDS_OUT)
     return [r["feature"] for r in scored.orderBy(F.desc("z"), "feature").limit(most).collect()]
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
     """The classifier of bounded samples, drawn by a hash of the id.
 
-    Unlabelled texts are drawn from all documents that are not held out, whatever their labels say.
+    Unlabelled texts of the gradient are drawn from all documents that are not held out, whatever their labels
+    say; which features tell is decided by their counts over all of those documents.
     To the driver come at most ``FEATURES`` features and, of each sampled text, which of them it has.
     """
-    known = fitting_labels(labels, "toxic", 1 << 30)
+    known = all_fitting_labels(labels, "toxic")
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     prior = counts["toxic"] / counts["n"] if counts["n"] else 0.5
+    if not counts["toxic"]:
+        return fit([], [], [], prior)
     sample = sampled(docs, known, positives, unlabelled)
-    chosen = telling(sample)
+    chosen = telling(sample, counted(docs))
     place = {f: i for i, f in enumerate(chosen)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
