@@ -290,7 +290,7 @@ def _(t: Inputs) -> DataFrame:
 (SELECT *, row_number() OVER (PARTITION BY query_id, job_id, chunk_key ORDER BY rank) AS rn FROM hits) x WHERE rn = 1""",
 )
 def _(t: Inputs) -> DataFrame:
-    jobs = N.roll_up(N.similar_chunks(t.grouped_chunks, t.grouped_requests, 80))
+    jobs = N.roll_up(N.similar_chunks(t.grouped_chunks, t.grouped_requests, 80), texts=False)
     return jobs.select("query_id", "job_id", F.explode(R.best_per_section(F.col("hits"))).alias("h")).select(
         "query_id", "job_id", "h.chunk_key", "h.uid"
     )

@@ -95,6 +95,38 @@ def test_a_profile_with_many_queries_has_smaller_slices(spark, rows, monkeypatch
     assert found(N.nearest(chunks, queries, 3, "cosine", 0)) == exact(rows, 3)
 
 
+def test_queries_are_held_and_have_k_hits(spark, rows, monkeypatch):
+    """A profile in one slice: the tasks hold a bounded number of queries each and pass on k hits a query, whatever k is."""
+    monkeypatch.setattr(N, "HELD_QUERIES", 16)
+    met, own = [], N.streamed_hits
+    monkeypatch.setattr(N, "streamed_hits", lambda chunks, queries, k, metric: met.append(queries) or own(chunks, queries, k, metric))
+    hot = [r for r in rows[1] if r[0] == "hot" and r[2] and len(r[2]) == 16]
+    chunks, queries = spark.createDataFrame(rows[0], CHUNKS).repartition(16), spark.createDataFrame(hot, QUERIES)
+    hits, _ = N._all_hits(chunks, queries, 10, "cosine", 0, None)
+    assert hits.count() == 10 * len(hot)
+    assert met[0].count() == len(hot) and met[0].groupBy("grp").count().agg(F.max("count")).first()[0] <= 32
+    assert found(N.nearest(chunks, queries, 10, "cosine", 0)) == exact((rows[0], hot), 10)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2sq"])
+def test_single_precision_rules_out_no_neighbour(metric):
+    """Near ties, long and short vectors, zeros and values that single precision can't hold."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1, 24))
+    for scale in (1.0, 1e-3, 1e3, 1e25):
+        chunks = np.concatenate([base + 1e-7 * rng.normal(size=(300, 24)), rng.normal(size=(300, 24)), np.zeros((3, 24))]) * scale
+        queries = np.concatenate([base, rng.normal(size=(5, 24)), np.zeros((1, 24))]) * scale
+        held = N._HeldQueries([str(i) for i in range(7)], queries, np.full(7, np.inf), 9, metric)
+        for start in range(0, len(chunks), 200):
+            part = chunks[start : start + 200]
+            held.add(start + np.arange(len(part)), part, N._Single(part, metric, query=False))
+        held.cut()
+        d = N._distances(chunks, queries, metric)
+        for i in range(7):
+            near = np.sort(d[:, i])[:9]
+            assert np.allclose(held.best[1][held.best[0] == i], near, rtol=1e-9, atol=max(2e-9, 1e-12 * scale**2))
+
+
 # The approximate index
 
 
