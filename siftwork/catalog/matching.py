@@ -208,7 +208,7 @@ def _index(t: Inputs) -> I.Index:
 @query("ann_candidates")
 def _(t: Inputs) -> DataFrame:
     """Candidates of every request from the probed lists, up to a distance of 0.6."""
-    found = I.search_index(_index(t), t.requests, 50)
+    found = I.search_index(_index(t), t.requests, 50, max_distance=0.605)
     return found.where(F.col("distance") <= 0.605).select("query_id", "uid", "distance")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import vectors as V
-from siftwork.operators.retrieval import best_hits, streamed_hits
+from siftwork.operators.retrieval import _shuffled_hits, best_hits
 
 SAMPLE = 20_000  # chunks the centroids are fitted on, at most
 CELLS = 4_096  # lists, at most
@@ -214,23 +214,20 @@ def _probing(centroids: np.ndarray, metric: str, probes: int):
     return run
 
 
-def search_index(index: Index, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+def search_index(index: Index, queries: DataFrame, k: int, probes: int | None = None, max_distance: float | None = None) -> DataFrame:
     """The k nearest chunks per query within its profile, among the probed lists: (query_id, uid, distance, rank).
 
     ``queries`` has (profile, query_id, query_vec), one row a query id. ``probes`` is by default what the
-    index measured; as many as there are cells give the exact answer. Ties go to the smaller uid. A task
-    holds one slice of a list while the queries that probe it stream past.
+    index measured; as many as there are cells give the exact answer. Ties go to the smaller uid. Chunks farther than
+    ``max_distance`` are left out. A task holds a block of queries while the lists that they probe stream past, so
+    neither a query nor its hits are repeated for each list.
     """
     probes = index.probes if probes is None else max(1, min(probes, index.cells))
     lists = index.lists
     asked = queries.select(F.col("profile").cast("string"), F.col("query_id").cast("string").alias("query_id"), "query_vec").where(F.size("query_vec") > 0)
-    kind = asked.schema["query_vec"].dataType.simpleString()
-    probed = asked.mapInArrow(_probing(index.centroids, index.metric, probes), f"profile string, query_id string, query_vec {kind}, cells array<int>")
-    probed = probed.withColumn("cell", F.explode("cells")).drop("cells").join(index.sizes, ["profile", "cell"])
-    probed = probed.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_slices") - 1)))
-    group = F.concat_ws("/", "cell", "part", "slice", "profile").alias("grp")
     if probes < index.cells:
+        kind = asked.schema["query_vec"].dataType.simpleString()
+        asked = asked.mapInArrow(_probing(index.centroids, index.metric, probes), f"profile string, query_id string, query_vec {kind}, cells array<int>")
         # One row per list at most; lists that nobody probes aren't read.
-        lists = lists.join(F.broadcast(probed.select("cell").distinct()), "cell", "left_semi")
-    hits = streamed_hits(lists.select(group, "uid", "embedding"), probed.select(group, "query_id", "query_vec", F.lit(None).cast("double").alias("bound")), k, index.metric)
-    return best_hits(hits, k)
+        lists = lists.join(F.broadcast(asked.select(F.explode("cells").alias("cell")).distinct()), "cell", "left_semi")
+    return best_hits(_shuffled_hits(lists, asked, k, index.metric, max_distance=max_distance), k, 1)

@@ -197,3 +197,13 @@ def test_an_empty_index(spark, rows, tmp_path):
     assert ivf.search_index(own, queries, 5).collect() == []
     ivf.add_to_index(own, chunks)
     assert found(ivf.search_index(own, queries, 5, own.cells)) == exact(rows, 5)
+
+
+def test_a_query_moves_once_however_many_lists_it_probes(spark, rows, index, monkeypatch):
+    met, own = [], N.streamed_hits
+    monkeypatch.setattr(N, "streamed_hits", lambda chunks, queries, k, metric: met.append(queries) or own(chunks, queries, k, metric))
+    _, queries = frames(spark, rows)
+    hits = found(ivf.search_index(index, queries, 9, index.cells - 1))
+    assert met and met[0].groupBy("query_id").count().agg(F.max("count")).first()[0] == 1
+    near = found(ivf.search_index(index, queries, 9, index.cells - 1, max_distance=0.4))
+    assert near == {h for h in hits if h[2] <= 0.4}
