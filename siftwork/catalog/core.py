@@ -21,8 +21,8 @@ TABLES = (
     "conversations"
 ).split()
 
-# Tables whose rows are texts, on which per-row work dominates.
-TEXT_TABLES = {"documents", "pages"}
+# Tables whose rows are texts or become texts (profiles of customers), on which per-row work dominates.
+TEXT_TABLES = {"documents", "pages", "customer"}
 
 AS_OF = "2025-01-31 00:00:00"
 AS_OF_SECONDS = 1738281600

@@ -493,6 +493,9 @@ def _(t: Inputs) -> DataFrame:
     named = chunks.join(meta, ["profile", "job_id"]).withColumn(
         "uid", chunk_uid(F.col("job_id"), F.col("chunk_key"), F.col("model_name"))
     )
+    # The search reads vectors twice and texts once, so the postings are cut and encoded once and kept.
+    folder = f"{shared_dir(t.spark)}/chunks-{uuid.uuid4().hex}"
+    named.write.parquet(folder)
     requests = t.tenants.select(F.col("profile").alias("query_id"), "profile", F.lit("").alias("user_text"))
-    rows = semantic_match(named, match_requests(t.tenants, requests))
+    rows = semantic_match(t.spark.read.schema(named.schema).parquet(folder), match_requests(t.tenants, requests))
     return rows.select("query_id", "final_rank", "job_id", "final_score", "match_reason")
