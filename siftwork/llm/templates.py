@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ LEAST = 13  # agreeing tokens in a row, or a whole item where that is shorter
 WORDS = 0.5  # share of them that are words and not slots, at least, where a slot's value differs
 BLOCK_BYTES = 32 << 20
 TABLE_BITS = 22
+TOGETHER = 1 << 14  # words of texts whose windows are made together, some
 READINGS = 4096  # windows whose readings are made at once, at most 2^WINDOW each
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,6 +100,17 @@ class Tokens:
         return keys, places
 
 
+class Places(dict):
+    """Where the token of each known word is kept; ``add`` places a new word."""
+
+    def __init__(self, add: Callable[[str], int]):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        return self.add(word)
+
+
 class Templates:
     """The template token of each word; kept for known words."""
 
@@ -108,7 +120,7 @@ class Templates:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places(self.add)
         self.lows, self.slots, self.ends = array("Q"), array("B"), array("B")
 
     def add(self, word: str) -> int:
@@ -126,17 +138,15 @@ class Templates:
         at = self.place[word] = len(self.place)
         return at
 
-    def of(self, words: list[str]) -> Tokens:
-        """The tokens of a text."""
+    def of(self, words: list[str], starts: np.ndarray | None = None) -> Tokens:
+        """The tokens of a text, or of several in a row that begin at ``starts``."""
         if len(self.place) > self.limit:
             self.clear()
-        place = self.place
-        at = [place.get(w) for w in words]
-        if None in at:
-            at = [place[w] if w in place else self.add(w) for w in words]
-        at = np.array(at, np.int64)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         view = lambda x, kind: np.frombuffer(x, kind)[at]
         first = np.concatenate(([True], view(self.ends, np.uint8)[:-1] != 0)) if len(at) else np.empty(0, bool)
+        if starts is not None:
+            first[starts] = True
         slot = view(self.slots, np.uint8)
         return Tokens(view(self.lows, np.uint64), slot, (slot != WORD) & ~(first & (slot == NAME)))
 
@@ -204,18 +214,43 @@ class Benchmark:
 
     def matches(self, text: str, own: Templates) -> list[tuple[int, int, int]]:
         """``item_id, first word, number of words`` of each passage of an item in a text, in order."""
-        words = text.split()
-        if not words:
-            return []
-        found = self.in_letters(text, words)
-        if not self.short and (len(words) < WINDOW or not len(self.keys)):
-            return sorted(set(found))
-        tokens = own.of(words)
-        for exact in self.short:
-            found += [(i, at, exact.width) for at, (i, low) in exact.hits(tokens.low) if np.array_equal(tokens.low[at : at + exact.width], low)]
-        if len(words) >= WINDOW and len(self.keys):
-            found += self.in_windows(words, tokens)
-        return sorted(set(found))
+        return self.matches_of([text], own)[0]
+
+    def matches_of(self, texts: list[str], own: Templates) -> list[list[tuple[int, int, int]]]:
+        """``matches`` of each text; texts of some ``TOGETHER`` words share their array operations."""
+        out, held, count = [], [], 0
+        for text in texts:
+            words = text.split()
+            held.append((text, words))
+            count += len(words)
+            if count >= TOGETHER:
+                out += self._together(held, own)
+                held, count = [], 0
+        return out + self._together(held, own)
+
+    def _together(self, held: list[tuple[str, list[str]]], own: Templates) -> list[list[tuple[int, int, int]]]:
+        found = [self.in_letters(text, words) if words else [] for text, words in held]
+        sizes = np.array([len(words) for _, words in held], np.int64)
+        ends = np.cumsum(sizes)
+        if len(sizes) and (self.short or (len(self.keys) and sizes.max() >= WINDOW)) and ends[-1]:
+            starts = ends - sizes
+            tokens = own.of([w for _, words in held for w in words], starts[sizes > 0])
+            part = lambda i: Tokens(*(x[starts[i] : ends[i]] for x in (tokens.low, tokens.slot, tokens.sure)))
+            for exact in self.short:
+                for i in np.flatnonzero(sizes).tolist():
+                    low = tokens.low[starts[i] : ends[i]]
+                    found[i] += [(item, at, exact.width) for at, (item, wanted) in exact.hits(low) if np.array_equal(low[at : at + exact.width], wanted)]
+            if len(self.keys) and ends[-1] >= WINDOW:
+                windows, places = tokens.windows()
+                maybe = np.flatnonzero(self.table[(windows >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+                maybe = maybe[np.argsort(places[maybe], kind="stable")]
+                text = np.searchsorted(ends, places[maybe], side="right")
+                inside = places[maybe] + WINDOW <= ends[text]
+                maybe, text = maybe[inside], text[inside]
+                names, first = np.unique(text, return_index=True)
+                for i, some in zip(names.tolist(), np.split(maybe, first[1:])):
+                    found[i] += self.in_windows(held[i][1], part(i), windows[some], places[some] - starts[i])
+        return [sorted(set(x)) for x in found]
 
     def letters(self, text: str) -> str:
         return self.dropped.sub("", text.lower())
@@ -238,17 +273,12 @@ class Benchmark:
                     found.append((item_id, first, last - first + 1))
         return found
 
-    def in_windows(self, words: list[str], tokens: Tokens) -> list[tuple[int, int, int]]:
-        """The passages found by windows."""
-        windows, places = tokens.windows()
-        maybe = np.flatnonzero(self.table[(windows >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        if not len(maybe):
-            return []
-        maybe = maybe[np.argsort(places[maybe], kind="stable")]
-        low = np.searchsorted(self.keys, windows[maybe], side="left")
-        high = np.searchsorted(self.keys, windows[maybe], side="right")
+    def in_windows(self, words: list[str], tokens: Tokens, windows: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int]]:
+        """The passages found by windows that may be of an item, in the order of their places."""
+        low = np.searchsorted(self.keys, windows, side="left")
+        high = np.searchsorted(self.keys, windows, side="right")
         found, seen = [], {}
-        for at, a, b in zip(places[maybe].tolist(), low.tolist(), high.tolist()):
+        for at, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
             for k in range(a, b):
                 item, start = int(self.item[k]), int(self.start[k])
                 if seen.get((item, at - start), -1) >= at:  # inside a run that has been looked at
@@ -348,7 +378,7 @@ def _probed(docs: DataFrame, rows, column: str) -> DataFrame:
         own, table = memo("templates", Templates), memo(("benchmark", xxhash.xxh3_64_hexdigest(repr(block))), lambda: Benchmark(block))
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [before + [{"item_id": i, "start": s, "length": n} for i, s, n in table.matches(x, own)] for x, before in zip(texts(part), part.column(column).to_pylist())]
+                found = [before + [{"item_id": i, "start": s, "length": n} for i, s, n in new] for new, before in zip(table.matches_of(texts(part), own), part.column(column).to_pylist())]
                 columns = [part.column(i) for i in range(part.num_columns)]
                 columns[place] = pa.array(found, kind)
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)

@@ -334,6 +334,22 @@ def test_templates_catch_changed_slots(spark):
     assert {r["doc_id"] for r in several if r["matches"]} >= {1, 2, 3}
 
 
+def test_texts_matched_together_share_no_window():
+    """Many texts at once give what each gives alone, and array operations are not paid per text."""
+    own, item = templates.Templates(), templates.Benchmark([(4, ITEM), (5, "we know that")])
+    words = ITEM.split()
+    texts = [" ".join(words[:7]), " ".join(words[7:]), "", "we know that", "x " + ITEM, "we know", "that " + ITEM + " y", ITEM] * 3
+    made = []
+    windows = templates.Tokens.windows
+    try:
+        templates.Tokens.windows = lambda self: made.append(len(self)) or windows(self)
+        together = item.matches_of(texts, own)
+    finally:
+        templates.Tokens.windows = windows
+    assert together == [item.matches(x, templates.Templates()) for x in texts] and any(together)
+    assert len(made) == 1
+
+
 def test_slots_must_be_filled_consistently():
     own = templates.Templates()
     text = "On Monday the 12 boys gave 12 coins to the 7 girls who then gave 7 coins back to the 12 boys again"
