@@ -9,22 +9,42 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 
 
 def memo(key: Any, make: Callable[[], Any]) -> Any:
-    """A value built once per worker process.
+    """A value built once per worker process and stage.
 
     The package is pickled into the tasks, so its module globals live for one task only; a
     reused worker keeps this table on ``sys`` instead.
     """
-    kept = sys.__dict__.setdefault("_siftwork_llm_memo", {})
+    kept = _kept()
     if key not in kept:
         kept[key] = make()
     return kept[key]
 
 
+def _kept() -> dict[Any, Any]:
+    """The values of the running stage.
+
+    A worker serves one stage after another, and what earlier ones learned (models, caches) would
+    add up; so a new stage lets it go, and the freed memory goes back to the machine.
+    """
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    held = sys.__dict__.setdefault("_siftwork_llm_memo", {})
+    if held.get("stage", stage) != stage:
+        held["values"] = None
+        pa.default_memory_pool().release_unused()
+    if held.get("values") is None:
+        held["values"] = {}
+    held["stage"] = stage
+    return held["values"]
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch whose ``column`` holds about ``most_bytes`` each, one row at least."""
+    _kept()  # also stages that keep nothing let go of what is left of others
     if not batch.num_rows:
         return
     sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], dtype=_offset(batch, column), count=batch.num_rows + 1 + batch.column(column).offset)[batch.column(column).offset :])
