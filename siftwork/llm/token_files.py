@@ -23,7 +23,8 @@ from siftwork.llm.tokens import encoder
 from siftwork.llm.worker import slices, texts
 
 BLOCK = 1 << 16
-KEPT = 500_000  # items and pieces whose ids a worker keeps, some 100 MB each
+SLICE = 6 << 20  # bytes of text, or of payloads, that a worker has as Python objects at a time
+KEPT = 500_000  # items whose ids a worker keeps, twice as many at most and some 200 MB in all
 
 FORMAT = "part int, block int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
@@ -52,7 +53,7 @@ def encode_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "block", "first", "n_tokens", "doc_ids", "doc_tokens", "payload"])
 
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):
+            for piece in slices(batch, "text", SLICE):
                 found, at = own.encode(texts(piece))
                 for i, doc_id in enumerate(piece.column("doc_id").to_pylist()):
                     ids += [found[at[i] : at[i + 1]], np.array([end_id], "<u4")]
@@ -88,12 +89,17 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.join(F.broadcast(bases), "part")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for piece in slices(batch, "payload", SLICE):
+        yield from piece.to_pylist()
+
+
 def digests(blocks: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the unpacked payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids = simple8b.decode(row["payload"]).astype("<u4")
                 sizes = np.array(row["doc_tokens"])
                 starts = np.cumsum(sizes) - sizes
@@ -109,7 +115,7 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids = simple8b.decode(row["payload"]).astype(np.int64)
                 ends = np.cumsum([0, *row["doc_tokens"]])
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array([ids[a:b] for a, b in zip(ends, ends[1:])], pa.list_(pa.int64()))], names=["doc_id", "ids"])

@@ -27,6 +27,7 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+
 CERTAIN = rf"[\t\n\r\x20-\x7e{LETTERS}]*"
 
 FIRST = "\ue000"  # a private-use letter that marks the item which starts a text and so has no blank before it
+GATHERED = 1 << 15  # items whose ids are put in place at a time
 WHOLE = None  # cache value of an item whose text has to be encoded whole
 
 
@@ -51,11 +52,12 @@ class Generations:
 
 
 class Encoder:
-    """Ids of texts by one tokenizer file; ``limit`` bounds each of its two caches."""
+    """Ids of texts by one tokenizer file; ``limit`` bounds its cache of items, half of it that of pieces."""
 
     def __init__(self, path: str, limit: int = 250_000):
         self.path, self.limit = path, limit
-        self.items, self.pieces = Generations(limit), Generations(limit)
+        # Only items not seen lately are cut into pieces, and most of those are new as pieces too.
+        self.items, self.pieces = Generations(limit), Generations(max(1, limit // 2))
         self.pattern, self.certain = re.compile(PIECES), re.compile(CERTAIN)
         self.letters = byte_letters()
         self.specials: list[str] = []
@@ -100,15 +102,12 @@ class Encoder:
             parts = [self.whole(x) for x in texts]
             return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         items, keys, known, bounds, values = self._looked_up(texts)
-        sizes = np.fromiter((len(v) // 4 if v else 0 for v in values), np.int64, len(values))
-        pool = np.frombuffer(b"".join(v or b"" for v in values), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        counts = sizes[items]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        # Places in the pool; 32 bits do for a batch, and half the memory.
-        at = np.repeat((starts[items] - ends[:-1]).astype(np.int32), counts)
-        at += np.arange(ends[-1], dtype=np.int32)
-        ids = pool[at]
+        found = values if known.all() else [v or b"" for v in values]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        ends = np.zeros(len(items) + 1, np.int64)
+        np.cumsum(sizes[items], out=ends[1:])
+        ids = _gathered(pool, sizes, items, ends)
         offsets = ends[bounds]
         odd = self._odd(texts, items, known, bounds)
         if not odd:
@@ -131,14 +130,16 @@ class Encoder:
         return out
 
     def _looked_up(self, texts: list[str], frequent: dict[str, int] | None = None):
-        lists = pc.split_pattern(pa.array([FIRST + x for x in texts], pa.large_string()), " ")
-        coded = lists.flatten().dictionary_encode()
-        keys, items, bounds = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
-        values = list(map(frequent.get, keys)) if frequent else [None] * len(keys)
-        rest = [i for i, v in enumerate(values) if v is None] if frequent else range(len(keys))
+        # Marked by Arrow: a marked Python string would take two bytes a letter, and as many again once it is encoded.
+        mark, nothing = pa.scalar(FIRST, pa.large_string()), pa.scalar("", pa.large_string())
+        lists = pc.split_pattern(pc.binary_join_element_wise(mark, pa.array(texts, pa.large_string()), nothing), " ")
+        bounds, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        del lists
+        keys, items = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         recent, older = self.items.recent, self.items.older
+        values = list(map((frequent or recent).get, keys))
         new = []
-        for i in rest:
+        for i in [i for i, v in enumerate(values) if v is None]:
             key = keys[i]
             if key in recent:
                 values[i] = recent[key]
@@ -150,7 +151,7 @@ class Encoder:
             for i, v in zip(new, self._made([keys[i] for i in new])):
                 values[i] = recent[keys[i]] = v
         self.items.turn()
-        known = np.fromiter((v is not WHOLE for v in values), bool, len(values))
+        known = np.fromiter((v is not WHOLE for v in values), bool, len(values)) if WHOLE in values else np.ones(len(values), bool)
         return items, keys, known, bounds, values
 
     def _odd(self, texts: list[str], items: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> set[int]:
@@ -179,7 +180,7 @@ class Encoder:
                 for p in found:
                     if p not in recent:
                         recent[p] = older.get(p) or self._merged(p)
-                out.append(b"".join([recent[p] for p in found]))
+                out.append(recent[found[0]] if len(found) == 1 else b"".join([recent[p] for p in found]))
             else:
                 out.append(self.whole(text).tobytes())
         self.pieces.turn()
@@ -190,6 +191,18 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
+def _gathered(pool: np.ndarray, sizes: np.ndarray, items: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ids of all items one after another; places are made for ``GATHERED`` items at a time, so they stay small."""
+    ids = np.empty(ends[-1], pool.dtype)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    for i in range(0, len(items), GATHERED):
+        some, low, high = items[i : i + GATHERED], ends[i], ends[min(i + GATHERED, len(items))]
+        at = np.repeat(starts[some] - (ends[i : i + len(some)] - low), sizes[some])
+        at += np.arange(high - low)
+        np.take(pool, at, out=ids[low:high])
+    return ids
+
+
 def encoder(path: str, limit: int = 250_000) -> Encoder:
     """The worker's own encoder of a file, with its caches, kept between tasks."""
     return memo(("encoder", path, limit), lambda: Encoder(path, limit))
