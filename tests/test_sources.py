@@ -113,6 +113,14 @@ def test_boards_are_scanned_once(spark, as_of, tmp_path):
     assert len(whole) - len(others) == 1
 
 
+def test_filters_on_comments_do_not_parse_payloads_again(spark, as_of, tmp_path):
+    raw_rows(spark, *all_payloads()).write.parquet(str(tmp_path / "raw"))
+    rows = L.normalize_thread(spark.read.parquet(str(tmp_path / "raw")), as_of)
+    plan = rows.where(F.contains("title", F.lit("Engineer")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan
+    assert not [x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter") and "from_json" in x]
+
+
 def test_fixed_columns_are_built_once(spark, as_of):
     raw = raw_rows(spark, *all_payloads())
     L.normalize_all(raw, as_of)
