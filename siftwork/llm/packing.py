@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from siftwork.llm.token_files import in_order
+from siftwork.llm.token_files import KEPT, in_order
 from siftwork.llm.tokens import Encoder, encoder
 from siftwork.llm.worker import memo, slices, texts
 
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = encoder(path), TaskContext.get().partitionId()
+        own, part = encoder(path, KEPT), TaskContext.get().partitionId()
         ends = memo(("sentence_ends", path), lambda: sentence_ends(own))
         sequence = part << 32
         stream: list[np.ndarray] = []

@@ -24,7 +24,7 @@ from siftwork.llm.worker import slices, texts
 
 BLOCK = 1 << 16
 SLICE = 6 << 20  # bytes of text, or of payloads, that a worker has as Python objects at a time
-KEPT = 500_000  # items whose ids a worker keeps, twice as many at most and some 200 MB in all
+KEPT = 500_000  # items whose ids a worker keeps, twice as many at most and some 50 MB in all
 
 FORMAT = "part int, block int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
