@@ -19,17 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.fmindex import FMIndex
 from siftwork.llm.shared import free_name, stored
-from siftwork.llm.worker import mixed, shingle_hashes, slices, texts, word_hashes
+from siftwork.llm.worker import memo, mixed, shingle_hashes, slices, texts
 
 WINDOW, GRAM = 20, 5
 CROWD = 20_000
 SHARD = 1 << 20  # symbols of an index, about
 BYTES = 5  # of a word's hash in a stored segment
+HASHED = 1 << 20  # bytes of text whose words are hashed at a time, one text at least
+LONG = 256  # bytes; longer words have a hash of their own
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 ODD = 0x9E3779B97F4A7C15
 
@@ -45,18 +49,69 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def digests(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """A hash of each run of words from ``start`` to ``stop``, wherever it stands."""
-    up, down = powers(len(words) + 1)
+    kept = memo("powers", dict)
+    if len(kept.get("powers", [()])[0]) <= len(words):
+        kept["powers"] = powers(len(words) + 1)
+    up, down = kept["powers"]
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)))
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * up[: len(words)], out=total[1:])
         return mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
-def segments(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each segment of a text of ``WINDOW`` words or more."""
+def hashed(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after another, and where each text's begin, with the end."""
+    raw = b"\n".join([b"", *found, b""])
+    letters = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(BLANK[letters])) + 1
+    start, stop = edges[::2], edges[1::2]
+    out = digests(mixed(np.arange(1, 257, dtype=np.uint64))[letters], start, stop)
+    for i in np.flatnonzero(stop - start > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : stop[i]])
+    begins = np.cumsum([1, *(len(x) + 1 for x in found)])
+    return out, np.searchsorted(start, begins)
+
+
+def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed`` of the texts of a batch, a bounded number of bytes at a time."""
+    words, bounds, held, size, total = [], [np.zeros(1, np.int64)], [], 0, 0
+    found = [x.encode() for x in texts(part)]
+    for i, text in enumerate(found, 1):
+        held.append(text)
+        size += len(text) + 1
+        if size >= HASHED or i == len(found):
+            some, ends = hashed(held)
+            words.append(some)
+            bounds.append(ends[1:] + total)
+            total += len(some)
+            held, size = [], 0
+    return np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate(bounds)
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least value in each run of ``width``, the first of equal ones."""
+    at, span = np.arange(len(values), dtype=np.int32), 1
+    while span < width:
+        step = min(span, width - span)
+        later = values[step:] < values[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        values = np.where(later, values[step:], values[:-step])
+        span += step
+    return at
+
+
+def segments(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, text, first window (by its place among all words) and number of windows of each segment of the texts."""
+    counts = np.maximum(np.diff(bounds) - WINDOW + 1, 0)
+    if not counts.any():
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none
     grams = shingle_hashes(words, GRAM)
-    at = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).argmin(axis=1) + np.arange(len(words) - WINDOW + 1)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    windows = np.arange(len(owner)) + np.repeat(bounds[:-1] - np.cumsum(counts) + counts, counts)
+    at = least(grams, WINDOW - GRAM + 1)[windows]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return grams[at[first]], first, np.diff(np.append(first, len(at)))
+    return grams[at[first]], owner[first], windows[first], np.diff(np.append(first, len(at)))
 
 
 SEGMENT = "anchor long, digest long, doc_id long, start int, windows int, state int"
@@ -67,14 +122,11 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     1: it has not, but it comes again; 0: it comes once. Only states 0 and 1 need to meet by anchor."""
     for batch in batches:
         for part in slices(batch, "text", 8 << 20):
-            found = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part)):
-                words = word_hashes(text.encode().split())
-                if len(words) >= WINDOW:
-                    anchor, first, count = segments(words)
-                    found.append((anchor, digests(words, first, first + count + WINDOW - 1), np.full(len(first), doc_id), first, count))
-            if found:
-                anchor, digest, doc, start, count = (np.concatenate(c) for c in zip(*found))
+            words, bounds = words_of(part)
+            anchor, owner, first, count = segments(words, bounds)
+            if len(anchor):
+                digest = digests(words, first, first + count + WINDOW - 1)
+                doc, start = part.column("doc_id").to_numpy(zero_copy_only=False)[owner], first - bounds[owner]
                 _, place, where, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
                 state = np.full(len(anchor), 2)
                 state[place] = (times > 1).astype(np.int64)
@@ -91,20 +143,25 @@ def _stored_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The words of the first copies of segments, as hashes."""
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = []
-            for doc_id, text, wanted in zip(part.column("doc_id").to_pylist(), texts(part), part.column("firsts").to_pylist()):
-                words = word_hashes(text.encode().split())
-                raw = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
-                starts = np.array([w["start"] for w in wanted])
-                ends = starts + np.array([w["windows"] for w in wanted]) + WINDOW - 1
-                inside = ends <= len(words)
-                real = digests(words, np.where(inside, starts, 0), np.where(inside, ends, 0)).view(np.int64)
-                for w, a, b, d in zip(wanted, starts.tolist(), ends.tolist(), real.tolist()):
-                    if d == w["digest"]:  # else another row has the same id and other words
-                        rows.append((w["anchor"], d, doc_id, a, w["windows"], raw[a:b].tobytes()))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in STORED.split(", ")])
+            words, bounds = words_of(part)
+            wanted = part.column("firsts")
+            own = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy())
+            anchor, digest, at, windows = (x.to_numpy() for x in wanted.flatten().flatten())
+            start = bounds[own] + at
+            stop = start + windows + WINDOW - 1
+            inside = stop <= bounds[own + 1]
+            real = digests(words, np.where(inside, start, 0), np.where(inside, stop, 0)).view(np.int64)
+            good = inside & (real == digest)  # else another row has the same id and other words
+            start, sizes = start[good], (stop - start)[good]
+            if not len(start):
+                continue
+            raw = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
+            ends = np.cumsum(sizes)
+            data = raw[np.arange(ends[-1]) + np.repeat(start - ends + sizes, sizes)]
+            offsets = np.concatenate(([0], ends * BYTES)).astype(np.int32)
+            columns = [anchor[good], digest[good], part.column("doc_id").to_numpy(zero_copy_only=False)[own][good], at[good], windows[good]]
+            kept = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), kept], names=[c.split()[0] for c in STORED.split(", ")])
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +208,15 @@ def _crowded_repeats(docs: DataFrame, anchors: list[int], hot: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                found = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts(part)):
-                    words = word_hashes(text.encode().split())
-                    if len(words) < WINDOW:
-                        continue
-                    anchor, first, count = segments(words)
-                    inside = np.flatnonzero(np.repeat(np.isin(anchor.view(np.int64), known.value), count))
-                    if len(inside):
-                        found.append((digests(words, inside, inside + WINDOW), np.full(len(inside), doc_id), inside))
-                if found:
-                    key, doc, start = (np.concatenate(c) for c in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(start, pa.int32())], names=["key", "doc_id", "start"])
+                words, bounds = words_of(part)
+                anchor, owner, first, count = segments(words, bounds)
+                crowded = np.isin(anchor.view(np.int64), known.value)
+                owner, first, count = owner[crowded], first[crowded], count[crowded]
+                if len(first):
+                    owner = np.repeat(owner, count)
+                    at = np.arange(len(owner)) + np.repeat(first - np.cumsum(count) + count, count)
+                    key, doc = digests(words, at, at + WINDOW), part.column("doc_id").to_numpy(zero_copy_only=False)[owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(at - bounds[owner], pa.int32())], names=["key", "doc_id", "start"])
 
     windows = stored(docs.mapInArrow(run, "key long, doc_id long, start int"), "windows")
     firsts = stored(windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "window_firsts")

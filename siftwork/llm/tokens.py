@@ -90,7 +90,7 @@ class Known:
         stay = np.concatenate((others[max(0, len(others) - max(0, self.limit - int(lately.sum()))) :], np.flatnonzero(lately)))
         sizes = np.maximum(self.sizes, 0)
         ends = np.concatenate(([0], np.cumsum(sizes[stay], dtype=np.int64)))
-        self.pool = _gathered(self.pool, sizes, stay, ends)
+        self.pool = _gathered(self.pool, np.cumsum(sizes, dtype=np.int64) - sizes, sizes, stay, ends)
         self.keys, self.sizes = self.keys.take(pa.array(stay)), self.sizes[stay]
 
 
@@ -161,14 +161,14 @@ class Encoder:
             parts = [self.whole(x) for x in texts]
             return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         items, bounds, found, sizes, pool = self._looked_up(texts)
-        known = sizes >= 0
-        sizes = np.maximum(sizes, 0)
-        places = found[items]
+        known, sizes = sizes >= 0, np.maximum(sizes, 0)
+        starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[found]
+        known, sizes = known[found], sizes[found]
         ends = np.zeros(len(items) + 1, np.int64)
-        np.cumsum(sizes[places], out=ends[1:])
-        ids = _gathered(pool, sizes, places, ends)
+        np.cumsum(sizes[items], out=ends[1:])
+        ids = _gathered(pool, starts, sizes, items, ends)
         offsets = ends[bounds]
-        odd = self._odd(texts, places, known, bounds)
+        odd = self._odd(texts, items, known, bounds)
         if not odd:
             return ids, offsets
         parts = [self.whole(x) if i in odd else ids[offsets[i] : offsets[i + 1]] for i, x in enumerate(texts)]
@@ -300,10 +300,9 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
-def _gathered(pool: np.ndarray, sizes: np.ndarray, items: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The ids of all items one after another; places are made for ``GATHERED`` items at a time, so they stay small."""
     ids = np.empty(ends[-1], pool.dtype)
-    starts = np.cumsum(sizes, dtype=np.int64) - sizes
     for i in range(0, len(items), GATHERED):
         some, low, high = items[i : i + GATHERED], ends[i], ends[min(i + GATHERED, len(items))]
         at = np.repeat(starts[some] - (ends[i : i + len(some)] - low), sizes[some])
