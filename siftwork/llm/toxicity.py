@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,12 @@ ROUNDS = 300
 RATE = 0.05
 DECAY = 1e-4
 THRESHOLD = 0.5
-HELD = 400_000  # counts or words that a task keeps
+HELD = 800_000  # words and beginnings that a task keeps, about
+CHARACTERS = 16  # of a kept word, on average
 
 WORD = r"[^\W\d_]+"
+# Of an ASCII text: letters in lower case, all else as white space.
+LETTERS = bytes(ord(chr(c).lower()) if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 
 
 def beginnings(word: str) -> list[str]:
@@ -63,33 +67,103 @@ def features(text: str, known: dict[str, list[str]] | None = None) -> set:
     return found
 
 
+class Lexicon:
+    """Which words texts have, and how many words of each beginning; found in array operations over many texts.
+
+    Words and beginnings are numbered when first met, and kept until ``full``."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.beginnings = numbers(), numbers()
+        # Of each word its longest beginning, of each beginning the next shorter one; -1: none.
+        self.longest, self.shorter = array("q"), array("q")
+        self.characters = 0
+
+    def full(self) -> bool:
+        return len(self.words) + len(self.beginnings) > HELD or self.characters > CHARACTERS * HELD
+
+    def learn(self) -> None:
+        """Numbers the beginnings of the words that have come since the last call."""
+        number, least, most = self.beginnings, BEGINNINGS[0], BEGINNINGS[-1]
+        for w in islice(self.words, len(self.longest), None):
+            self.characters += len(w)
+            self.longest.append(number[w[: min(len(w) - 1, most)]] if len(w) > least else -1)
+        while len(self.shorter) < len(number):
+            for b in list(islice(number, len(self.shorter), None)):
+                self.shorter.append(number[b[:-1]] if len(b) > least else -1)
+
+    def found(self, many: list[str], wanted: Callable[[], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+        """Each text's distinct words (places of text and word), and its beginnings (text, beginning, how many words).
+
+        Of the beginnings only those that ``wanted``, called when all are numbered, is true for."""
+        cut = [set(words_of(text)) for text in many]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        rows = np.repeat(np.arange(len(cut)), sizes)
+        words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64, len(rows))
+        self.learn()
+        count = max(1, len(self.beginnings))
+        shorter = np.array(self.shorter, np.int64)
+        right = None if wanted is None else wanted()
+        owners, starts, keys = rows, np.array(self.longest, np.int64)[words], [np.zeros(0, np.int64)]
+        while len(starts):
+            owners, starts = owners[starts >= 0], starts[starts >= 0]
+            keys.append((owners * count + starts)[... if right is None else right[starts]])
+            starts = shorter[starts]
+        pairs, shared = np.unique(np.concatenate(keys), return_counts=True)
+        return rows, words, *np.divmod(pairs, count), shared
+
+
+def words_of(text: str) -> list[str]:
+    """All words of a text, in lower case."""
+    # Of ASCII only letters make words; bytes are cut several times faster than by the expression.
+    return text.encode().translate(LETTERS).decode().split() if text.isascii() else re.findall(WORD, text.lower())
+
+
+def numbers() -> defaultdict[str, int]:
+    """Numbers strings by when they are first asked for."""
+    found: defaultdict[str, int] = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
 @dataclass
 class Linear:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
-    words: dict[str, tuple] = field(default_factory=dict)
-    stems: set | None = None
+    lexicon: Lexicon = field(default_factory=Lexicon)
+    of_word: array = field(default_factory=lambda: array("d"))
+    of_start: list[array] = field(default_factory=lambda: [array("d") for _ in ("", *SEVERAL)])
 
     def score(self, text: str) -> float:
-        """The probability that a text is toxic. Each feature counts once, wherever it stands."""
-        words, weights = self.words, self.weights
-        if self.stems is None:
-            self.stems = {f.rstrip("0123456789") for f in weights if "-" in f}
-        found: set = set()
-        shared: Counter = Counter()
-        for w in set(re.findall(WORD, text.lower())):
-            known = words.get(w)
-            if known is None:
-                if len(words) > 300_000:
-                    words.clear()
-                known = words[w] = (w in weights, [b for b in beginnings(w) if b in self.stems])
-            if known[0]:
-                found.add(w)
-            shared.update(known[1])
-        for b, count in shared.items():
-            found.update(f for f in (b, *(f"{b}{n}" for n in SEVERAL if count >= n)) if f in weights)
-        total = self.bias + math.fsum(weights[f] for f in found)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+        return self.scores([text])[0]
+
+    def learn(self) -> np.ndarray:
+        """Looks up the weights of new words and beginnings; 0 where there is none."""
+        weight = self.weights.get
+        self.of_word.extend([weight(w, 0.0) for w in islice(self.lexicon.words, len(self.of_word), None)])
+        for own, n in zip(self.of_start, ("", *SEVERAL)):
+            own.extend([weight(f"{b}-{n}", 0.0) for b in islice(self.lexicon.beginnings, len(own), None)])
+        return np.any(np.array(self.of_start) != 0, axis=0)
+
+    def scores(self, many: list[str]) -> list[float]:
+        """The probability that each text is toxic. Each feature counts once, wherever it stands."""
+        if self.lexicon.full():
+            self.lexicon.clear()
+            del self.of_word[:]
+            for own in self.of_start:
+                del own[:]
+        rows, words, owners, starts, shared = self.lexicon.found(many, self.learn)
+        several = [np.where(shared >= n, np.array(own)[starts], 0.0) for own, n in zip(self.of_start, (1, *SEVERAL))]
+        rows, values = np.concatenate([rows, *[owners] * len(several)]), np.concatenate([np.array(self.of_word)[words], *several])
+        rows, values = rows[values != 0], values[values != 0]
+        order = np.argsort(rows)
+        ends = np.searchsorted(rows[order], np.arange(len(many) + 1)).tolist()
+        values = values[order].tolist()
+        # An exact sum: the order that features are found in doesn't matter.
+        totals = [self.bias + math.fsum(values[a:b]) for a, b in zip(ends, ends[1:])]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, total)))) for total in totals]
 
 
 def fit(positive: list[list[int]], unlabelled: list[list[int]], chosen: list[str], prior: float) -> Linear:
@@ -150,28 +224,36 @@ def sampled(docs: DataFrame, known: DataFrame, positives: int, unlabelled: int)
     return stored(texts_of.mapInArrow(run, "kind int, features array<string>"), "toxicity-sample")
 
 
+def summed(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Counts of the features so far, fewer maybe than ``new`` has, and of a new slice."""
+    new[: len(old)] += old
+    return new
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """``feature, u``: in how many of all documents that are not held out a feature is; the empty one is in every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
-        totals: Counter = Counter()
+        own = Lexicon()
+        n_texts, of_word, of_start = 0, np.zeros(0, np.int64), np.zeros((1 + len(SEVERAL), 0), np.int64)
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["feature", "u"])
-            totals.clear()
-            return out
+            named = chain([""], own.words, *([f"{b}-{n}" for b in own.beginnings] for n in ("", *SEVERAL)))
+            counts = np.concatenate([[n_texts], of_word, *of_start])
+            met = counts > 0
+            return pa.RecordBatch.from_arrays([pa.array(list(compress(named, met.tolist())), pa.string()), pa.array(counts[met], pa.int64())], names=["feature", "u"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for text in texts(part):
-                    totals[""] += 1
-                    totals.update(features(text, known))
-                    # Counts leave before they take more memory than a slice of the table.
-                    if len(totals) > HELD:
-                        yield rows()
-                if len(known) > HELD:
-                    known.clear()
+                _, words, _, starts, shared = own.found(texts(part))
+                n_texts += part.num_rows
+                of_word = summed(of_word, np.bincount(words, minlength=len(own.words)))
+                of_start = np.stack([summed(old, np.bincount(starts[shared >= n], minlength=len(own.beginnings))) for old, n in zip(of_start, (1, *SEVERAL))])
+                # Counts leave before they take more memory than a slice of the table.
+                if own.full():
+                    yield rows()
+                    own.clear()
+                    n_texts, of_word, of_start = 0, of_word[:0], of_start[:, :0]
         yield rows()
 
     may = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text")
@@ -234,7 +316,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         own = Linear(*model.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([own.score(x) for x in texts(part)], pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.scores(texts(part)), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
