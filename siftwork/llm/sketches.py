@@ -111,7 +111,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
         return pd.Series([[last - i, (last - i - 1) % (last + 1)] if head else [last - i] for i, head in zip(at.tolist(), heads.tolist())])
 
     rows = docs.select("*", F.posexplode(blocks("key")).alias("follower", "block"))
-    return rows.repartition(parts, "block").sortWithinPartitions("block", "follower", F.desc("key"), "text")
+    # A block's number is its task's: by hashes of the numbers several blocks would meet in one task.
+    return rows.repartitionById(parts, "block").sortWithinPartitions("block", "follower", F.desc("key"), "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
